@@ -66,3 +66,36 @@ SYSTEM_FUNCTIONS = (
     "xpath_double xpath_float xpath_int xpath_long xpath_number xpath_short xpath_string year | ~ "
     "default"
 ).split()
+
+# --- fixed values: messages -----------------------------------------------------
+TOO_LONG = "{name}长度不能大于{limit}"
+EMPTY_PROPERTY = "the property {name} is null"
+NO_CONTEXT = "the context is null"
+NO_JOB_INSTANCE = "the Jobinstanceid is null"
+NO_USER = "the UserName is null"
+NO_PROCESS = "the ProcessId is null"
+NO_BASE_PATH = "the tempHdfsBasePath is null"
+OPID_NULL = "opid is null"
+OPID_SPACE = "operator name contains space"
+OPID_NO_DOT = "operator name should contains '.'"
+OPID_ENGINE = "operator name should begin with GM,SK,MR,HV"
+OPJARPATH_NULL = "opjarpath is null"
+ZIP_MISSING = "the hdfs zip(%s) is not exist"
+OPID_EXISTS = "the opid '%s' is exist"
+OPID_UNKNOWN = "the opid '%s' is not exist"
+ZIP_INCOMPLETE = "The ZIP file of '%s' in HDFS  is not completed ."
+SUBMIT_JAR_REQUIRED = "该单机算子需要使用DShell提交到YARN执行"
+FIELD_NULL = "{name} is null"
+UDF_SYSTEM = "thd udfname '%s' is system function, please use a different name."
+UDF_EXISTS = "thd udfname '%s' is exist, please use a different name."
+UDF_IN_METASTORE = "thd udfname '%s' is exist in HiveMetaStore, please use a different name."
+UDF_UNKNOWN_UPDATE = "thd udfname '%s' is not exist"
+UDF_UNKNOWN_DELETE = "thd udfname '%s' is not exist."
+QUOTA_NULL = "quota is null"
+QUOTA_NOT_NUMBER = "quota is not a number"
+QUOTA_TOO_LARGE = "quota can not larger than 53687091200"
+QUEUE_NAME_MISSING = "queueName is not exist"
+MEMTOTAL_MISSING = "memtotal is not exist"
+TASK_KILLED = "the optask is killed"
+NOT_ENOUGH_MEMORY = "The cluster does not have enough memory resource"
+MALFORMED = "malformed document"

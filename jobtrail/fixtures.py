@@ -130,10 +130,48 @@ select req_id, '<request><jobinstanceid>' || jobinstanceid || '</jobinstanceid><
        coalesce('<property name="processId" value="' || processid || '"/>', '') ||
        '<property name="tempHdfsBasePath" value="' || base_path || '"/></context></request>' as xml
 from {task_request_v}""",
-    "numbered_app_v": """
-select otid, appid, start_ts, status,
-       cast(row_number() over (partition by otid order by start_ts, tie1, tie2, tie3) as int) as sequence
-from {app_v}""",
+    "operator_doc_v": """
+select req_id, case when version = 'v50' then null else opid end as opid,
+       case when version = 'v48' then repeat('v', 65) else version end as version, biztype, provider,
+       case when version = 'v49' then null else opjarpath end as opjarpath, descriptor,
+       provider like '%2' as jar_first
+from {operator_request_v}
+union all
+select req_id + 1000000, opid, version, biztype, provider, opjarpath, 'again', false
+from {operator_request_v} where length(version) = 3""",
+    "operator_xml_v": """
+select req_id, '<operator>' ||
+       case when jar_first then coalesce('<property name="opjarpath" value="' || opjarpath || '"/>', '') else '' end ||
+       coalesce('<property name="opid" value="' || opid || '"/>', '') ||
+       '<property name="version" value="' || version || '"/>' ||
+       '<property name="provider" value="' || provider || '"/>' ||
+       '<property name="biztype" value="' || biztype || '"/>' ||
+       case when jar_first then '' else coalesce('<property name="opjarpath" value="' || opjarpath || '"/>', '') end ||
+       '<property name="descriptor" value="' || descriptor || '"/></operator>' as xml
+from {operator_doc_v}""",
+    "udf_doc_v": """
+select p_partkey as req_id, case when p_size in (43, 50) then null else u.udfname end as udfname,
+       case when p_size = 49 then null when p_size = 48 then repeat('c', 65) else 'com.fn.' || p_brand end as classname,
+       case when p_size = 47 then null else 'fn.jar' end as jarname,
+       case when p_size = 46 then repeat('d', 1025) when p_size = 45 then null else p_name end as descriptor,
+       case when p_size in (43, 44) then null else p_type end as author
+from {part} p join {udf_request_v} u on u.req_id = p.p_partkey""",
+    "udf_xml_v": """
+select req_id, '<request><udfdescriptor>' || coalesce('<udfname>' || udfname || '</udfname>', '') ||
+       coalesce('<classname>' || classname || '</classname>', '') ||
+       coalesce('<jarname>' || jarname || '</jarname>', '') ||
+       coalesce('<descriptor>' || descriptor || '</descriptor>', '') ||
+       coalesce('<author>' || author || '</author>', '') || '</udfdescriptor></request>' as xml
+from {udf_doc_v}""",
+    "quota_doc_v": """
+select c_custkey as req_id, case when c_mktsegment = 'MACHINERY' then null when c_mktsegment = 'HOUSEHOLD' then 'xGB'
+         else cast(cast(floor(abs(c_acctbal) / 100) as bigint) as string) || 'GB' end as quota
+from {customer}""",
+    "queue_doc_v": """
+select c_custkey as req_id, case when c_mktsegment = 'MACHINERY' then null else 'q' || cast(c_custkey as string) end as name,
+       case when c_acctbal < 0 then null else cast(cast(floor(c_acctbal * 10) as bigint) as string) end as memtotal,
+       case when c_mktsegment = 'BUILDING' then null else cast(c_nationkey % 6 as string) || '.0' end as userlimitfactor
+from {customer}""",
 }
 
 

@@ -158,7 +158,7 @@ def apply_kill(results: DataFrame, optask: DataFrame) -> DataFrame:
     return results.join(killed, "otid", "left").select(
         "otid",
         F.when(F.col("_killed"), "error").otherwise(F.col("source")).alias("source"),
-        F.when(F.col("_killed"), "the optask is killed").otherwise(F.col("result")).alias("result"),
+        F.when(F.col("_killed"), C.TASK_KILLED).otherwise(F.col("result")).alias("result"),
     )
 
 

@@ -1,6 +1,6 @@
 """Registered queries. Importing the package fills the two registries."""
 
-from jobtrail.plans import ledger_queries  # noqa: F401
+from jobtrail.plans import capacity_queries, ledger_queries, request_queries  # noqa: F401
 from jobtrail.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
