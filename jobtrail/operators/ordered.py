@@ -23,9 +23,12 @@ from jobtrail.session import stage
 GROUP_LIMIT = 5_000_000
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """NULL-safe equality on all keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join where NULL keys match each other; the right keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    joined = left.join(renamed, on, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_k_{k}" for k in keys])
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -38,36 +41,38 @@ def sequence_rows(
     keys: Sequence[str],
     order: Sequence[str],
     number: str = "sequence",
-    following: dict[str, str] | None = None,
+    following: dict[str, str | tuple[str, int]] | None = None,
     group_limit: int = GROUP_LIMIT,
     largest: int | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order`` (which must be unique per key).
 
-    ``following`` maps new columns to existing ones and fills them from the next row of the key.
-    ``largest`` is an upper bound of the largest key where the caller already knows one;
-    otherwise it is measured, so pass a table or a staged result.
+    ``following`` maps new columns to existing ones and fills them from the next row of the key,
+    or from ``k`` rows ahead when given as (column, k). ``largest`` is an upper bound of the
+    largest key where the caller already knows one; otherwise it is measured, so pass a table
+    or a staged result.
     """
     keys, order = list(keys), list(order)
+    following = {out: (s, 1) if isinstance(s, str) else s for out, s in (following or {}).items()}
     if (largest_group(df, keys) if largest is None else largest) <= group_limit:
-        return _by_window(df, keys, order, number, following or {})
+        return _by_window(df, keys, order, number, following)
 
     counts = df.groupBy(*keys).count().filter(F.col("count") > group_limit)
     hot = stage(counts, "hot-keys")
     hot_rows = hot.agg(F.sum("count")).first()[0]
     keys_only = hot.drop("count")
-    cold = df.join(keys_only, same_keys(df, keys_only, keys), "left_anti")
-    warm = df.join(keys_only, same_keys(df, keys_only, keys), "left_semi")
+    cold = join_keys(df, keys_only, keys, "left_anti")
+    warm = join_keys(df, keys_only, keys, "left_semi")
     pieces = max(2, -(-2 * hot_rows // group_limit))
-    return _by_window(cold, keys, order, number, following or {}).unionByName(
-        _by_range(warm, keys, order, number, following or {}, pieces)
+    return _by_window(cold, keys, order, number, following).unionByName(
+        _by_range(warm, keys, order, number, following, pieces)
     )
 
 
 def _by_window(df, keys, order, number, following) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     columns = {number: F.row_number().over(w)}
-    columns.update({out: F.lead(source).over(w) for out, source in following.items()})
+    columns.update({out: F.lead(source, k).over(w) for out, (source, k) in following.items()})
     return df.withColumns(columns)
 
 
@@ -87,25 +92,20 @@ def _by_range(df, keys, order, number, following, pieces) -> DataFrame:
         .agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     )
-    on = same_keys(ranged, starts, [*keys, "_piece"])
-    position = starts["_before"] + ranged["_at"] - starts["_first"] + 1
-    numbered = ranged.join(starts, on).select(
-        *[ranged[c] for c in df.columns], position.cast("int").alias(number)
+    position = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    numbered = join_keys(ranged, starts, [*keys, "_piece"]).select(
+        *df.columns, position.cast("int").alias(number)
     )
-    if not following:
-        return numbered
-    # The next row of a key is the row whose number is one higher: an equi-join on
+    # The row k places ahead is the row whose number is k higher: an equi-join on
     # (key, number), so even a single huge key spreads evenly.
-    nxt = numbered.select(
-        *[F.col(k).alias(f"_n_{k}") for k in keys],
-        (F.col(number) - 1).alias("_n_number"),
-        *[F.col(source).alias(out) for out, source in following.items()],
-    )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys] + [F.col(number) == F.col("_n_number")],
-    )
-    return numbered.join(nxt, on, "left").drop("_n_number", *[f"_n_{k}" for k in keys])
+    rows = numbered
+    for k in sorted({k for _, k in following.values()}):
+        ahead = rows.select(
+            *keys, (F.col(number) - k).alias(number),
+            *[F.col(source).alias(out) for out, (source, step) in following.items() if step == k],
+        )
+        numbered = join_keys(numbered, ahead, [*keys, number], "left")
+    return numbered
 
 
 def first_by_position(df: DataFrame, keys: Sequence[str], value: str, position: str,
