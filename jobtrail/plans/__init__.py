@@ -2,6 +2,7 @@
 
 from jobtrail.plans import (  # noqa: F401
     capacity_queries, function_queries, ledger_queries, request_queries, source_queries,
+    streaming_queries,
 )
 from jobtrail.plans.registry import ORACLE, QUERIES
 

@@ -17,6 +17,7 @@ from jobtrail import constants as C
 from jobtrail.operators.keys import apply_deletes, apply_updates, mark_existing
 from jobtrail.operators.packages import package_check, submit_jar_check
 from jobtrail.plans.validation import first_reason, rule
+from jobtrail.session import stage
 
 
 def _after_first_clean(df: DataFrame, key: str, order: str, clean: Column) -> DataFrame:
@@ -49,7 +50,8 @@ def register_operators(requests: DataFrame, registry: DataFrame, entries: DataFr
                        script_lines: DataFrame, order: str) -> DataFrame:
     """Judge validated operator requests: rules, name, package, submit jar, lengths."""
     df = mark_existing(requests, registry, "opid", "_known")
-    df = _package_reasons(df, entries, script_lines)
+    # Judged rows feed two branches; staging parses every document once.
+    df = stage(_package_reasons(df, entries, script_lines), "judged")
     clean = (F.col("error") == "") & ~F.col("_known") & (F.col("_package") == "") & (F.col("error_length") == "")
     df = _after_first_clean(df, "opid", order, clean)
     return df.withColumn("reason", first_reason(
@@ -107,7 +109,7 @@ def udf_conflicts(batch: DataFrame, registry: DataFrame, metastore: DataFrame) -
 
 def register_udfs(requests: DataFrame, registry: DataFrame, metastore: DataFrame, order: str) -> DataFrame:
     """Judge validated function requests: required fields, name conflicts, lengths."""
-    df = udf_conflicts(requests, registry, metastore)
+    df = stage(udf_conflicts(requests, registry, metastore), "judged")
     clean = (F.col("error") == "") & (F.col("conflict") == "") & (F.col("error_length") == "")
     df = _after_first_clean(df, "name", order, clean)
     name = F.col("name")

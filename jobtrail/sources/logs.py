@@ -28,29 +28,32 @@ def read_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
     )
 
 
-def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of task logs laid out as ``<stream>/<date>/<opid>_<time>.<ext>``.
+def task_lines(lines: DataFrame) -> DataFrame:
+    """Add stream, operator, date and task id to (file, ..) lines, all taken from the file name.
 
-    Adds the stream, the operator and the task id (operator, date and time joined), all taken
-    from the file name. The partitioned form of the same layout
-    (``stream=../log_date=../task=<opid>_<time>/..``) is read as well.
+    Files are laid out as ``<stream>/<date>/<opid>_<time>.<ext>``, or in the partitioned form
+    of the same layout, ``stream=../log_date=../task=<opid>_<time>/..``. The task id is operator,
+    date and time joined.
     """
     layout = (r"/(?:stream=)?(stdout|stderr)/(?:log_date=)?([0-9-]{10})/(?:task=)?"
               r"([^/]+)_([0-9]{2}-[0-9]{2}-[0-9]{2}-[0-9]{3})(?:\.[a-z]+|/[^/]+)$")
     # The reader reports an encoded path; a plus sign in it is literal.
     decoded = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
-    lines = read_lines(spark, path).withColumn("file", decoded)
 
     def part(i: int) -> Column:
         return F.regexp_extract("file", layout, i)
 
-    return lines.filter(F.col("file").rlike(layout)).select(
+    return lines.withColumn("file", decoded).filter(F.col("file").rlike(layout)).select(
         F.concat(part(3), part(2), F.lit("_"), part(4)).alias("otid"),
-        part(3).alias("opid"), part(1).alias("stream"), part(2).alias("log_date"),
-        "file", "block", "row", "line",
+        part(3).alias("opid"), part(1).alias("stream"), part(2).alias("log_date"), *lines.columns,
     )
 
 
+def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of all task logs under ``path``, see :func:`task_lines`."""
+    return task_lines(read_lines(spark, path))
+
+
 def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     """Lines of aggregated container logs with the section each belongs to.
 
