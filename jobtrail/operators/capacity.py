@@ -35,10 +35,9 @@ def finished_per_queue(queues: DataFrame, apps: DataFrame) -> DataFrame:
 
 
 def queue_report(queues: DataFrame, roles: DataFrame, groups: DataFrame, apps: DataFrame) -> DataFrame:
-    """Use and headroom of every queue. Cluster totals are computed once, as scalar subqueries."""
-    total = cluster_capacity(roles, groups)
-    memory = total.select("memory_mb").scalar()
-    vcores = total.select("vcores").scalar()
+    """Use and headroom of every queue. Cluster totals are computed once, in a scalar subquery."""
+    total = cluster_capacity(roles, groups).select(F.struct("memory_mb", "vcores")).scalar()
+    memory, vcores = total["memory_mb"], total["vcores"]
     share = F.col("capacity") * F.col("user_limit_factor")
     mem_total = F.ceil(
         F.when(F.col("max_capacity") < share, memory.cast("double"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtrail import constants as C
+from jobtrail.session import stage
 
 _STAMP = C.STAMP_PATTERN
 
@@ -60,73 +61,33 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     Columns: file, node, container, section (number within the file), log_type, log_length,
     line_no (within the section) and line. One row per line instead of one per section, so no
     section has to fit in a row and no file in a task.
-    """
-    lines = read_lines(spark, path)
-    stamp = rf"^{_STAMP}\t"
-    stamped = F.col("line").rlike(stamp)
-    body = F.regexp_replace("line", stamp, "")
-    header = r"^Container: (\S+) on (\S+)$"
-    container = F.when(F.col("line").rlike(header), F.struct(
-        F.regexp_extract("line", header, 1).alias("container"),
-        F.regexp_extract("line", header, 2).alias("node")))
-    lines = lines.withColumns({
-        "_container": container,
-        "_marker": stamped & (F.trim(body) == "LogType:"),
-    })
-
-    here = W.partitionBy("file", "block").orderBy("row")
-    so_far = here.rowsBetween(W.unboundedPreceding, 0)
-    local = lines.withColumns({
-        "_at": F.row_number().over(here),
-        "_section": F.sum(F.col("_marker").cast("int")).over(so_far),
-        "_start": F.max(F.when(F.col("_marker"), F.col("row"))).over(so_far),
-        "_inside": F.last("_container", ignorenulls=True).over(so_far),
-    })
 
-    # One row per split: how many lines and markers it has and what it ends inside of.
-    splits = lines.groupBy("file", "block").agg(
-        F.count("*").alias("_lines"),
-        F.count_if("_marker").alias("_markers"),
-        F.max_by(F.col("_container"), F.when(F.col("_container").isNotNull(), F.col("row"))).alias("_end"),
-        F.max(F.when(F.col("_marker"), F.col("row"))).alias("_last"),
-        F.max("row").alias("_max"),
-    )
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumns({
-        "_s0": F.coalesce(F.sum("_markers").over(before), F.lit(0)),
-        "_lines0": F.coalesce(F.sum("_lines").over(before), F.lit(0)),
-        "_c0": F.last("_end", ignorenulls=True).over(before),
-    })
-    # Line number, in the file, of the last marker of each split and of the splits before it.
-    last_line = F.when(F.col("_last").isNotNull(), F.col("_lines0") + F.col("_last") - F.col("_max") + F.col("_lines"))
-    splits = splits.withColumn("_marker_line", last_line)
-    splits = splits.withColumn("_m0", F.last("_marker_line", ignorenulls=True).over(before)).select(
-        "file", "block", "_s0", "_lines0", "_c0", "_m0")
-
-    joined = local.join(splits, ["file", "block"])
-    line_in_file = F.col("_lines0") + F.col("_at")
-    marker_line = F.when(
-        F.col("_start").isNotNull(), F.col("_lines0") + F.col("_at") - (F.col("row") - F.col("_start"))
-    ).otherwise(F.col("_m0"))
-    placed = joined.select(
-        "file", "line",
-        (F.col("_s0") + F.col("_section")).cast("int").alias("section"),
-        F.coalesce("_inside", "_c0").alias("_in"),
-        (line_in_file - marker_line).alias("_off"),
-        body.alias("_body"),
-    ).filter(F.col("section") > 0)
-
-    # Header layout after the marker: type, "LogLength:", length, "Log Contents:", then the
-    # text up to the first line that ends in a bare stamp.
-    ends = F.col("line").rlike(rf"{_STAMP}\t$")
-    heads = placed.groupBy("file", "section").agg(
+    The text is read twice: once to note the header lines of every split, which are few and
+    staged, and once for the lines themselves.
+    """
+    lines = _header_columns(read_lines(spark, path))
+    special = F.struct("row", "_body", "_container", "_marker", "_ends")
+    # The specials of one split: bounded by the split size the reader is set to.
+    splits = stage(lines.groupBy("file", "block").agg(
+        F.count("*").alias("_lines"), F.min("row").alias("_min"),
+        F.collect_list(F.when(F.col("_stamped") | F.col("_ends") | F.col("_container").isNotNull(), special))
+        .alias("_specials"),
+    ), "log-splits")
+    carry = _carry(splits)
+
+    headers = splits.select("file", "block", "_min", F.inline("_specials"))
+    # After a marker line: type, "LogLength:", length, "Log Contents:", then the text up to the
+    # first line that ends in a bare stamp.
+    heads = _place(headers, carry).groupBy("file", "section").agg(
         F.max(F.when(F.col("_off") == 1, F.col("_body"))).alias("log_type"),
         F.max(F.when(F.col("_off") == 3, F.col("_body"))).try_cast("bigint").alias("log_length"),
-        F.min(F.when(ends & (F.col("_off") > 4), F.col("_off"))).alias("_close"),
+        F.min(F.when(F.col("_ends") & (F.col("_off") > 4), F.col("_off"))).alias("_close"),
     )
     # The closing stamp follows the text without a line break of its own.
     text = F.regexp_replace("line", rf"{_STAMP}\t$", "")
-    content = placed.filter(F.col("_off") > 4).join(heads, ["file", "section"])
+    # Row ids need not agree between the two reads, so the lines bring their own first one.
+    first = F.first("row").over(W.partitionBy("file", "block").orderBy("row"))
+    content = _place(lines.withColumn("_min", first), carry).filter(F.col("_off") > 4).join(heads, ["file", "section"])
     inside = F.coalesce(F.col("_off") < F.col("_close"), F.lit(True))
     tail = (F.col("_off") == F.col("_close")) & (text != "")
     return content.filter(inside | tail).select(
@@ -137,6 +98,65 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _header_columns(lines: DataFrame) -> DataFrame:
+    stamp, header = rf"^{_STAMP}\t", r"^Container: (\S+) on (\S+)$"
+    body = F.regexp_replace("line", stamp, "")
+    stamped = F.col("line").rlike(stamp)
+    container = F.struct(
+        F.regexp_extract("line", header, 1).alias("container"), F.regexp_extract("line", header, 2).alias("node"))
+    return lines.withColumns({
+        "_body": body,
+        "_stamped": stamped,
+        "_marker": stamped & (F.trim(body) == "LogType:"),
+        "_ends": F.col("line").rlike(rf"{_STAMP}\t$"),
+        "_container": F.when(F.col("line").rlike(header), container),
+    })
+
+
+def _carry(splits: DataFrame) -> DataFrame:
+    """What each split starts with: lines, sections, container and last marker of the splits before."""
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    markers = F.filter("_specials", lambda s: s["_marker"])
+    inside = F.filter("_specials", lambda s: s["_container"].isNotNull())
+    last_of = F.try_element_at(F.array_sort(F.transform(
+        inside, lambda s: F.struct(s["row"].alias("row"), s["_container"].alias("c")))), F.lit(-1))["c"]
+    rows = splits.select(
+        "file", "block", "_min", "_lines", F.size(markers).alias("_markers"), last_of.alias("_end"),
+        F.array_max(F.transform(markers, lambda s: s["row"])).alias("_last"),
+    ).withColumn("_lines0", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    rows = rows.withColumn("_marker_line", F.col("_lines0") + F.col("_last") - F.col("_min") + 1)
+    return rows.select(
+        "file", "block", "_lines0",
+        F.coalesce(F.sum("_markers").over(before), F.lit(0)).alias("_s0"),
+        F.last("_end", ignorenulls=True).over(before).alias("_c0"),
+        F.last("_marker_line", ignorenulls=True).over(before).alias("_m0"),
+    )
+
+
+def _place(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    """Add section, container (``_in``) and distance from the section marker (``_off``)."""
+    here = W.partitionBy("file", "block").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.withColumns({
+        "_section": F.sum(F.col("_marker").cast("int")).over(here),
+        "_start": F.max(F.when(F.col("_marker"), F.col("row"))).over(here),
+        "_inside": F.last("_container", ignorenulls=True).over(here),
+    })
+
+    def line_number(row: Column) -> Column:
+        return F.col("_lines0") + row - F.col("_min") + 1
+
+    start = F.coalesce(line_number(F.col("_start")), F.col("_m0"))
+    return (
+        local.join(carry, ["file", "block"])
+        .withColumns({
+            "section": (F.col("_s0") + F.col("_section")).cast("int"),
+            "_in": F.coalesce("_inside", "_c0"),
+            "_off": line_number(F.col("row")) - start,
+        })
+        .filter(F.col("section") > 0)
+    )
+
+
 def application_of_container(container: Column) -> Column:
     """Application id of a container id (``container_[e<epoch>_]<stamp>_<number>_<attempt>_<no>``)."""
     pattern = r"^container_(?:e[0-9]+_)?([0-9]{13}_[0-9]+)_[0-9]+_[0-9]+$"
