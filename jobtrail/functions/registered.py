@@ -47,7 +47,7 @@ def apply_aggregate(df: DataFrame, keys: Sequence[str], partial, merge, finish,
     def fold(batches):
         for pdf in batches:
             rows = [
-                {**dict(zip(keys, key)), **partial(group)}
+                {**{k: None if pd.isna(v) else v for k, v in zip(keys, key)}, **partial(group)}
                 for key, group in pdf.groupby(keys, dropna=False, sort=False)
             ]
             yield pd.DataFrame(rows, columns=[*keys, *[f[0] for f in fields]])

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def word_sentences(text: Column) -> Column:
-    """Sentences of lower-cased words, by language rules."""
-    return F.sentences(F.lower(text))
+    """Sentences of lower-cased words, by language rules.
+
+    Case helps to find where a sentence ends, so words are lowered after the split.
+    """
+    return F.transform(F.sentences(text), lambda s: F.transform(s, lambda w: F.lower(w)))
 
 
 def line_words(text: Column) -> Column:

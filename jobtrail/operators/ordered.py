@@ -60,6 +60,8 @@ def sequence_rows(
     counts = df.groupBy(*keys).count().filter(F.col("count") > group_limit)
     hot = stage(counts, "hot-keys")
     hot_rows = hot.agg(F.sum("count")).first()[0]
+    if hot_rows is None:
+        return _by_window(df, keys, order, number, following)
     keys_only = hot.drop("count")
     cold = join_keys(df, keys_only, keys, "left_anti")
     warm = join_keys(df, keys_only, keys, "left_semi")

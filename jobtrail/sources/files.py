@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size_bytes, mtime) of every file below ``path``.
+    """(path, size_bytes, mtime) of every file below ``path`` that has content.
 
-    The content column is never selected, so the reader opens no file.
+    The content column is never selected, so the reader opens no file. Spark's file index skips
+    empty files; they hold no bytes and do not appear here.
     """
     files = (
         spark.read.format("binaryFile")
