@@ -2,8 +2,8 @@
 
 # --- fixed values: log scanning -------------------------------------------------
 SUBMIT_MARK = "Submitted application"
-APP_ID_ANY = r"(application_[0-9]{13}_[0-9]{4,})$"
-APP_ID_FOUR_DIGITS = r"(application_[0-9]{13}_[0-9]{4})$"
+APP_ID_TAIL = r"^[0-9]{13}_[0-9]{4,}$"
+APP_ID_TAIL_STRICT = r"^[0-9]{13}_[0-9]{4}$"
 APP_ID_PARTS = r"^application_([0-9]{13})_([0-9]+)$"
 STAMP_FORMAT = "yyyy-MM-dd_HH-mm-ss-SSS"
 STAMP_FORMAT_SECONDS = "yyyy-MM-dd_HH-mm-ss"

@@ -13,19 +13,22 @@ def app_id_of(line: Column, strict: bool = False) -> Column:
 
     ``strict`` keeps only ids whose number has exactly four digits.
     """
-    pattern = C.APP_ID_FOUR_DIGITS if strict else C.APP_ID_ANY
-    found = F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
-    return F.when(line.contains(C.SUBMIT_MARK), found)
+    is_id, appid = _trailing_id(line, strict)
+    return F.when(is_id, appid)
 
 
 def extract_app_ids(lines: DataFrame, strict: bool = False, line: str = "line") -> DataFrame:
     """Keep submission lines and replace the text by the id found in it."""
-    return (
-        lines.filter(F.col(line).contains(C.SUBMIT_MARK))
-        .withColumn("appid", app_id_of(F.col(line), strict))
-        .filter(F.col("appid").isNotNull())
-        .drop(line)
-    )
+    is_id, appid = _trailing_id(F.col(line), strict)
+    return lines.filter(is_id).withColumn("appid", appid).drop(line)
+
+
+def _trailing_id(line: Column, strict: bool) -> tuple[Column, Column]:
+    # A plain search finds the few submission lines and the last "application_" in them; the
+    # pattern then only looks at what follows, from its first character.
+    tail = F.substring_index(line, "application_", -1)
+    digits = C.APP_ID_TAIL_STRICT if strict else C.APP_ID_TAIL
+    return line.contains(C.SUBMIT_MARK) & tail.rlike(digits), F.concat(F.lit("application_"), tail)
 
 
 def parse_app_id(appid: Column) -> Column:

@@ -59,8 +59,9 @@ def bitmap_and(bitmaps: DataFrame, member: str, members: int, keys: Sequence[str
 
     A bucket that some member lacks is empty there, so only complete buckets survive.
     """
-    merged = bitmaps.groupBy(*keys, "bucket").agg(
-        F.bitmap_and_agg("bitmap").alias("bitmap"), F.count_distinct(member).alias("_members"))
+    # One bitmap per member and bucket first, so that counting rows counts members.
+    merged = bitmap_or(bitmaps, [*keys, member]).groupBy(*keys, "bucket").agg(
+        F.bitmap_and_agg("bitmap").alias("bitmap"), F.count("*").alias("_members"))
     return merged.filter(F.col("_members") == members).drop("_members")
 
 

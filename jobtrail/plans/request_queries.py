@@ -10,6 +10,7 @@ from jobtrail.operators import packages as PK
 from jobtrail.plans import registration as R
 from jobtrail.plans import validation as V
 from jobtrail.plans.registry import Tables, query
+from jobtrail.session import scratch_path
 from jobtrail.sources import documents as D
 
 
@@ -64,6 +65,16 @@ def queues(t: Tables):
     return D.parse_requests(xml, "queue").drop("xml")
 
 
+@query("a3_request_files", """
+select jobinstanceid, coalesce(queuename, 'default') as queuename, username, coalesce(processid, '') as processid,
+       base_path from task_request_v""", "task_request_v")
+def a3_files(t):
+    path = scratch_path(t.spark, "requests")
+    t.task_request_xml_v.select("xml").write.text(path)
+    judged = V.validate_tasks(D.read_requests(t.spark, path, "task", "request"))
+    return judged.select("jobinstanceid", "queuename", "username", *blank("processid"), "base_path")
+
+
 @query("a4_read_properties", """
 select c_custkey, 'yarn.scheduler.capacity.root.q' || c_custkey || '.capacity' as name,
        cast(c_nationkey as varchar) as value from customer

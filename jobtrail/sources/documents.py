@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobtrail import constants as C
@@ -37,8 +37,23 @@ def parse_requests(df: DataFrame, kind: str, xml: str = "xml", item_tag: str = "
     ``task`` and ``operator`` documents keep their ``properties`` in document order, which
     the validation rules need.
     """
-    schema = _SCHEMAS[kind].format(tag=item_tag) + ", _corrupt_record string"
-    doc = df.withColumn("_doc", F.from_xml(xml, schema, _XML))
+    doc = df.withColumn("_doc", F.from_xml(xml, _schema(kind, item_tag), _XML))
+    return doc.withColumns(_columns(kind, item_tag)).drop("_doc")
+
+
+def read_requests(spark: SparkSession, path: str, kind: str, row_tag: str, item_tag: str = "property") -> DataFrame:
+    """Request documents from files, any number per file, each in a ``row_tag`` element."""
+    docs = spark.read.format("xml").schema(_schema(kind, item_tag)).options(rowTag=row_tag, **_XML).load(path)
+    return docs.select(F.struct("*").alias("_doc")).select(
+        *[c.alias(name) for name, c in _columns(kind, item_tag).items()])
+
+
+def _schema(kind: str, item_tag: str) -> str:
+    return _SCHEMAS[kind].format(tag=item_tag) + ", _corrupt_record string"
+
+
+def _columns(kind: str, item_tag: str) -> dict[str, Column]:
+    """Typed columns of the parsed document in ``_doc``."""
     d = F.col("_doc")
     columns = {"malformed": d["_corrupt_record"].isNotNull()}
     if kind == "task":
@@ -64,7 +79,7 @@ def parse_requests(df: DataFrame, kind: str, xml: str = "xml", item_tag: str = "
         for name in ("memtotal", "userlimitfactor"):
             present = F.filter(resources[name], lambda v: v.isNotNull())
             columns[name] = F.try_element_at(present, F.lit(-1))
-    return doc.withColumns(columns).drop("_doc")
+    return columns
 
 
 def read_properties(df: DataFrame, xml: str = "xml") -> DataFrame:

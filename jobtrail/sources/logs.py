@@ -63,53 +63,90 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     section has to fit in a row and no file in a task.
 
     The text is read twice: once to note the header lines of every split, which are few and
-    staged, and once for the lines themselves.
+    staged, and once for the lines themselves. Those are shuffled once, by split.
     """
     lines = _header_columns(read_lines(spark, path))
     special = F.struct("row", "_body", "_container", "_marker", "_ends")
+    # Of the stamped lines only the marker and the two values after it matter.
+    filler = F.col("_body").isin("LogLength: ", "Log Contents:", "") | F.col("_body").startswith("=====")
+    noted = (F.col("_stamped") & ~filler) | F.col("_ends") | F.col("_container").isNotNull()
     # The specials of one split: bounded by the split size the reader is set to.
     splits = stage(lines.groupBy("file", "block").agg(
         F.count("*").alias("_lines"), F.min("row").alias("_min"),
-        F.collect_list(F.when(F.col("_stamped") | F.col("_ends") | F.col("_container").isNotNull(), special))
-        .alias("_specials"),
+        F.collect_list(F.when(noted, special)).alias("_specials"),
     ), "log-splits")
-    carry = _carry(splits)
+    key = _split_key(splits)
+    parts = _sections_of_splits(splits).select(key.alias("_key"), "file", "_lines0", "_m0", "_sections")
+
+    # Lines travel with the short key of their split; the path comes back with the join.
+    here = W.partitionBy("_key").orderBy("row")
+    local = lines.select(key.alias("_key"), "row", "line", F.col("_marker").cast("int").alias("_m")).select(
+        "_key", "line",
+        F.sum("_m").over(here.rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("_nth"),
+        (F.col("row") - F.min("row").over(here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_at"),
+    )
+    # Distance from the marker line: type, "LogLength:", length, "Log Contents:", then the text
+    # up to the first line that ends in a bare stamp. That stamp follows the text without a
+    # line break of its own.
+    placed = local.join(parts, "_key").withColumn("s", F.get("_sections", F.col("_nth"))).withColumn(
+        "_off", F.when(F.col("_nth") > 0, F.col("_at") - F.col("s._start"))
+        .otherwise(F.col("_lines0") + F.col("_at") + 1 - F.col("_m0")))
+    inside = F.coalesce(F.col("_off") < F.col("s._close"), F.lit(True))
+    closing = F.col("_off") == F.col("s._close")
+    tail = closing & (F.length("line") > 24)
+    return placed.filter((F.col("_off") > 4) & (inside | tail)).select(
+        "file", "s.node", "s.container", "s.section", "s.log_type", "s.log_length",
+        (F.col("_off") - 4).cast("bigint").alias("line_no"),
+        F.when(closing, F.expr("substring(line, 1, length(line) - 24)")).otherwise(F.col("line")).alias("line"),
+    )
+
 
+def _split_key(splits: DataFrame) -> Column:
+    """A short key of (file, block), checked to be different for every split."""
+    for seed in range(100):
+        key = F.xxhash64(F.lit(seed), "file", "block")
+        n, distinct = splits.agg(F.count("*"), F.count_distinct(key)).first()
+        if n == distinct:
+            return key
+    raise RuntimeError("no collision-free split key")
+
+
+def _sections_of_splits(splits: DataFrame) -> DataFrame:
+    """Per split: what it starts inside of, and its sections in order, the carried one first."""
+    carry = _carry(splits)
     headers = splits.select("file", "block", "_min", F.inline("_specials"))
-    # After a marker line: type, "LogLength:", length, "Log Contents:", then the text up to the
-    # first line that ends in a bare stamp.
     heads = _place(headers, carry).groupBy("file", "section").agg(
+        F.max(F.when(F.col("_marker"), F.col("_in"))).alias("_in"),
+        F.max(F.when(F.col("_marker"), F.col("row") - F.col("_min"))).alias("_start"),
         F.max(F.when(F.col("_off") == 1, F.col("_body"))).alias("log_type"),
         F.max(F.when(F.col("_off") == 3, F.col("_body"))).try_cast("bigint").alias("log_length"),
         F.min(F.when(F.col("_ends") & (F.col("_off") > 4), F.col("_off"))).alias("_close"),
     )
-    # The closing stamp follows the text without a line break of its own.
-    text = F.regexp_replace("line", rf"{_STAMP}\t$", "")
-    # Row ids need not agree between the two reads, so the lines bring their own first one.
-    first = F.first("row").over(W.partitionBy("file", "block").orderBy("row"))
-    content = _place(lines.withColumn("_min", first), carry).filter(F.col("_off") > 4).join(heads, ["file", "section"])
-    inside = F.coalesce(F.col("_off") < F.col("_close"), F.lit(True))
-    tail = (F.col("_off") == F.col("_close")) & (text != "")
-    return content.filter(inside | tail).select(
-        "file", F.col("_in.node").alias("node"), F.col("_in.container").alias("container"),
-        "section", "log_type", "log_length",
-        (F.col("_off") - 4).cast("bigint").alias("line_no"),
-        F.when(tail, text).otherwise(F.col("line")).alias("line"),
+    section = F.struct("section", "_start", "_in.node", "_in.container", "log_type", "log_length", "_close")
+    return (
+        carry.withColumn("section", F.explode(F.sequence(F.col("_s0"), F.col("_s0") + F.col("_markers"))))
+        .withColumn("section", F.col("section").cast("int"))
+        .join(heads, ["file", "section"], "left")
+        .groupBy("file", "block").agg(
+            F.first("_lines0").alias("_lines0"), F.first("_m0").alias("_m0"),
+            F.sort_array(F.collect_list(section)).alias("_sections"))
     )
 
 
 def _header_columns(lines: DataFrame) -> DataFrame:
-    stamp, header = rf"^{_STAMP}\t", r"^Container: (\S+) on (\S+)$"
-    body = F.regexp_replace("line", stamp, "")
-    stamped = F.col("line").rlike(stamp)
+    # Most lines are plain text: a cheap test of one character or a fixed prefix comes first, and
+    # only lines that pass it meet a pattern.
+    line, header = F.col("line"), r"^Container: (\S+) on (\S+)$"
+    stamped = (F.substring("line", 24, 1) == "\t") & line.rlike(rf"^{_STAMP}\t")
+    body = F.when(stamped, F.expr("substring(line, 25)")).otherwise(line)
     container = F.struct(
         F.regexp_extract("line", header, 1).alias("container"), F.regexp_extract("line", header, 2).alias("node"))
     return lines.withColumns({
         "_body": body,
         "_stamped": stamped,
-        "_marker": stamped & (F.trim(body) == "LogType:"),
-        "_ends": F.col("line").rlike(rf"{_STAMP}\t$"),
-        "_container": F.when(F.col("line").rlike(header), container),
+        "_marker": stamped & line.contains("\tLogType:") & (F.trim(body) == "LogType:"),
+        "_ends": line.endswith("\t") & line.rlike(rf"{_STAMP}\t$"),
+        "_container": F.when(line.startswith("Container: ") & line.rlike(header), container),
     })
 
 
@@ -126,7 +163,7 @@ def _carry(splits: DataFrame) -> DataFrame:
     ).withColumn("_lines0", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     rows = rows.withColumn("_marker_line", F.col("_lines0") + F.col("_last") - F.col("_min") + 1)
     return rows.select(
-        "file", "block", "_lines0",
+        "file", "block", "_lines0", "_markers",
         F.coalesce(F.sum("_markers").over(before), F.lit(0)).alias("_s0"),
         F.last("_end", ignorenulls=True).over(before).alias("_c0"),
         F.last("_marker_line", ignorenulls=True).over(before).alias("_m0"),
