@@ -40,7 +40,7 @@ def matchpath(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol:
     keys, steps = list(keys), _steps(pattern)
     rows = df.select(*keys, *order, *[c for c in keep if c not in order and c not in keys], symbol.alias("_sym"))
     # A symbol or the runs of a key never outnumber its rows, so one measurement serves all three.
-    size = {"group_limit": group_limit, "largest": largest_group(rows, keys)}
+    size = {"group_limit": group_limit, "largest": largest_group(rows, keys), "number_type": "bigint"}
     rows = sequence_rows(rows, keys, order, **size)
     rows = sequence_rows(rows, [*keys, "_sym"], order, number="_nth", **size)
     # Within one symbol, sequence minus rank is constant along a run.
@@ -64,7 +64,7 @@ def matchpath(df: DataFrame, keys: Sequence[str], order: Sequence[str], symbol:
         for name, least, many in steps
     ])
     begin = F.struct(
-        F.lit(0).alias("at"), (F.col("sequence").cast("bigint") - F.col("_start")).alias("used"),
+        F.lit(0).alias("at"), (F.col("sequence") - F.col("_start")).alias("used"),
         F.lit(0).cast("bigint").alias("size"), F.lit(True).alias("ok"),
     )
 

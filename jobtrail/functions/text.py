@@ -22,12 +22,14 @@ def line_words(text: Column) -> Column:
         F.split(F.lower(text), "\n"), lambda line: F.regexp_extract_all(line, F.lit(r"(\p{L}+)"), F.lit(1)))
 
 
-def grams_of(sentences: Column, n: int) -> Column:
-    """All n-grams of an array of word arrays; they never cross a sentence."""
-    return F.flatten(F.transform(
-        F.filter(sentences, lambda s: F.size(s) >= n),
-        lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - n + 1), lambda i: F.slice(s, i, n)),
-    ))
+def _grams(df: DataFrame, sentences: Column, n: int) -> DataFrame:
+    """One row per n-gram, as an array ``words``; a gram never crosses a sentence.
+
+    Sentences become rows first, so a long text is never held as one array of all its grams.
+    """
+    rows = df.select(F.explode(sentences).alias("s")).filter(F.size("s") >= n)
+    starts = F.sequence(F.lit(1), F.size("s") - n + 1)
+    return rows.select(F.explode(F.transform(starts, lambda i: F.slice("s", i, n))).alias("words"))
 
 
 def _top(grams: DataFrame, k: int) -> DataFrame:
@@ -38,8 +40,7 @@ def _top(grams: DataFrame, k: int) -> DataFrame:
 
 def ngrams(df: DataFrame, sentences: Column, n: int, k: int) -> DataFrame:
     """Top ``k`` n-grams as (gram, n), exact counts, ties in gram order."""
-    exploded = df.select(F.explode(grams_of(sentences, n)).alias("_words"))
-    return _top(exploded.select(F.array_join("_words", " ").alias("gram")), k)
+    return _top(_grams(df, sentences, n).select(F.array_join("words", " ").alias("gram")), k)
 
 
 def context_ngrams(df: DataFrame, sentences: Column, context: Sequence[str | None], k: int) -> DataFrame:
@@ -47,16 +48,9 @@ def context_ngrams(df: DataFrame, sentences: Column, context: Sequence[str | Non
 
     ``["of", None]`` counts the words that follow "of".
     """
-    n = len(context)
-    fixed = [(i, w) for i, w in enumerate(context) if w is not None]
-    open_places = [i for i, w in enumerate(context) if w is None]
-
-    def fits(gram: Column) -> Column:
-        match = F.lit(True)
-        for i, word in fixed:
-            match = match & (gram[i] == word)
-        return match
-
-    exploded = df.select(F.explode(F.filter(grams_of(sentences, n), fits)).alias("_words"))
-    filler = F.array_join(F.array(*[F.col("_words")[i] for i in open_places]), " ")
-    return _top(exploded.select(filler.alias("gram")), k)
+    grams = _grams(df, sentences, len(context))
+    for i, word in enumerate(context):
+        if word is not None:
+            grams = grams.filter(F.col("words")[i] == word)
+    open_places = [F.col("words")[i] for i, word in enumerate(context) if word is None]
+    return _top(grams.select(F.concat_ws(" ", *open_places).alias("gram")), k)

@@ -12,11 +12,20 @@ def role_counts(roles: DataFrame, role_type: str = C.NODE_ROLE) -> DataFrame:
     return roles.filter(F.col("type") == role_type).groupBy("group_name").agg(F.count("*").alias("n"))
 
 
+def group_capacity(roles: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes of each configuration group and what they add up to."""
+    return groups.join(role_counts(roles), "group_name").select(
+        "group_name", "n",
+        (F.col("n") * F.col("memory_mb")).cast("bigint").alias("memory_mb"),
+        (F.col("n") * F.col("vcores")).cast("bigint").alias("vcores"),
+    )
+
+
 def cluster_capacity(roles: DataFrame, groups: DataFrame) -> DataFrame:
     """Total memory and vcores of all nodes, one row; a group without nodes adds nothing."""
-    return groups.join(role_counts(roles), "group_name").agg(
-        F.coalesce(F.sum(F.col("n") * F.col("memory_mb")), F.lit(0)).cast("bigint").alias("memory_mb"),
-        F.coalesce(F.sum(F.col("n") * F.col("vcores")), F.lit(0)).cast("bigint").alias("vcores"),
+    return group_capacity(roles, groups).agg(
+        F.coalesce(F.sum("memory_mb"), F.lit(0)).cast("bigint").alias("memory_mb"),
+        F.coalesce(F.sum("vcores"), F.lit(0)).cast("bigint").alias("vcores"),
     )
 
 
@@ -27,10 +36,13 @@ def active_master(roles: DataFrame, cluster: str) -> DataFrame:
     return seen.groupBy(cluster).agg(F.min_by(result, F.col("pos")).alias("master"))
 
 
+def finished_counts(apps: DataFrame) -> DataFrame:
+    return apps.groupBy("queue_name").agg(F.count_if(F.col("state") == C.FINISHED).alias("n_finished"))
+
+
 def finished_per_queue(queues: DataFrame, apps: DataFrame) -> DataFrame:
     """Finished applications of each queue, 0 where it has none; applications aggregate first."""
-    done = apps.groupBy("queue_name").agg(F.count_if(F.col("state") == C.FINISHED).alias("n_finished"))
-    return queues.select("queue_name").join(done, "queue_name", "left").select(
+    return queues.select("queue_name").join(finished_counts(apps), "queue_name", "left").select(
         "queue_name", F.coalesce("n_finished", F.lit(0)).alias("n_finished"))
 
 

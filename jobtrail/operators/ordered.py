@@ -44,41 +44,42 @@ def sequence_rows(
     following: dict[str, str | tuple[str, int]] | None = None,
     group_limit: int = GROUP_LIMIT,
     largest: int | None = None,
+    number_type: str = "int",
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order`` (which must be unique per key).
 
     ``following`` maps new columns to existing ones and fills them from the next row of the key,
     or from ``k`` rows ahead when given as (column, k). ``largest`` is an upper bound of the
     largest key where the caller already knows one; otherwise it is measured, so pass a table
-    or a staged result.
+    or a staged result. Keys beyond two billion rows need ``number_type="bigint"``.
     """
     keys, order = list(keys), list(order)
     following = {out: (s, 1) if isinstance(s, str) else s for out, s in (following or {}).items()}
     if (largest_group(df, keys) if largest is None else largest) <= group_limit:
-        return _by_window(df, keys, order, number, following)
+        return _by_window(df, keys, order, number, following, number_type)
 
     counts = df.groupBy(*keys).count().filter(F.col("count") > group_limit)
     hot = stage(counts, "hot-keys")
     hot_rows = hot.agg(F.sum("count")).first()[0]
     if hot_rows is None:
-        return _by_window(df, keys, order, number, following)
+        return _by_window(df, keys, order, number, following, number_type)
     keys_only = hot.drop("count")
     cold = join_keys(df, keys_only, keys, "left_anti")
     warm = join_keys(df, keys_only, keys, "left_semi")
     pieces = max(2, -(-2 * hot_rows // group_limit))
-    return _by_window(cold, keys, order, number, following).unionByName(
-        _by_range(warm, keys, order, number, following, pieces)
+    return _by_window(cold, keys, order, number, following, number_type).unionByName(
+        _by_range(warm, keys, order, number, following, number_type, pieces)
     )
 
 
-def _by_window(df, keys, order, number, following) -> DataFrame:
+def _by_window(df, keys, order, number, following, number_type) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
-    columns = {number: F.row_number().over(w)}
+    columns = {number: F.row_number().over(w).cast(number_type)}
     columns.update({out: F.lead(source, k).over(w) for out, (source, k) in following.items()})
     return df.withColumns(columns)
 
 
-def _by_range(df, keys, order, number, following, pieces) -> DataFrame:
+def _by_range(df, keys, order, number, following, number_type, pieces) -> DataFrame:
     ranged = (
         df.repartitionByRange(pieces, *keys, *order)
         .sortWithinPartitions(*keys, *order)
@@ -96,14 +97,14 @@ def _by_range(df, keys, order, number, following, pieces) -> DataFrame:
     )
     position = F.col("_before") + F.col("_at") - F.col("_first") + 1
     numbered = join_keys(ranged, starts, [*keys, "_piece"]).select(
-        *df.columns, position.cast("int").alias(number)
+        *df.columns, position.cast(number_type).alias(number)
     )
     # The row k places ahead is the row whose number is k higher: an equi-join on
     # (key, number), so even a single huge key spreads evenly.
     rows = numbered
     for k in sorted({k for _, k in following.values()}):
         ahead = rows.select(
-            *keys, (F.col(number) - k).alias(number),
+            *keys, (F.col(number) - F.lit(k)).cast(number_type).alias(number),
             *[F.col(source).alias(out) for out, (source, step) in following.items() if step == k],
         )
         numbered = join_keys(numbered, ahead, [*keys, number], "left")

@@ -81,6 +81,21 @@ def d1(t):
     return CP.role_counts(t.role_v)
 
 
+@query("d2_group_capacity", """
+select r.group_name, count(*) as n, cast(sum(g.memory_mb) as bigint) as memory_mb, cast(sum(g.vcores) as bigint) as vcores
+from role_v r join role_group_v g on g.group_name = r.group_name where r.type = 'NODEMANAGER' group by r.group_name""",
+       CAPACITY_VIEWS)
+def d2(t):
+    return CP.group_capacity(t.role_v, t.role_group_v)
+
+
+@query("d3_finished_counts", """
+select queue_name, sum(case when state = 'FINISHED' then 1 else 0 end)::bigint as n_finished
+from queue_app_v group by queue_name""", "queue_app_v")
+def d3(t):
+    return CP.finished_counts(t.queue_app_v)
+
+
 @query("c3_cluster_capacity", "select memory_mb, vcores from total", CAPACITY_VIEWS, TOTAL)
 def c3(t):
     return CP.cluster_capacity(roles(t), role_groups(t))

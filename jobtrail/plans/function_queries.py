@@ -373,6 +373,32 @@ def f17(t):
     return statistics.bitmap_cardinality(statistics.bitmap_and(order_bitmaps(t), "l_returnflag", 3))
 
 
+@query("f18_bitmap_is_empty", """
+with x as (select l_orderkey // 32768 + 1 as bucket, l_orderkey, count(distinct l_returnflag) as k from lineitem group by all)
+select bucket, count(*) filter (k = 3) = 0 as none_has_all_flags from x group by bucket""")
+def f18(t):
+    maps = statistics.bitmap_and(order_bitmaps(t), "l_returnflag", 3)
+    return maps.select("bucket", statistics.bitmap_is_empty(F.col("bitmap")).alias("none_has_all_flags"))
+
+
+@query("f19_field", """
+select p_type, count(*) as n, cast(case p_type when 'PROMO' then 1 when 'SMALL' then 2 when 'LARGE' then 3 else 0 end as integer)
+  as place from part group by p_type""")
+def f19(t):
+    return t.part.groupBy("p_type").agg(F.count("*").alias("n")).withColumn(
+        "place", field(F.col("p_type"), "PROMO", "SMALL", "LARGE"))
+
+
+@query("f21_index", """
+select p_partkey, split_part(p_name, ' ', 2) as second, '' as tenth, p_brand as brand, '' as absent from part""")
+def f21(t):
+    words, pairs = F.split("p_name", " "), F.create_map(F.lit("brand"), F.col("p_brand"))
+    empty = F.lit("")
+    return t.part.select(
+        "p_partkey", index(words, 1).alias("second"), F.coalesce(index(words, 9), empty).alias("tenth"),
+        index_map(pairs, "brand").alias("brand"), F.coalesce(index_map(pairs, "size"), empty).alias("absent"))
+
+
 @query("f20_in_file", """
 select p_partkey, p_partkey in (select s_suppkey * 7 from supplier) as listed from part""")
 def f20(t):
@@ -391,14 +417,14 @@ PATHS = """
 
 
 @query("f23_matchpath", """
-select user_id, event_id, cast(i as integer) as sequence, length(regexp_extract(rest, '^vc*[p]')) as size
+select user_id, event_id, cast(i as bigint) as sequence, length(regexp_extract(rest, '^vc*[p]')) as size
 from starts where regexp_matches(rest, '^vc*p')""", extra=PATHS)
 def f23(t):
     return matchpath(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type"), "view.click*.purchase", ["event_id"])
 
 
 @query("f23_matchpath_repeats", """
-select user_id, event_id, cast(i as integer) as sequence, length(regexp_extract(rest, '^ee+')) as size
+select user_id, event_id, cast(i as bigint) as sequence, length(regexp_extract(rest, '^ee+')) as size
 from starts where regexp_matches(rest, '^ee+')""", extra=PATHS)
 def f23_repeats(t):
     return matchpath(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type"), "error.error+", ["event_id"])

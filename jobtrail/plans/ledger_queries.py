@@ -23,8 +23,10 @@ def asked(t: Tables):
     return t.customer.select((F.col("c_custkey") * 13).cast("string").alias("otid"))
 
 
-def numbered(t: Tables):
-    return L.number_apps(t.app_v, APP_ORDER)
+def numbered(t: Tables, only=None):
+    """The application table with its sequence, of all tasks or of the requested ones only."""
+    apps = t.app_v if only is None else t.app_v.join(only, "otid", "left_semi")
+    return L.number_apps(apps, APP_ORDER)
 
 
 def text(ts: str):
@@ -39,29 +41,36 @@ def b1(t):
     return K.task_status(t.optask_v, asked(t)).select("otid", "status", text("submit_ts"))
 
 
+WANTED = """wanted as (
+    select distinct 'j' || cast(c_custkey * 13 as varchar) as jobinstanceid,
+           case c_custkey * 13 % 4 when 0 then 'GM' when 1 then 'SK' when 2 then 'XX' else 'HV' end || '.op' ||
+             cast(c_custkey * 13 % 50 as varchar) as opid from customer)"""
+
+
+def wanted(t: Tables):
+    """Requested (jobinstanceid, opid) pairs: one per customer, some known, some not."""
+    n = F.col("c_custkey") * 13
+    engine = F.when(n % 4 == 0, "GM").when(n % 4 == 1, "SK").when(n % 4 == 2, "XX").otherwise("HV")
+    return t.customer.select(
+        F.concat(F.lit("j"), n.cast("string")).alias("jobinstanceid"),
+        F.concat(engine, F.lit(".op"), (n % 50).cast("string")).alias("opid"))
+
+
 @query("b2_task_by_instance", """
-, wanted as (select distinct 'j' || cast(c_custkey * 13 as varchar) as jobinstanceid,
-                    case when c_custkey * 13 % 4 = 0 then 'GM' else 'HV' end || '.op' ||
-                      cast(c_custkey * 13 % 50 as varchar) as opid from customer),
-  ranked as (select jobinstanceid, opid, otid, row_number() over (
+, ranked as (select jobinstanceid, opid, otid, row_number() over (
                partition by jobinstanceid, opid order by submit_ts desc, otid desc) as rn from optask_v)
 select w.jobinstanceid, w.opid, coalesce(r.otid, 'NOT_EXIST') as otid
 from wanted w left join ranked r on r.rn = 1 and r.jobinstanceid = w.jobinstanceid and r.opid = w.opid
-""", "optask_v")
+""", "optask_v", WANTED)
 def b2(t):
-    n = F.col("c_custkey") * 13
-    wanted = t.customer.select(
-        F.concat(F.lit("j"), n.cast("string")).alias("jobinstanceid"),
-        F.concat(F.when(n % 4 == 0, "GM").otherwise("HV"), F.lit(".op"), (n % 50).cast("string")).alias("opid"),
-    )
-    return K.task_by_instance(t.optask_v, wanted)
+    return K.task_by_instance(t.optask_v, wanted(t))
 
 
 @query("b3_apps_of_task", """
 select n.otid, n.sequence, n.appid from numbered n where n.otid in (select otid from asked)
 """, "app_v", f"{NUMBERED}, {ASKED}")
 def b3(t):
-    return K.apps_of_task(numbered(t), asked(t))
+    return K.apps_of_task(numbered(t, asked(t)), asked(t))
 
 
 @query("b4_unfinished_apps", """
@@ -297,7 +306,7 @@ PLAN = """
 
 
 def plan(t: Tables):
-    return L.kill_plan(asked(t), t.optask_v, numbered(t))
+    return L.kill_plan(asked(t), t.optask_v, numbered(t, asked(t)))
 
 
 @query("h5_kill_plan", """

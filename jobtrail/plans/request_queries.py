@@ -70,7 +70,12 @@ select jobinstanceid, coalesce(queuename, 'default') as queuename, username, coa
        base_path from task_request_v""", "task_request_v")
 def a3_files(t):
     path = scratch_path(t.spark, "requests")
-    t.task_request_xml_v.select("xml").write.text(path)
+    t.sql("""
+      select jobinstanceid, named_struct('property', filter(array(
+          named_struct('_name', 'queueName', '_value', queuename), named_struct('_name', 'userName', '_value', username),
+          named_struct('_name', 'processId', '_value', processid),
+          named_struct('_name', 'tempHdfsBasePath', '_value', base_path)), p -> p._value is not null)) as context
+      from {task_request_v}""").write.format("xml").option("rootTag", "requests").option("rowTag", "request").save(path)
     judged = V.validate_tasks(D.read_requests(t.spark, path, "task", "request"))
     return judged.select("jobinstanceid", "queuename", "username", *blank("processid"), "base_path")
 

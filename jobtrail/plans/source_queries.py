@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtrail.operators.ledger import task_logs
-from jobtrail.plans.ledger_queries import NUMBERED, numbered
+from jobtrail.plans.ledger_queries import NUMBERED, WANTED, numbered, wanted
 from jobtrail.plans.registry import Tables, query
 from jobtrail.session import scratch_path
 from jobtrail.sources import files, logs, sinks, tables
@@ -66,14 +66,13 @@ def a2(t):
 
 
 @query("c5_task_logs", """
-, wanted as (select otid, opid, jobinstanceid from optask_v where opid = 'SK.op1' or opid = 'SK.op21'),
-  apps as (select distinct w.otid, n.sequence, n.appid from wanted w join numbered n on n.otid = w.otid)
+, apps as (select o.otid, n.sequence, n.appid from wanted w
+           join optask_v o on o.jobinstanceid = w.jobinstanceid and o.opid = w.opid join numbered n on n.otid = o.otid)
 select a.otid, a.sequence, c.container, c.log_type, c.line_no, c.line
-from apps a join container_lines c on c.appid = a.appid""", "optask_v app_v", f"{NUMBERED}, {CONTAINER_LINES}")
+from apps a join container_lines c on c.appid = a.appid""", "optask_v app_v", f"{NUMBERED}, {CONTAINER_LINES}, {WANTED}")
 def c5(t):
     sections = container_logs(t).withColumn("appid", logs.application_of_container(F.col("container")))
-    wanted = t.optask_v.filter(F.col("opid").isin("SK.op1", "SK.op21")).select("jobinstanceid", "opid")
-    return task_logs(wanted, t.optask_v, numbered(t), sections).select(
+    return task_logs(wanted(t), t.optask_v, numbered(t), sections).select(
         "otid", "sequence", "container", "log_type", "line_no", "line")
 
 

@@ -42,7 +42,8 @@ def parse_requests(df: DataFrame, kind: str, xml: str = "xml", item_tag: str = "
 
 
 def read_requests(spark: SparkSession, path: str, kind: str, row_tag: str, item_tag: str = "property") -> DataFrame:
-    """Request documents from files, any number per file, each in a ``row_tag`` element."""
+    """Request documents from XML files, each in a ``row_tag`` element; a file may hold many
+    under one root."""
     docs = spark.read.format("xml").schema(_schema(kind, item_tag)).options(rowTag=row_tag, **_XML).load(path)
     return docs.select(F.struct("*").alias("_doc")).select(
         *[c.alias(name) for name, c in _columns(kind, item_tag).items()])
