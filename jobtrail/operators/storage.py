@@ -22,5 +22,6 @@ def is_expired(mtime: Column, as_of: str, days: int = C.RETENTION_DAYS) -> Colum
 
 def split_expired(files: DataFrame, as_of: str, days: int = C.RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """Expired and kept files. Deleting is the caller's business."""
-    old = F.coalesce(is_expired(F.col("mtime"), as_of, days), F.lit(False))
-    return files.filter(old), files.filter(~old)
+    old = is_expired(F.col("mtime"), as_of, days)
+    # Plain comparisons, so that both filters reach the scan; a file without a time is kept.
+    return files.filter(old), files.filter(~old | F.col("mtime").isNull())
