@@ -27,14 +27,15 @@ def number_apps(apps: DataFrame, order: Sequence[str], group_limit: int = GROUP_
     return sequence_rows(apps, ["otid"], order, group_limit=group_limit)
 
 
-def app_intervals(apps: DataFrame, order: Sequence[str], end: str,
+def app_intervals(apps: DataFrame, order: Sequence[str], end: str, time: str | None = None,
                   group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Open interval of each application: it closes when the next one starts.
 
-    The last application closes at the column ``end``. ``order[0]`` is the start time.
+    The last application closes at the column ``end``. ``time`` is the start time, by default
+    the first order column.
     """
     return sequence_rows(
-        apps, ["otid"], order, following={"end_ts": order[0]}, group_limit=group_limit
+        apps, ["otid"], order, following={"end_ts": time or order[0]}, group_limit=group_limit
     ).withColumn("end_ts", F.coalesce("end_ts", F.col(end)))
 
 
@@ -68,27 +69,30 @@ def latest_app_status(app_events: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def build_ledger(tasks: DataFrame, lines: DataFrame, app_status: DataFrame,
-                 order: Sequence[str] = ARRIVAL, strict: bool = False,
+                 order: Sequence[str] = ARRIVAL, time: str | None = None, strict: bool = False,
                  group_limit: int = GROUP_LIMIT) -> Ledger:
     """From log lines to the ledger.
 
-    The log text is read once: the few submission lines are staged, and every later step works
+    ``order`` is the arrival order within a task and must be unique there; ``time`` is the column
+    intervals are made of, by default the first order column. The log text is read once: the few submission lines are staged, and every later step works
     on that small table. ``app_status`` has one row per appid.
     """
-    found = stage(extract_app_ids(lines, strict), "app-ids")
+    time = time or order[0]
+    needed = dict.fromkeys(["otid", "stream", "line", time, *order])
+    found = stage(extract_app_ids(lines.select(*needed), strict), "app-ids")
     ids = app_ids_with_fallback(found, tasks)
-    ends = found.groupBy("otid").agg(F.max(order[0]).alias("_end"))
+    ends = found.groupBy("otid").agg(F.max(time).alias("_end"))
     known = app_status.select("appid", F.col("status").alias("_status"))
 
     # ``ids`` is a subset of ``found``, whose largest task bounds the groups to number.
     numbered = sequence_rows(
-        ids, ["otid"], order, following={"_next": order[0]}, group_limit=group_limit,
+        ids, ["otid"], order, following={"_next": time}, group_limit=group_limit,
         largest=largest_group(found, ["otid"]),
     )
     apps = (
         numbered.join(ends, "otid")
         .join(known, "appid", "left")
-        .select("otid", "appid", "sequence", F.col(order[0]).alias("start_ts"),
+        .select("otid", "appid", "sequence", F.col(time).alias("start_ts"),
                 F.coalesce("_next", "_end").alias("end_ts"),
                 F.coalesce("_status", F.lit(C.RUNNING)).alias("status"))
     )

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobtrail.operators.ledger import task_logs
+from jobtrail.functions.parsing import stamp_to_timestamp, timestamp_to_stamp
+from jobtrail.operators.ledger import build_ledger, task_logs
 from jobtrail.plans.ledger_queries import NUMBERED, WANTED, numbered, wanted
 from jobtrail.plans.registry import Tables, query
 from jobtrail.session import scratch_path
@@ -29,6 +30,36 @@ def a1(t: Tables):
     return logs.read_task_logs(t.spark, path).select("otid", "stream", "log_date", "line")
 
 
+@query("h1_ledger_from_files", """
+, subs as (select otid, event_id, ts, 'application_1700000000000_' || lpad(cast(event_id as varchar), 7, '0') as appid,
+             case when props like '%7%' then 'FAILED' else 'SUCCEEDED' end as status
+           from event_lines l join events e using (event_id)
+           where l.stream = 'stderr' or e.event_type in ('click', 'purchase')),
+  numbered as (select *, row_number() over (partition by otid order by epoch_us(ts) // 1000, event_id) as n,
+             count(*) over (partition by otid) as n_apps from subs),
+  tasks as (select distinct otid from event_lines)
+select t.otid, coalesce(n.n_apps, 0) as n_apps, coalesce(n.appid, '') as last_appid, coalesce(n.status, 'FINISHED') as status
+from tasks t left join numbered n on n.otid = t.otid and n.n = n.n_apps""", extra=EVENT_LINES)
+def h1_files(t):
+    """From files to the final status: every event is a submission in the log of its day and kind."""
+    path = scratch_path(t.spark, "task-logs")
+    appid = F.concat(F.lit("application_1700000000000_"), F.lpad(F.col("event_id").cast("string"), 7, "0"))
+    lines = t.events.select(
+        F.when(F.col("event_type") == "error", "stderr").otherwise("stdout").alias("stream"),
+        F.date_format("ts", "yyyy-MM-dd").alias("log_date"),
+        F.concat(F.lit("SK."), "event_type", F.lit("_00-00-00-000")).alias("task"),
+        F.concat(timestamp_to_stamp(F.col("ts")), F.lit("\tINFO Submitted application "), appid).alias("value"),
+    )
+    lines.hint("rebalance", "log_date").write.partitionBy("stream", "log_date", "task").text(path)
+    read = logs.read_task_logs(t.spark, path).withColumn("ts", stamp_to_timestamp(F.substring("line", 1, 23)))
+    tasks = read.select("otid", "opid").distinct().withColumn(
+        "submission", F.when(F.col("opid").isin("SK.click", "SK.purchase"), "sync").otherwise("async"))
+    status = t.events.select(
+        appid.alias("appid"), F.when(F.col("props").contains("7"), "FAILED").otherwise("SUCCEEDED").alias("status"))
+    outcome = build_ledger(tasks, read, status, order=["ts", "file", "block", "row"]).tasks
+    return outcome.select("otid", "n_apps", F.coalesce("last_appid", F.lit("")).alias("last_appid"), "status")
+
+
 def container_logs(t: Tables):
     """Container logs of every application: a stderr section of two lines and a stdout section."""
     path = scratch_path(t.spark, "container-logs")
