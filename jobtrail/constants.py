@@ -96,6 +96,13 @@ QUOTA_NOT_NUMBER = "quota is not a number"
 QUOTA_TOO_LARGE = "quota can not larger than 53687091200"
 QUEUE_NAME_MISSING = "queueName is not exist"
 MEMTOTAL_MISSING = "memtotal is not exist"
+TASK_UNKNOWN = "the optask '%s' is not exist"
+TASK_FINISHED = "the optask '%s' is FINISHED"
+KILL_REFUSED = "the application '%s' is not normal to kill, Please check the operator task status"
+NO_APPLICATION_ID = "当前算子标准输出流中没有截获到ApplicationId，请确认是否用了log4j处理日志，应该使用标准输出"
+INSTANCE_UNKNOWN = "the opTask(%s) of jobinstanceid(%s) is not exist"
+QUEUE_EXISTS = "exist queue: %s"
+QUEUE_UNKNOWN = "not exist queue: %s"
 TASK_KILLED = "the optask is killed"
 NOT_ENOUGH_MEMORY = "The cluster does not have enough memory resource"
 MALFORMED = "malformed document"

@@ -14,6 +14,8 @@ def role_counts(roles: DataFrame, role_type: str = C.NODE_ROLE) -> DataFrame:
 
 def group_capacity(roles: DataFrame, groups: DataFrame) -> DataFrame:
     """Nodes of each configuration group and what they add up to."""
+    if "role_type" in groups.columns:
+        groups = groups.filter(F.col("role_type") == C.NODE_ROLE)
     return groups.join(role_counts(roles), "group_name").select(
         "group_name", "n",
         (F.col("n") * F.col("memory_mb")).cast("bigint").alias("memory_mb"),

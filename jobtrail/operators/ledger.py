@@ -170,7 +170,7 @@ def kill_plan(ids: DataFrame, optask: DataFrame, apptask: DataFrame, strict: boo
     """What stopping each requested task takes, one row per step.
 
     A running task lists every unfinished application; with none left it needs only its own
-    status changed (``appid`` NULL).
+    status changed (``appid`` NULL). ``message`` says why nothing is to be done.
     """
     known = optask.select("otid", "opid", "status")
     asked = ids.select("otid").distinct().join(known, "otid", "left").select(
@@ -186,7 +186,12 @@ def kill_plan(ids: DataFrame, optask: DataFrame, apptask: DataFrame, strict: boo
         "sequence": F.lit(None).cast(live.schema["sequence"].dataType),
         "appid": F.lit(None).cast("string"),
     })
-    return kills.unionByName(rest)
+    message = (
+        F.when(F.col("action") == C.NOT_EXIST, F.format_string(C.TASK_UNKNOWN, F.col("otid")))
+        .when(F.col("action") == C.ALREADY_FINISHED, F.format_string(C.TASK_FINISHED, F.col("otid")))
+        .otherwise("")
+    )
+    return kills.unionByName(rest).withColumn("message", message)
 
 
 def kill_outcome(apps: DataFrame) -> DataFrame:
@@ -195,7 +200,11 @@ def kill_outcome(apps: DataFrame) -> DataFrame:
     return apps.groupBy("otid").agg(
         F.bool_and("killed").alias("all_killed"),
         F.min_by(F.when(failed, F.col("appid")), F.when(failed, F.col("sequence"))).alias("first_failure"),
-    ).withColumn("status", F.when(F.col("all_killed"), C.KILLED).otherwise(C.RUNNING))
+    ).withColumns({
+        "status": F.when(F.col("all_killed"), C.KILLED).otherwise(C.RUNNING),
+        "message": F.when(F.col("all_killed"), "").otherwise(
+            F.format_string(C.KILL_REFUSED, F.col("first_failure"))),
+    })
 
 
 def start_tasks(requests: DataFrame) -> DataFrame:
@@ -210,6 +219,18 @@ def start_tasks(requests: DataFrame) -> DataFrame:
     )
 
 
+def log_requests(keys: DataFrame, optask: DataFrame, apptask: DataFrame) -> DataFrame:
+    """Answer to each log request before any log is read: its applications, or why there is none."""
+    counts = apptask.groupBy("otid").agg(F.count("*").alias("n_apps"))
+    asked = task_by_instance(optask, keys).join(counts, "otid", "left")
+    unknown = F.format_string(C.INSTANCE_UNKNOWN, F.col("opid"), F.col("jobinstanceid"))
+    return asked.select(
+        "jobinstanceid", "opid", "otid", F.coalesce("n_apps", F.lit(0)).alias("n_apps"),
+        F.when(F.col("otid") == C.NOT_EXIST, unknown)
+        .when(F.col("n_apps").isNull(), C.NO_APPLICATION_ID).otherwise("").alias("message"),
+    )
+
+
 def task_logs(keys: DataFrame, optask: DataFrame, apptask: DataFrame, sections: DataFrame) -> DataFrame:
     """Container log rows of all applications of the requested (jobinstanceid, opid) pairs."""
     tasks = task_by_instance(optask, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.operators import capacity as CP
 from jobtrail.operators import storage as S
+from jobtrail.plans import registration as R
 from jobtrail.plans import validation as V
 from jobtrail.plans.registry import Tables, query
 from jobtrail.plans.request_queries import queues as queue_requests
@@ -186,6 +187,46 @@ def j3_update(t):
         "req_id", "share", "default_left", "admitted")
 
 
+QUEUE_REQUESTS = TOTAL + """,
+  asked as (select d.req_id, case when d.name is null then null when d.req_id % 3 = 0 then o.queue_name else d.name end as name,
+                   d.memtotal from queue_doc_v d left join (
+                     select o_custkey, max(o_orderpriority) as queue_name from orders group by o_custkey) o
+                   on o.o_custkey = d.req_id),
+  known as (select case when queue_name = '5-LOW' then 'default' else queue_name end as queue_name from queue_v),
+  judged as (select a.req_id, a.name, a.memtotal, k.queue_name is not null as exists_already,
+                    floor(100 * (cast(a.memtotal as double) / t.memory_mb) + 0.5) as share
+             from asked a cross join total t left join known k on k.queue_name = a.name)"""
+
+
+def queue_batch(t: Tables):
+    """Validated queue requests of which every third names the queue its customer uses most."""
+    requests = queue_requests(t).join(
+        t.sql("select o_custkey as req_id, max(o_orderpriority) as busy from {orders} group by o_custkey"), "req_id", "left")
+    name = F.when(F.col("name").isNotNull(), F.when(F.col("req_id") % 3 == 0, F.col("busy")).otherwise(F.col("name")))
+    return V.validate_queues(requests.withColumn("name", name)).drop("busy")
+
+
+@query("j3_judge_new_queues", """
+select req_id, case when memtotal is null then 'memtotal is not exist' when name is null then 'queueName is not exist'
+    when exists_already then 'exist queue: ' || name when 20 - share < 0 then 'The cluster does not have enough memory resource'
+    else '' end as reason from judged""", f"{CAPACITY_VIEWS} queue_v queue_doc_v", QUEUE_REQUESTS)
+def j3_new(t):
+    total = CP.cluster_capacity(t.role_v, t.role_group_v).select("memory_mb").scalar()
+    known = CP.queue_settings(properties(t)).select("queue_name").distinct()
+    return R.judge_queues(queue_batch(t), known, properties(t), total).select("req_id", "reason")
+
+
+@query("j3_judge_queue_updates", """
+select req_id, case when memtotal is null then 'memtotal is not exist' when name is null then 'queueName is not exist'
+    when not exists_already then 'not exist queue: ' || name when 20 - (share - 20) < 0
+    then 'The cluster does not have enough memory resource' else '' end as reason
+from judged""", f"{CAPACITY_VIEWS} queue_v queue_doc_v", QUEUE_REQUESTS)
+def j3_judge_update(t):
+    total = CP.cluster_capacity(t.role_v, t.role_group_v).select("memory_mb").scalar()
+    known = CP.queue_settings(properties(t)).select("queue_name").distinct()
+    return R.judge_queues(queue_batch(t), known, properties(t), total, update=True).select("req_id", "reason")
+
+
 @query("c10_queue_drift", """
 , req as (select c_custkey, cast(c_nationkey as double) as capacity, 1.0::double as ulf from customer),
   obs as (select o_custkey, cast(count(*) as double) as capacity, cast(max(o_orderkey % 2) as double) as ulf

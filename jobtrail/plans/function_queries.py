@@ -374,8 +374,11 @@ def f17(t):
 
 
 @query("f18_bitmap_is_empty", """
-with x as (select l_orderkey // 32768 + 1 as bucket, l_orderkey, count(distinct l_returnflag) as k from lineitem group by all)
-select bucket, count(*) filter (k = 3) = 0 as none_has_all_flags from x group by bucket""")
+with x as (select case when l_orderkey > 0 then (l_orderkey - 1) // 32768 + 1 else 0 end as bucket, l_orderkey, l_returnflag
+           from lineitem),
+  y as (select bucket, l_orderkey, count(distinct l_returnflag) as k from x group by all)
+select bucket, count(*) filter (k = 3) = 0 as none_has_all_flags from y
+where bucket in (select bucket from x group by bucket having count(distinct l_returnflag) = 3) group by bucket""")
 def f18(t):
     maps = statistics.bitmap_and(order_bitmaps(t), "l_returnflag", 3)
     return maps.select("bucket", statistics.bitmap_is_empty(F.col("bitmap")).alias("none_has_all_flags"))

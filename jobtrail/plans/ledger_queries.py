@@ -310,23 +310,39 @@ def plan(t: Tables):
 
 
 @query("h5_kill_plan", """
-select otid, action, coalesce(sequence, 0) as sequence, coalesce(appid, '') as appid from plan""",
+select otid, action, coalesce(sequence, 0) as sequence, coalesce(appid, '') as appid,
+       case action when 'NOT_EXIST' then 'the optask ''' || otid || ''' is not exist'
+                   when 'ALREADY_FINISHED' then 'the optask ''' || otid || ''' is FINISHED' else '' end as message from plan""",
        "optask_v app_v", f"{NUMBERED}, {ASKED}, {PLAN}")
 def h5(t):
     return plan(t).select("otid", "action", F.coalesce("sequence", F.lit(0)).alias("sequence"),
-                          F.coalesce("appid", F.lit("")).alias("appid"))
+                          F.coalesce("appid", F.lit("")).alias("appid"), "message")
 
 
 @query("d7_kill_outcome", """
 , fails as (select otid, min(sequence) as m from numbered where status = 'FAILED' group by otid)
 select n.otid, f.m is null as all_killed, coalesce(max(case when n.sequence = f.m then n.appid end), '') as first_failure,
-       case when f.m is null then 'KILLED' else 'RUNNING' end as status
+       case when f.m is null then 'KILLED' else 'RUNNING' end as status,
+       case when f.m is null then '' else 'the application ''' || max(case when n.sequence = f.m then n.appid end) ||
+            ''' is not normal to kill, Please check the operator task status' end as message
 from numbered n left join fails f on f.otid = n.otid group by n.otid, f.m""", "app_v", NUMBERED)
 def d7(t):
     apps = numbered(t).withColumn("killed", F.col("status") != "FAILED")
     return L.kill_outcome(apps).withColumn("first_failure", F.coalesce("first_failure", F.lit("")))
 
 
+@query("c5_log_requests", """
+, apps as (select otid, count(*) as n_apps from app_v group by otid)
+select w.jobinstanceid, w.opid, coalesce(o.otid, 'NOT_EXIST') as otid, coalesce(a.n_apps, 0) as n_apps,
+       case when o.otid is null then 'the opTask(' || w.opid || ') of jobinstanceid(' || w.jobinstanceid || ') is not exist'
+            when a.n_apps is null then '当前算子标准输出流中没有截获到ApplicationId，请确认是否用了log4j处理日志，应该使用标准输出'
+            else '' end as message
+from wanted w left join optask_v o on o.jobinstanceid = w.jobinstanceid and o.opid = w.opid
+     left join apps a on a.otid = o.otid""", "optask_v app_v", WANTED)
+def c5_requests(t):
+    return L.log_requests(wanted(t), t.optask_v, t.app_v)
+
+
 @query("h6_start_tasks", """
 select opid || strftime(submit_ts, '%Y-%m-%d_%H-%M-%S-%g') as otid, opid, processid, jobinstanceid, username,
        case when queuename = '3-MEDIUM' then 'default' else queuename end as queuename,

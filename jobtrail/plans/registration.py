@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail import constants as C
+from jobtrail.operators.capacity import admission
 from jobtrail.operators.keys import apply_deletes, apply_updates, mark_existing
 from jobtrail.operators.packages import package_check, submit_jar_check
 from jobtrail.plans.validation import first_reason, rule
@@ -132,6 +133,25 @@ def judge_udf_updates(requests: DataFrame, registry: DataFrame) -> DataFrame:
     )).drop("_known")
 
 
+def judge_queues(requests: DataFrame, queues: DataFrame, properties: DataFrame, total_memory: Column,
+                 update: bool = False) -> DataFrame:
+    """Judge validated queue requests: rules, the queue name, then whether the default queue can pay.
+
+    A new queue must not exist yet and an updated one must exist. Requests are independent.
+    """
+    known = queues.select(F.col("queue_name").alias("name"))
+    df = mark_existing(requests, known, "name", "_known")
+    df = admission(df.withColumn("queue_name", F.col("name")), properties, total_memory, update)
+    wrong_name = (
+        rule(~F.col("_known"), F.format_string(C.QUEUE_UNKNOWN, F.col("name"))) if update
+        else rule(F.col("_known"), F.format_string(C.QUEUE_EXISTS, F.col("name")))
+    )
+    return df.withColumn("reason", first_reason(
+        F.col("error"), wrong_name,
+        rule(~F.coalesce("admitted", F.lit(False)), C.NOT_ENOUGH_MEMORY),
+    )).drop("_known", "queue_name")
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.filter(F.col("reason") == "")
 

@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from jobtrail import constants as C
 from jobtrail.operators import keys as K
 from jobtrail.operators import ledger as L
 
@@ -98,7 +99,15 @@ def test_kill_outcome_names_the_first_failure(spark, rows):
     apps = spark.createDataFrame(
         [("t1", 1, "a1", True), ("t1", 2, "a2", False), ("t1", 3, "a3", False), ("t2", 1, "b1", True)],
         "otid string, sequence int, appid string, killed boolean")
-    assert rows(L.kill_outcome(apps)) == [("t1", False, "a2", "RUNNING"), ("t2", True, None, "KILLED")]
+    assert rows(L.kill_outcome(apps)) == [
+        ("t1", False, "a2", "RUNNING", C.KILL_REFUSED % "a2"), ("t2", True, None, "KILLED", "")]
+
+
+def test_log_requests(spark, rows):
+    keys = spark.createDataFrame([("j1", "MR.a"), ("j3", "HV.b"), ("j9", "x")], "jobinstanceid string, opid string")
+    apps = spark.createDataFrame([("t2",), ("t2",)], "otid string")
+    assert rows(L.log_requests(keys, tasks(spark), apps), "otid", "n_apps", "message") == sorted([
+        ("t2", 2, ""), ("t3", 0, C.NO_APPLICATION_ID), ("NOT_EXIST", 0, C.INSTANCE_UNKNOWN % ("x", "j9"))])
 
 
 def test_results_and_kill_override(spark, rows):
