@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobtrail.session import scratch_path, shared_dir, stage
@@ -157,6 +158,26 @@ def test_jdbc_scan_is_split_by_ranges():
     assert "partitionColumn" not in tables.jdbc_options("jdbc:x://h/db", "optask")
 
 
+def test_shared_folder_comes_from_the_session():
+    class Session:
+        def __init__(self, folder, master):
+            self.conf, self.sparkContext = self, self
+            self.folder, self.master = folder, master
+
+        def get(self, name, default):
+            assert name == "spark.checkpoint.dir"
+            return self.folder or default
+
+        def set(self, name, value):
+            self.folder = value
+
+    assert shared_dir(Session("hdfs:///shared/", "yarn")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        shared_dir(Session(None, "yarn"))
+    local = Session(None, "local[2]")
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_staging_uses_the_shared_folder(spark, rows):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     staged = stage(df, "test-stage")
