@@ -76,7 +76,7 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
         F.collect_list(F.when(noted, special)).alias("_specials"),
     ), "log-splits")
     key = _split_key(splits)
-    parts = _sections_of_splits(splits).select(key.alias("_key"), "file", "_lines0", "_m0", "_sections")
+    parts = _sections_of_splits(splits.withColumn("_key", key))
 
     # Lines travel with the short key of their split; the path comes back with the join.
     here = W.partitionBy("_key").orderBy("row")
@@ -114,8 +114,8 @@ def _split_key(splits: DataFrame) -> Column:
 def _sections_of_splits(splits: DataFrame) -> DataFrame:
     """Per split: what it starts inside of, and its sections in order, the carried one first."""
     carry = _carry(splits)
-    headers = splits.select("file", "block", "_min", F.inline("_specials"))
-    heads = _place(headers, carry).groupBy("file", "section").agg(
+    headers = splits.select("_key", "_min", F.inline("_specials"))
+    heads = _place(headers, carry).groupBy("_file", "section").agg(
         F.max(F.when(F.col("_marker"), F.col("_in"))).alias("_in"),
         F.max(F.when(F.col("_marker"), F.col("row") - F.col("_min"))).alias("_start"),
         F.max(F.when(F.col("_off") == 1, F.col("_body"))).alias("log_type"),
@@ -123,14 +123,13 @@ def _sections_of_splits(splits: DataFrame) -> DataFrame:
         F.min(F.when(F.col("_ends") & (F.col("_off") > 4), F.col("_off"))).alias("_close"),
     )
     section = F.struct("section", "_start", "_in.node", "_in.container", "log_type", "log_length", "_close")
-    return (
-        carry.withColumn("section", F.explode(F.sequence(F.col("_s0"), F.col("_s0") + F.col("_markers"))))
+    of_split = (
+        carry.select("_key", "_file", F.explode(F.sequence(F.col("_s0"), F.col("_s0") + F.col("_markers"))).alias("section"))
         .withColumn("section", F.col("section").cast("int"))
-        .join(heads, ["file", "section"], "left")
-        .groupBy("file", "block").agg(
-            F.first("_lines0").alias("_lines0"), F.first("_m0").alias("_m0"),
-            F.sort_array(F.collect_list(section)).alias("_sections"))
+        .join(heads, ["_file", "section"], "left")
+        .groupBy("_key").agg(F.sort_array(F.collect_list(section)).alias("_sections"))
     )
+    return carry.select("_key", "file", "_lines0", "_m0").join(of_split, "_key")
 
 
 def _header_columns(lines: DataFrame) -> DataFrame:
@@ -158,37 +157,35 @@ def _carry(splits: DataFrame) -> DataFrame:
     last_of = F.try_element_at(F.array_sort(F.transform(
         inside, lambda s: F.struct(s["row"].alias("row"), s["_container"].alias("c")))), F.lit(-1))["c"]
     rows = splits.select(
-        "file", "block", "_min", "_lines", F.size(markers).alias("_markers"), last_of.alias("_end"),
+        "_key", "file", "block", "_min", "_lines", F.size(markers).alias("_markers"), last_of.alias("_end"),
         F.array_max(F.transform(markers, lambda s: s["row"])).alias("_last"),
     ).withColumn("_lines0", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
     rows = rows.withColumn("_marker_line", F.col("_lines0") + F.col("_last") - F.col("_min") + 1)
     return rows.select(
-        "file", "block", "_lines0", "_markers",
+        "_key", "file", "_lines0", "_markers",
+        # The key of the first split stands for the file.
+        F.first("_key").over(W.partitionBy("file").orderBy("block")).alias("_file"),
         F.coalesce(F.sum("_markers").over(before), F.lit(0)).alias("_s0"),
         F.last("_end", ignorenulls=True).over(before).alias("_c0"),
         F.last("_marker_line", ignorenulls=True).over(before).alias("_m0"),
     )
 
 
-def _place(rows: DataFrame, carry: DataFrame) -> DataFrame:
+def _place(headers: DataFrame, carry: DataFrame) -> DataFrame:
     """Add section, container (``_in``) and distance from the section marker (``_off``)."""
-    here = W.partitionBy("file", "block").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    local = rows.withColumns({
-        "_section": F.sum(F.col("_marker").cast("int")).over(here),
+    here = W.partitionBy("_key").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    local = headers.withColumns({
+        "_nth": F.sum(F.col("_marker").cast("int")).over(here),
         "_start": F.max(F.when(F.col("_marker"), F.col("row"))).over(here),
         "_inside": F.last("_container", ignorenulls=True).over(here),
     })
-
-    def line_number(row: Column) -> Column:
-        return F.col("_lines0") + row - F.col("_min") + 1
-
-    start = F.coalesce(line_number(F.col("_start")), F.col("_m0"))
+    since_carried = F.col("_lines0") + F.col("row") - F.col("_min") + 1 - F.col("_m0")
     return (
-        local.join(carry, ["file", "block"])
+        local.join(carry.drop("file", "_markers"), "_key")
         .withColumns({
-            "section": (F.col("_s0") + F.col("_section")).cast("int"),
+            "section": (F.col("_s0") + F.col("_nth")).cast("int"),
             "_in": F.coalesce("_inside", "_c0"),
-            "_off": line_number(F.col("row")) - start,
+            "_off": F.coalesce(F.col("row") - F.col("_start"), since_carried),
         })
         .filter(F.col("section") > 0)
     )
