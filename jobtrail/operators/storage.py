@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from jobtrail import constants as C
 
 
+def with_group(files: DataFrame, root: str) -> DataFrame:
+    """Add the group a file belongs to: the first directory below ``root``; files elsewhere drop out."""
+    below = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
+    return files.filter(F.col("path").contains(root)).withColumn("group_name", F.substring_index(below, "/", 1))
+
+
 def storage_usage(files: DataFrame, quotas: DataFrame) -> DataFrame:
     """Bytes and files of each group against its quota; sizes add up before the join."""
     used = files.groupBy("group_name").agg(F.sum("size_bytes").alias("used_bytes"), F.count("*").alias("n_files"))

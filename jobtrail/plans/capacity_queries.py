@@ -253,7 +253,8 @@ from used""", "file_v")
 def d4(t):
     quotas = t.sql("""select group_name, count(*) * 5000 as quota_bytes from {file_v}
                       where group_name in ('click', 'signup', 'view') group by group_name""")
-    return S.storage_usage(t.file_v, quotas).withColumn("quota_bytes", F.coalesce("quota_bytes", F.lit(-1)))
+    files = S.with_group(t.file_v.drop("group_name"), "/user/department/")
+    return S.storage_usage(files, quotas).withColumn("quota_bytes", F.coalesce("quota_bytes", F.lit(-1)))
 
 
 @query("k1_expired_files", "select path, size_bytes from file_v where mtime < timestamp '2024-01-20 12:00:00'", "file_v")

@@ -82,3 +82,10 @@ def test_usage_and_retention(spark, rows):
     # Exactly five days old is kept; a file without a time is kept.
     assert rows(old, "path") == [("/a/1",)]
     assert rows(kept, "path") == [("/a/2",), ("/b/1",)]
+
+
+def test_group_is_the_first_directory_below_the_root(spark, rows):
+    files = spark.createDataFrame(
+        [("hdfs://n/user/department/a/x/y",), ("/user/department/b/z",), ("/tmp/other",)], "path string")
+    assert rows(S.with_group(files, "/user/department/"), "path", "group_name") == [
+        ("/user/department/b/z", "b"), ("hdfs://n/user/department/a/x/y", "a")]
