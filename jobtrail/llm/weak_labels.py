@@ -52,6 +52,7 @@ def _measures(text: Column) -> Column:
         (F.length(text) - F.length(F.translate(text, ".", ""))).alias("stops"),
         (F.length(text) - F.length(F.translate(text, "!", ""))).alias("shouts"),
         F.size(F.filter(w, lambda x: x.rlike(PLAIN))).alias("plain"),
+        F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))).alias("runs"),
         letters.alias("letters"), upper.alias("upper"),
         let(F.filter(F.split(text, "\n", -1), lambda x: x != ""), lambda a: F.struct(
             F.size(a).alias("all"), F.size(F.array_distinct(a)).alias("kinds"))).alias("lines")))
@@ -62,6 +63,7 @@ LABELLERS = {
     "symbols": lambda m: _vote(m["symbols"] * 20 > m["words"] * 4, m["symbols"] * 50 < m["words"]),
     "capitals": lambda m: _vote(m["upper"] * 2 > m["letters"], m["upper"] * 6 < m["letters"]),
     "variety": lambda m: _vote(m["kinds"] * 4 < m["words"], m["kinds"] * 5 > m["words"] * 2),
+    "runs": lambda m: _vote(m["runs"] * 5 > m["words"], m["runs"] * 50 <= m["words"]),
     "shouting": lambda m: _vote(m["shouts"] * 10 > m["words"], m["shouts"] * 100 <= m["words"]),
     "sentences": lambda m: _vote((m["stops"] * 80 < m["words"]) | (m["stops"] > m["words"]),
                                  (m["stops"] * 25 >= m["words"]) & (m["stops"] * 2 < m["words"])),
