@@ -4,18 +4,23 @@ A document's set is its distinct word shingles, as 64-bit hashes. Documents with
 a class and only one of them goes on. Every class carries ``COORDINATES`` minwise tokens of its
 set. Each of ``TREES`` trees puts it in the node of its first minwise token. In a node
 
-* every class is compared with the node's first class, so that a large group of near copies becomes
-  one component after as many comparisons as it has members;
-* a node whose classes are one component is finished;
-* a node of at most ``LEAF`` classes is compared exhaustively;
-* a larger one is branched: each class goes to the children named by ``BRANCH`` other minwise
-  tokens, chosen by the node. What is still large after ``DEPTH`` levels is compared exhaustively in
-  blocks, which no task holds whole.
-
-A comparison first looks at the minwise tokens two classes share (a link passes below
-``SKETCH`` of 64 with a probability of about one in a million) and then confirms on the full sets. A
-pair at the threshold meets in one tree with probability 0.85, or 0.82 where nodes branch, so eight trees miss at
-most about one pair in a million; a group only falls apart if all pairs that hold it together are missed.
+* one whose classes are one component is finished;
+* one of at most ``LEAF`` classes is compared exhaustively;
+* in a larger one every class is compared with the node's first, so that a large group of near copies
+  becomes one component after as many comparisons as it has members; if that does not finish it,
+  it is branched: a child is named by ``STEP`` other minwise tokens, chosen by the node, and each
+  class goes to ``BRANCH`` children. What is still large after ``DEPTH`` levels is compared exhaustively
+  in blocks, which no task holds whole.
+
+A comparison first looks at odd sketches, ``BITS`` parities of hashed members: the parities in which two
+sets differ never outnumber their symmetric difference, so no link is lost (of sets above ``WHOLE``
+members a part is sketched, and a link passes but for six standard deviations). Of a leaf's candidates only
+those go on that hold its groups together, and a second round takes all that still lie between
+components. Every pair is confirmed on the full sets.
+
+A pair at the threshold meets in one tree with a probability of at least 0.84 (0.85 for the first token, over 0.99 for
+each branching), so eight trees miss less than one pair in a million; a group only falls apart if
+all pairs that hold it together are missed.
 
 Defined cases: NULL, empty and wordless texts have an empty set, ``component_id`` = ``doc_id`` and are
 kept; fewer words than a shingle are one shingle; rows that repeat a ``doc_id`` are the same document,
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail.llm.texts import columns, map_arrow, pieces, raw
@@ -40,11 +45,13 @@ from jobtrail.session import stage
 WORDS = 5
 SIMILARITY = 85
 TREES = 8
-COORDINATES = 64
-SKETCH = 38
-LEAF = 48
-BRANCH = 2
-DEPTH = 8
+COORDINATES = 32
+BITS = 1024
+WHOLE = 2048
+LEAF = 512
+STEP = 6
+BRANCH = 12
+DEPTH = 3
 SALTS = 16
 
 _random = np.random.default_rng(7)
@@ -81,28 +88,50 @@ def minwise(values: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def odd_sketch(values: np.ndarray) -> bytes:
+    """Parities of the members in each of ``BITS`` places; of a large set, of one member in 2 ** k."""
+    if len(values) > WHOLE:
+        values = values[(values & np.uint64(_thinned(len(values)) - 1)) == 0]
+    counts = np.bincount((values >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _thinned(size: int) -> int:
+    return 1 << max(0, (max(size, 1) - 1) // WHOLE).bit_length()
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes, whose sketches differ in ``odd`` places, can be similar enough."""
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    fits = SIMILARITY * large <= 100 * small
+    most = (100 - SIMILARITY) * (n_a + n_b) / (100 + SIMILARITY)  # members in one set only
+    rate = np.exp2(np.ceil(np.log2(np.maximum(1.0, (small - 1) // WHOLE + 1))))
+    other = np.exp2(np.ceil(np.log2(np.maximum(1.0, (large - 1) // WHOLE + 1))))
+    part = most / np.minimum(rate, other)
+    likely = BITS / 2 * (1 - np.exp(-2 * part / BITS)) + 6 * np.sqrt(np.minimum(part, BITS / 4)) + 1
+    limit = np.where(large <= WHOLE, most, likely)
+    # Sketches of differently thinned sets say nothing.
+    return fits & ((rate != other) | (odd <= limit))
+
+
 def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Per row: size and digest of its set and its minwise tokens."""
+    """Per row: size and digest of its set, its minwise tokens and its odd sketch."""
     rows = columns(docs, id=doc_id, text=text)
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in pieces(batches, "text"):
-            sizes, keys, tokens = [], [], []
+            sizes, keys, tokens, sketches = [], [], [], []
             for body in raw(batch.column("text")):
                 values = shingles(body, words)
                 sizes.append(len(values))
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 tokens.append(minwise(values) if len(values) else None)
+                sketches.append(odd_sketch(values) if len(values) else None)
             yield {"id": batch.column("id"), "n": pa.array(sizes, pa.int64()), "key": pa.array(keys, pa.binary()),
-                   "tokens": pa.array(tokens, pa.list_(pa.int32()))}
-
-    return map_arrow(rows, run, f"id {kind}, n long, key binary, tokens array<int>")
+                   "tokens": pa.array(tokens, pa.list_(pa.int32())), "sketch": pa.array(sketches, pa.binary())}
 
-
-def _alike(a: str, b: str) -> Column:
-    """Sizes that allow the similarity."""
-    return SIMILARITY * F.greatest(a, b) <= 100 * F.least(a, b)
+    return map_arrow(rows, run, f"id {kind}, n long, key binary, tokens array<int>, sketch binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -177,29 +206,70 @@ def _open_nodes(members: DataFrame) -> DataFrame:
     return members.join(nodes, "node")
 
 
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+
+
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that share enough minwise tokens."""
-    side = classes.select("id", "n", "tokens")
+    """Pairs whose sketches allow a link."""
+    side = classes.select("id", "n", "sketch")
     both = (
         pairs.distinct()
-        .join(side.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("tokens").alias("_a")), "a")
-        .join(side.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("tokens").alias("_b")), "b")
-    ).filter(_alike("_na", "_nb"))
-    shared = F.size(F.filter(F.zip_with("_a", "_b", lambda x, y: x == y), lambda s: s))
-    return both.filter(shared >= SKETCH).select("a", "b").distinct()
+        .join(side.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_a")), "a")
+        .join(side.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_b")), "b")
+    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            odd = np.bitwise_count(_bits(batch.column("_a")) ^ _bits(batch.column("_b"))).sum(1)
+            kept = batch.filter(pa.array(may_link(batch.column("_na").to_numpy(), batch.column("_nb").to_numpy(), odd)))
+            yield {"a": kept.column("a"), "b": kept.column("b")}
 
-def _exhaustive(members: DataFrame) -> DataFrame:
-    """Candidate pairs of different components inside groups of at most 2 * LEAF members."""
+    return map_arrow(both.select("a", "b", "_na", "_nb", "_a", "_b"), run, "a long, b long").distinct()
+
+
+def candidates(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """Pairs of different components that may link: ``every`` one, or those of a spanning forest."""
+    count = len(ids)
+    near = np.zeros((count, count), bool)
+    for i in range(count - 1):  # a row at a time keeps the memory of a leaf small
+        odd = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(1)
+        near[i, i + 1:] = may_link(sizes[i + 1:], sizes[i], odd) & (labels[i + 1:] != labels[i]) & (ids[i + 1:] != ids[i])
+    if every:
+        return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near))]
+    found = []
+    fresh = np.ones(count, bool)
+    near |= near.T
+    for root in range(count):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        line = [root]
+        while line:
+            i = line.pop()
+            reached = np.flatnonzero(near[i] & fresh)
+            fresh[reached] = False
+            found += [(int(ids[i]), int(ids[j])) for j in reached]
+            line += reached.tolist()
+    return found
+
+
+def _exhaustive(members: DataFrame, every: bool) -> DataFrame:
+    """Candidate pairs inside groups of bounded size."""
     rows = members.repartition("group").sortWithinPartitions("group")
 
-    def compare(ids, sizes, labels, tokens, found) -> None:
-        same = (tokens[:, None, :] == tokens[None, :, :]).sum(-1) >= SKETCH
-        same &= np.triu(labels[:, None] != labels[None, :], 1)
-        same &= SIMILARITY * np.maximum(sizes[:, None], sizes[None, :]) <= 100 * np.minimum(sizes[:, None], sizes[None, :])
-        for i, j in zip(*np.nonzero(same)):
-            if ids[i] != ids[j]:
-                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    def pairs_of(table: pa.Table) -> dict:
+        found: list[tuple[int, int]] = []
+        if table.num_rows:
+            groups, ids, sizes, labels = (table.column(c).to_numpy() for c in ("group", "id", "n", "label"))
+            bits = _bits(table.column("sketch"))
+            bounds = [0, *(np.nonzero(np.diff(groups))[0] + 1).tolist(), len(groups)]
+            for start, stop in zip(bounds, bounds[1:]):
+                if stop - start > 1:
+                    at = slice(start, stop)
+                    found += candidates(ids[at], sizes[at], labels[at], bits[at], every)
+        found = list(set((min(p), max(p)) for p in found))
+        return {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held = None  # rows of a group that the next batch may go on with; bounded by the group's size
@@ -210,87 +280,73 @@ def _exhaustive(members: DataFrame) -> DataFrame:
             groups = table.column("group").to_numpy()
             cut = int(np.searchsorted(groups, groups[-1]))
             held = table.slice(cut)
-            yield _pairs_of(table.slice(0, cut), compare)
+            yield pairs_of(table.slice(0, cut))
         if held is not None:
-            yield _pairs_of(held, compare)
-
-    return map_arrow(rows.select("group", "id", "n", "label", "tokens"), run, "a long, b long").distinct()
+            yield pairs_of(held)
 
+    return map_arrow(rows.select("group", "id", "n", "label", "sketch"), run, "a long, b long").distinct()
 
-def _pairs_of(table: pa.Table, compare) -> dict:
-    found: list[tuple[int, int]] = []
-    if table.num_rows:
-        groups, ids, sizes, labels = (table.column(c).to_numpy() for c in ("group", "id", "n", "label"))
-        tokens = table.column("tokens").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        bounds = [0, *(np.nonzero(np.diff(groups))[0] + 1).tolist(), len(groups)]
-        for start, stop in zip(bounds, bounds[1:]):
-            if stop - start > 1:
-                at = slice(start, stop)
-                compare(ids[at], sizes[at], labels[at], tokens[at], found)
-    return {"a": pa.array([int(a) for a, _ in found], pa.int64()), "b": pa.array([int(b) for _, b in found], pa.int64())}
 
-
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, leaf: int) -> DataFrame:
     """Large nodes as pairs of blocks: every two members meet in one group of two blocks."""
-    blocks = F.ceil(F.col("size") * 2 / LEAF).cast("int")
+    blocks = F.ceil(F.col("size") * 2 / leaf).cast("int")
     own = F.pmod(F.xxhash64("id", "node"), blocks).cast("int")
     rows = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("group", F.xxhash64("node", F.least("_own", "_other"), F.greatest("_own", "_other")))
 
 
 def _children(members: DataFrame) -> DataFrame:
-    picks = F.explode(F.array(*[
-        F.pmod(F.xxhash64("node", F.lit(j)), F.lit(COORDINATES)).cast("int") for j in range(BRANCH)])).alias("_pick")
-    return members.select("id", "n", "tokens", "node", picks).select(
-        "id", F.xxhash64("node", "_pick", F.get("tokens", F.col("_pick"))).alias("node")).distinct()
+    """Each member in its children: a child is named by the values of ``STEP`` coordinates."""
+    rows = members.withColumn("_child", F.explode(F.sequence(F.lit(0), F.lit(BRANCH - 1))))
+    values = [F.get("tokens", F.pmod(F.xxhash64("node", "_child", F.lit(k)), F.lit(COORDINATES)).cast("int")) for k in range(STEP)]
+    return rows.select("id", F.xxhash64("node", "_child", *values).alias("node")).distinct()
 
 
 def links_of(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             words: int = WORDS, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+             words: int = WORDS, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirmed links between classes and the components they make (None without any link)."""
     roots = classes.select("id", F.posexplode(F.slice("tokens", 1, trees)).alias("_tree", "_token"))
     frontier = roots.select("id", F.xxhash64("_tree", "_token").alias("node")).distinct()
-    links = labels = None
+    links = labels = tried = None
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal links, labels
+    def add(pairs: DataFrame) -> bool:
+        """Confirm staged pairs; whether there were any."""
+        nonlocal links, labels, tried
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
+        tried = pairs if tried is None else tried.union(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         found = stage(_confirmed(pairs, stage(_sets(docs, wanted, doc_id, text, words), "sets")), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        return True
 
-    small: list[DataFrame] = []
+    leaves: list[DataFrame] = []
     for level in range(depth + 1):
-        members = stage(_open_nodes(_labelled(frontier, None)).drop("label"), "members")
-        members = stage(_open_nodes(_labelled(members.select("id", "node"), labels)), "members") if labels is not None \
-            else members.withColumn("label", F.col("id"))
-        star = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-        star = stage(_sketched(star, classes), "star")
-        if not star.isEmpty():
-            add(star)
-            members = stage(_open_nodes(_labelled(members.select("id", "node"), labels)), "members")
-        small.append(members.filter(F.col("size") <= leaf).withColumn("group", F.col("node")))
+        members = stage(_open_nodes(_labelled(frontier, labels)).drop("label"), "members")
+        leaves.append(members.filter(F.col("size") <= leaf).select(F.col("node").alias("group"), "id"))
         large = members.filter(F.col("size") > leaf)
         if large.isEmpty():
             break
-        wide = large.join(classes.select("id", "n", "tokens"), "id")
+        if level == 0:
+            star = large.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+            if add(_sketched(star, classes)):
+                large = _open_nodes(_labelled(large.select("id", "node"), labels))
         if level == depth:
-            small.append(_blocks(large))
+            leaves.append(_blocks(large, leaf).select("group", "id"))
+            break
+        frontier = stage(_children(large.select("id", "node").join(classes.select("id", "tokens"), "id")), "frontier")
+    groups = leaves[0]
+    for part in leaves[1:]:
+        groups = groups.union(part)
+    for every in (False, True):
+        # Only groups that still hold several components are looked at again.
+        still = _open_nodes(_labelled(groups.withColumnRenamed("group", "node"), labels)).withColumnRenamed("node", "group")
+        if not add(_exhaustive(still.join(classes.select("id", "n", "sketch"), "id"), every)):
             break
-        frontier = _children(wide)
-    rest = small[0].select("group", "id")
-    for part in small[1:]:
-        rest = rest.union(part.select("group", "id"))
-    rest = _labelled(rest, labels).join(classes.select("id", "n", "tokens"), "id")
-    pairs = _exhaustive(rest)
-    if links is not None:
-        known = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-    pairs = stage(pairs, "leaf-pairs")
-    if not pairs.isEmpty():
-        add(pairs)
     return links, labels
 
 
@@ -298,16 +354,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Per row: size of its set, component, and whether it is the component's document."""
     rows = stage(facts(docs, doc_id, text, words), "facts")
-    own = rows.select(F.col("id").cast("long").alias("id"), "n", "key", "tokens")
+    own = rows.select(F.col("id").cast("long").alias("id"), "n", "key", "tokens", "sketch")
     classes = stage(own.filter("n > 0 and id is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
-        F.any_value("tokens").alias("tokens")), "classes")
+        F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes")
     _, labels = links_of(docs, classes, doc_id, text, words, trees, leaf, depth)
     named = _labelled(classes.select("key", "id", "copies"), labels)
     # Only rows whose component is not their own id need to learn it.
     told = named.filter("copies > 1 or label <> id").select(
         "key", "label", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    spread = own.drop("tokens").withColumn("_salt", F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(SALTS)).cast("int"))
+    spread = own.drop("tokens", "sketch").withColumn("_salt", F.pmod(F.coalesce(F.xxhash64("id"), F.lit(0)), F.lit(SALTS)).cast("int"))
     # NULL keys meet nothing in the join, so they are spread over the parts as well.
     component = F.coalesce("label", "id")
     return spread.join(told, ["key", "_salt"], "left").select(
