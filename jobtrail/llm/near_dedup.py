@@ -18,8 +18,8 @@ members a part is sketched, and a link passes but for six standard deviations).
 those go on that hold its groups together, and a second round takes all that still lie between
 components. Every pair is confirmed on the full sets.
 
-A pair at the threshold meets in one tree with a probability of at least 0.84 (0.85 for the first token, over 0.99 for
-each branching), so eight trees miss less than one pair in a million; a group only falls apart if
+A pair at the threshold meets in one tree with a probability of 0.85, or 0.83 after a branching and at least 0.77
+after four, so eight trees miss at most about one pair in 100,000; a group only falls apart if
 all pairs that hold it together are missed.
 
 Defined cases: NULL, empty and wordless texts have an empty set, ``component_id`` = ``doc_id`` and are
@@ -48,10 +48,10 @@ TREES = 8
 COORDINATES = 32
 BITS = 1024
 WHOLE = 2048
-LEAF = 512
-STEP = 6
-BRANCH = 12
-DEPTH = 3
+LEAF = 4096
+STEP = 3
+BRANCH = 4
+DEPTH = 4
 SALTS = 16
 
 _random = np.random.default_rng(7)
