@@ -110,7 +110,7 @@ def find_words(machine: ahocorasick.Automaton | None, words: list[bytes]) -> tup
     for end, (count, owners) in machine.iter(_padded(words)):
         if starts is None:
             starts = np.cumsum([1] + [len(w) + 1 for w in words]).tolist()
-        last = bisect_right(starts, end) - 1
+        last = bisect_right(starts, end)  # the words that begin before the closing space
         ranges.append((last - count, last))
         items.update(owners)
     return merged(ranges), items

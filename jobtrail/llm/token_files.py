@@ -21,10 +21,12 @@ input are not touched and may have any name.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobtrail.llm.bpe import definition
+from jobtrail.llm.bpe import byte_symbols, definition
 from jobtrail.llm.texts import columns, map_arrow, pieces, raw
 from jobtrail.session import scratch_path
 
@@ -43,15 +45,16 @@ ROUNDS = 4
 RULES_A_ROUND = 4000
 LEAST_COUNT = 8
 MARK = 1024
-KNOWN_WORDS = 500_000
-KNOWN_LENGTH = 64
+KNOWN_WORDS = 1_000_000
 
 
 class LibraryEncoder:
-    """Ids from the tokenizers library, asked once for each white-space delimited word.
+    """Ids from the tokenizers library.
 
-    Words are independent where no part of the tokenizer reaches over ASCII white space, as here.
-    Known words are kept in two halves, of which the older goes when the younger is full.
+    A tokenizer that lower-cases, splits at white space and works on bytes is asked once for each white-space
+    delimited word, since no word's ids depend on its neighbours; a word of letters and at most one sign goes
+    straight to its merge model. Any other tokenizer is asked for whole texts. Beyond ``KNOWN_WORDS`` words
+    the table starts afresh, which bounds its memory.
     """
 
     def __init__(self, spec: str):
@@ -62,26 +65,96 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, list[int]] = {}
-        self.old: dict[bytes, list[int]] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [t.split() if t else [] for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.old, self.known = self.known, {}
-        known, old, new = self.known, self.old, []
-        for word in set(chain.from_iterable(words)).difference(known):
-            ids = old.get(word)
+        self.by_word = _splits_words(json.loads(spec))
+        self.symbols = byte_symbols()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.signs = {c: [t.id for t in self.tokenize(c)] for c in ".,;:!?"} if self.by_word else {}
+        self._fresh()
+
+    def _fresh(self) -> None:
+        """Number of each known word, and the ids of word k: ``lengths[k]`` of them from ``starts[k]``."""
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.lengths = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _plain(self, word: str) -> list[int] | None:
+        sign = self.signs.get(word[-1])
+        body = word if sign is None else word[:-1]
+        if not body.isalpha():
+            return None
+        if body.isascii():
+            body = body.lower()
+        else:
+            body = "".join([c.lower() for c in body])
+            if not body.isalpha() or not unicodedata.is_normalized("NFC", body) or not unicodedata.is_normalized("NFC", word):
+                return None
+            body = "".join([self.symbols[b] for b in body.encode()])
+        return [t.id for t in self.tokenize(body)] + (sign or [])
+
+    def _learn(self, words: list[bytes]) -> None:
+        found, rest = {}, []
+        for word in words:
+            ids = self._plain(word.decode())
             if ids is None:
-                new.append(word)
+                rest.append(word)
             else:
-                known[word] = ids
-        for start in range(0, len(new), 10_000):
-            part = new[start:start + 10_000]
+                found[word] = ids
+        for start in range(0, len(rest), 10_000):
+            part = rest[start:start + 10_000]
             coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update(zip(part, (c.ids for c in coded)))
-        get = known.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, w)), (END,)), np.uint32) for w in words]
+            found.update(zip(part, (c.ids for c in coded)))
+        first = len(self.known)
+        lengths = np.fromiter(map(len, found.values()), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found.values()), np.uint32)
+        self.ids = _room(self.ids, self.used + len(flat))
+        self.starts, self.lengths = _room(self.starts, first + len(found)), _room(self.lengths, first + len(found))
+        self.ids[self.used:self.used + len(flat)] = flat
+        self.lengths[first:first + len(found)] = lengths
+        self.starts[first:first + len(found)] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.known.update(zip(found, range(first, first + len(found))))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of every text, the end id included."""
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+            return [np.array(c.ids + [END], np.uint32) for c in coded]
+        words = [t.split() if t else [] for t in texts]
+        counts = [len(w) for w in words]
+        every = list(chain.from_iterable(words))
+        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        new = {every[i] for i in np.flatnonzero(at < 0).tolist()}
+        if new:
+            if len(self.known) + len(new) > KNOWN_WORDS:
+                self._fresh()
+                at[:] = -1
+                new = set(every)
+            self._learn(list(new))
+            missed = np.flatnonzero(at < 0)
+            at[missed] = [self.known[every[i]] for i in missed.tolist()]
+        size = self.lengths[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [np.append(flat[a:b], np.uint32(END)) for a, b in zip(borders, borders[1:])]
+
+
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, len(values)), values.dtype)])
+
+
+def _splits_words(spec: dict) -> bool:
+    """Whether texts fall apart at white space, in lower case and bytes."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"]
+        and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+        and "[\\p{L}]+" in parts[0]["pattern"].get("Regex", "").split("|")
+        and "[^\\s\\p{L}\\p{N}]+" in parts[0]["pattern"].get("Regex", "").split("|")
+    )
 
 
 _encoders: dict[int, LibraryEncoder] = {}
@@ -101,11 +174,17 @@ def _frequent(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(counts >= LEAST_COUNT)
-    if len(often) > most:
-        often = np.sort(often[np.argsort(-counts[often], kind="stable")[:most]])
-    rank = np.empty(len(often), np.int32)
-    rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often), dtype=np.int32)
-    return ordered[starts[often]], rank
+    # Equal counts go in the order of a hash: in the order of ids, chains of pairs would shadow each other.
+    order = often[np.lexsort((_slot(ordered[starts[often]]), -counts[often]))][:most]
+    place = np.argsort(order)
+    rank = np.empty(len(order), np.int32)
+    rank[np.arange(len(order))] = place
+    return ordered[starts[order[place]]], rank
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    mixed = keys * keys.dtype.type(0x9E3779B1)
+    return (mixed >> keys.dtype.type(8 * keys.itemsize - 20)).astype(np.int32)
 
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +201,11 @@ def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULE
         chosen, rank = _frequent(keys, most)
         if not len(chosen):
             break
-        at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+        # A pair's slot holds its place among the chosen; of two in one slot the later is left for
+        # the next round.
+        slots = np.zeros(1 << 20, np.int32)
+        slots[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        at = slots[_slot(keys)]
         score = np.where(chosen[at] == keys, rank[at], np.iinfo(np.int32).max)
         take = score < np.iinfo(np.int32).max
         take[1:] &= score[1:] < score[:-1]
