@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm.quality_rules import words_of
 from jobtrail.llm.texts import columns, let, map_arrow, pieces, raw
+from jobtrail.session import stage
 
 SAMPLE = 6000
 BUCKETS = 1 << 14
@@ -201,7 +202,8 @@ def fit(voted: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
     """Votes, posterior of the label model, score of the trained model, and verdict of every document."""
-    voted = votes(docs, doc_id, text)
+    # Three passes read the votes; staged with their texts, the measures are taken once.
+    voted = stage(votes(docs, doc_id, text), "votes")
     model, weights = fit(voted, sample)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
     kind = voted.schema["id"].dataType.simpleString()
