@@ -59,7 +59,8 @@ def queue_report(queues: DataFrame, roles: DataFrame, groups: DataFrame, apps: D
     ).cast("double")
     cpu_total = F.ceil(vcores * F.col("capacity") * F.col("user_limit_factor") / 100).cast("double")
     return (
-        queues.join(finished_per_queue(queues, apps), "queue_name")
+        queues.join(finished_counts(apps), "queue_name", "left")
+        .withColumn("n_finished", F.coalesce("n_finished", F.lit(0)))
         .withColumns({"mem_total": mem_total, "cpu_total": cpu_total})
         .select(
             F.col("queue_name").alias("name"), F.col("max_applications").alias("maxapps"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from typing import NamedTuple
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +17,18 @@ from jobtrail.session import stage
 ARRIVAL = ("ts", "tie1", "tie2", "tie3")
 
 
-class Ledger(NamedTuple):
-    apps: DataFrame
-    tasks: DataFrame
+class Ledger:
+    """Status of every task, and every application with its interval.
+
+    Numbering measures the largest task first, so ``apps`` is planned only when it is asked for.
+    """
+
+    def __init__(self, tasks: DataFrame, plan_apps: Callable[[], DataFrame]):
+        self.tasks, self._plan_apps = tasks, plan_apps
+
+    @cached_property
+    def apps(self) -> DataFrame:
+        return self._plan_apps()
 
 
 def number_apps(apps: DataFrame, order: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -84,32 +93,34 @@ def build_ledger(tasks: DataFrame, lines: DataFrame, app_status: DataFrame,
     ends = found.groupBy("otid").agg(F.max(time).alias("_end"))
     known = app_status.select("appid", F.col("status").alias("_status"))
 
-    # ``ids`` is a subset of ``found``, whose largest task bounds the groups to number.
-    numbered = sequence_rows(
-        ids, ["otid"], order, following={"_next": time}, group_limit=group_limit,
-        largest=largest_group(found, ["otid"]),
-    )
-    apps = (
-        numbered.join(ends, "otid")
-        .join(known, "appid", "left")
-        .select("otid", "appid", "sequence", F.col(time).alias("start_ts"),
-                F.coalesce("_next", "_end").alias("end_ts"),
-                F.coalesce("_status", F.lit(C.RUNNING)).alias("status"))
-    )
+    def plan_apps() -> DataFrame:
+        # ``ids`` is a subset of ``found``, whose largest task bounds the groups to number.
+        numbered = sequence_rows(
+            ids, ["otid"], order, following={"_next": time}, group_limit=group_limit,
+            largest=largest_group(found, ["otid"]),
+        )
+        return (
+            numbered.join(ends, "otid")
+            .join(known, "appid", "left")
+            .select("otid", "appid", "sequence", F.col(time).alias("start_ts"),
+                    F.coalesce("_next", "_end").alias("end_ts"),
+                    F.coalesce("_status", F.lit(C.RUNNING)).alias("status"))
+        )
 
     # The task status needs only the last application, so aggregate first (map-side combine)
     # and join the statuses of those few.
     last = ids.groupBy("otid").agg(
         F.max_by("appid", F.struct(*order)).alias("appid"), F.count("*").alias("n_apps")
     )
-    outcome = tasks.select("otid", "opid").join(last, "otid", "left").join(known, "appid", "left").select(
+    last = last.join(known, "appid", "left")  # before the tasks without application come in
+    outcome = tasks.select("otid", "opid").join(last, "otid", "left").select(
         "otid", "opid",
         F.coalesce("n_apps", F.lit(0)).alias("n_apps"),
         F.col("appid").alias("last_appid"),
         F.when(F.col("appid").isNull(), C.FINISHED)
         .otherwise(F.coalesce("_status", F.lit(C.RUNNING))).alias("status"),
     )
-    return Ledger(apps, outcome)
+    return Ledger(outcome, plan_apps)
 
 
 def hive_status(state: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +11,21 @@ from jobtrail import constants as C
 
 
 def with_group(files: DataFrame, root: str) -> DataFrame:
-    """Add the group a file belongs to: the first directory below ``root``; files elsewhere drop out."""
-    below = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
-    return files.filter(F.col("path").contains(root)).withColumn("group_name", F.substring_index(below, "/", 1))
+    """Add the group a file belongs to: the first directory below ``root``, which the path must begin
+    with (after scheme and host). Files elsewhere, and files right in ``root``, drop out."""
+    pattern = "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/]*)?" + re.escape(root) + "([^/]+)/"
+    return files.filter(F.col("path").rlike(pattern)).withColumn("group_name", F.regexp_extract("path", pattern, 1))
 
 
 def storage_usage(files: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Bytes and files of each group against its quota; sizes add up before the join."""
+    """Bytes and files of each group against its quota; sizes add up before the join.
+
+    Groups that have a quota and no file are reported with 0 bytes, groups without quota with NULL.
+    """
     used = files.groupBy("group_name").agg(F.sum("size_bytes").alias("used_bytes"), F.count("*").alias("n_files"))
-    return used.join(quotas.select("group_name", "quota_bytes"), "group_name", "left").withColumn(
-        "over_quota", F.coalesce(F.col("used_bytes") > F.col("quota_bytes"), F.lit(False)))
+    return used.join(quotas.select("group_name", "quota_bytes"), "group_name", "full").withColumns({
+        "used_bytes": F.coalesce("used_bytes", F.lit(0)), "n_files": F.coalesce("n_files", F.lit(0)),
+    }).withColumn("over_quota", F.coalesce(F.col("used_bytes") > F.col("quota_bytes"), F.lit(False)))
 
 
 def is_expired(mtime: Column, as_of: str, days: int = C.RETENTION_DAYS) -> Column:

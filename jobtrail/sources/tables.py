@@ -33,9 +33,12 @@ def list_columns(spark: SparkSession, table: str) -> DataFrame:
 
 
 def describe_table(spark: SparkSession, table: str, ndv: str | None = "approx") -> DataFrame:
-    """Columns of a table with their statistics, computed in one pass over the table."""
+    """Columns of a table with their statistics, computed in one pass over the table.
+
+    Every column is listed; nested and binary ones have no statistics.
+    """
     stats = compute_stats(spark.table(table), ndv=ndv)
-    return list_columns(spark, table).join(stats.withColumnRenamed("column", "name"), "name").orderBy("pos")
+    return list_columns(spark, table).join(stats.withColumnRenamed("column", "name"), "name", "left").orderBy("pos")
 
 
 def partition_columns(spark: SparkSession, table: str) -> list[str]:
