@@ -89,3 +89,12 @@ def test_group_is_the_first_directory_below_the_root(spark, rows):
         [("hdfs://n/user/department/a/x/y",), ("/user/department/b/z",), ("/tmp/other",)], "path string")
     assert rows(S.with_group(files, "/user/department/"), "path", "group_name") == [
         ("/user/department/b/z", "b"), ("hdfs://n/user/department/a/x/y", "a")]
+
+
+def test_storage_groups_are_anchored_and_complete(spark):
+    paths = ["/user/department/x/1", "hdfs://h:1/user/department/x/2", "/backup/user/department/x/1", "/user/department/readme.txt"]
+    files = spark.createDataFrame([(p, 5) for p in paths], "path string, size_bytes long")
+    quotas = spark.createDataFrame([("x", 9), ("idle", 3)], "group_name string, quota_bytes long")
+    found = S.storage_usage(S.with_group(files, "/user/department/"), quotas).collect()
+    assert sorted((r["group_name"], r["used_bytes"], r["n_files"], r["quota_bytes"], r["over_quota"]) for r in found) == [
+        ("idle", 0, 0, 3, False), ("x", 10, 2, 9, True)]
