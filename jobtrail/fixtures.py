@@ -44,8 +44,12 @@ from {app_v} where tie1 = 2""",
     "hiveinstance_v": """
 select otid, case cast(otid as bigint) % 9 when 0 then 'INITIALIZED_STATE' when 1 then 'RUNNING_STATE'
          when 2 then 'FINISHED_STATE' when 3 then 'CANCELED_STATE' when 4 then 'CLOSED_STATE'
-         when 5 then 'ERROR_STATE' when 6 then 'UKNOWN_STATE' else 'PENDING_STATE' end as state
-from {optask_v} where opid like 'HV.%' and cast(otid as bigint) % 5 <> 0""",
+         when 5 then 'ERROR_STATE' when 6 then 'UKNOWN_STATE' else 'PENDING_STATE' end as state, 2 as submittime
+from {optask_v} where opid like 'HV.%' and cast(otid as bigint) % 5 <> 0
+union all
+select otid, 'RUNNING_STATE', 1 from {optask_v} where opid like 'HV.%' and cast(otid as bigint) % 15 in (3, 6, 9, 12)
+union all
+select otid, 'FINISHED_STATE', 3 from {optask_v} where opid like 'HV.%' and cast(otid as bigint) % 7 = 0""",
     "operator_request_v": """
 select case when p_partkey % 17 = 0 then '' when p_partkey % 13 = 0 then 'SK op' || cast(p_partkey as string)
             when p_partkey % 19 = 0 then 'SKop' || cast(p_partkey as string)

@@ -82,12 +82,12 @@ def capacity_share(requested: Column, total: Column) -> Column:
 
 
 def queue_settings(properties: DataFrame) -> DataFrame:
-    """(queue_name, setting, value) from scheduler (name, value) properties."""
+    """(queue_name, setting, pos, value) from scheduler (pos, name, value) properties."""
     pattern = "^" + C.QUEUE_PROPERTY_PREFIX.replace(".", "\\.") + r"(.+)\.([^.]+)$"
     return (
         properties.filter(F.col("name").rlike(pattern))
         .select(F.regexp_extract("name", pattern, 1).alias("queue_name"),
-                F.regexp_extract("name", pattern, 2).alias("setting"), "value")
+                F.regexp_extract("name", pattern, 2).alias("setting"), "pos", "value")
     )
 
 
@@ -95,13 +95,13 @@ def admission(requests: DataFrame, properties: DataFrame, total_memory: Column,
     """Can the default queue pay for each request, judged independently of the others.
 
     ``requests`` has (queue_name, memtotal, userlimitfactor); a new queue takes its share from
-    the default queue, an update only the difference to its present capacity.
+    the default queue, an update only the difference to its present capacity. Where a capacity
+    is set repeatedly, the least one of the default queue and the last one of any other counts.
     """
-    capacities = (
-        queue_settings(properties).filter(F.col("setting") == "capacity")
-        .groupBy("queue_name").agg(F.max("value").try_cast("double").alias("_capacity"))
-    )
-    default = capacities.filter(F.col("queue_name") == C.DEFAULT_QUEUE).select("_capacity").scalar()
+    settings = queue_settings(properties).filter(F.col("setting") == "capacity").select(
+        "queue_name", "pos", F.col("value").try_cast("double").alias("_value"))
+    capacities = settings.groupBy("queue_name").agg(F.max_by("_value", "pos").alias("_capacity"))
+    default = settings.filter(F.col("queue_name") == C.DEFAULT_QUEUE).agg(F.min("_value")).scalar()
     share = capacity_share(F.col("memtotal").try_cast("double"), total_memory)
     df = requests.withColumn("share", share)
     if update:

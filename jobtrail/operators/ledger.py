@@ -133,9 +133,11 @@ def hive_status(state: Column) -> Column:
     )
 
 
-def hive_task_status(optask: DataFrame, hiveinstance: DataFrame) -> DataFrame:
+def hive_task_status(optask: DataFrame, hiveinstance: DataFrame, order: str = "submittime") -> DataFrame:
+    """Status of every Hive task from its last instance by ``order``."""
     hive = optask.filter(engine_of(F.col("opid")) == C.HIVE_ENGINE).select("otid")
-    states = hiveinstance.select("otid", "state")
+    # Equal times are settled by the state, so that the result does not depend on the plan.
+    states = hiveinstance.groupBy("otid").agg(F.max_by("state", F.struct(order, "state")).alias("state"))
     return hive.join(states, "otid", "left").select("otid", hive_status(F.col("state")).alias("status"))
 
 

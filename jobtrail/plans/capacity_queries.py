@@ -144,12 +144,17 @@ def j2(t):
 
 
 def properties(t: Tables):
-    """Scheduler properties; the lowest priority plays the default queue."""
+    """Scheduler properties, capacities set three times; the lowest priority plays the default queue."""
     docs = t.sql("""
-      select '<configuration><property><name>yarn.scheduler.capacity.root.' || name || '.capacity</name><value>' ||
-        capacity || '</value></property><property><name>yarn.scheduler.capacity.root.' || name ||
-        '.state</name><value>RUNNING</value></property></configuration>' as xml
-      from (select case when queue_name = '5-LOW' then 'default' else queue_name end as name, capacity from {queue_v})""")
+      select '<configuration>' || head || case when name = 'default' then '30' else '9' end || tail ||
+        head || case when name = 'default' then cast(capacity as string) else '100' end || tail ||
+        head || case when name = 'default' then '100' else cast(capacity as string) end || tail ||
+        '<property><name>yarn.scheduler.capacity.root.' || name || '.state</name><value>RUNNING' || tail ||
+        '</configuration>' as xml
+      from (select name, capacity, '</value></property>' as tail,
+              '<property><name>yarn.scheduler.capacity.root.' || name || '.capacity</name><value>' as head
+            from (select case when queue_name = '5-LOW' then 'default' else queue_name end as name, capacity
+                  from {queue_v}))""")
     return D.read_properties(docs)
 
 

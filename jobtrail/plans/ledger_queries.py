@@ -242,7 +242,8 @@ HIVE = """
   hive as (select o.otid, case when h.state in ('INITIALIZED_STATE', 'RUNNING_STATE', 'PENDING_STATE') then 'RUNNING'
                                when h.state = 'FINISHED_STATE' then 'SUCCEEDED'
                                when h.state = 'CANCELED_STATE' then 'KILLED' else 'FAILED' end as status
-           from optask_v o left join hiveinstance_v h on h.otid = o.otid where o.opid like 'HV.%')"""
+           from optask_v o left join (select otid, arg_max(state, submittime) as state from hiveinstance_v group by otid) h
+             on h.otid = o.otid where o.opid like 'HV.%')"""
 
 
 @query("h2_hive_task_status", "select otid, status from hive", "optask_v hiveinstance_v", HIVE)

@@ -81,10 +81,10 @@ def a3_files(t):
 
 
 @query("a4_read_properties", """
-select c_custkey, 'yarn.scheduler.capacity.root.q' || c_custkey || '.capacity' as name,
+select c_custkey, 0 as pos, 'yarn.scheduler.capacity.root.q' || c_custkey || '.capacity' as name,
        cast(c_nationkey as varchar) as value from customer
 union all
-select c_custkey, 'yarn.scheduler.capacity.root.q' || c_custkey || '.state', c_mktsegment from customer""")
+select c_custkey, 1, 'yarn.scheduler.capacity.root.q' || c_custkey || '.state', c_mktsegment from customer""")
 def a4(t):
     return D.read_properties(t.sql("""
       select c_custkey, '<configuration><property><name>yarn.scheduler.capacity.root.q' || c_custkey ||

@@ -87,7 +87,8 @@ CONTAINER_LINES = """
     from app_v, lateral (
       select 'stderr' as log_type, length('status ' || status || 'supplier ' || tie3) + 2 as log_length, 1 as line_no, 'status ' || status as line
       union all select 'stderr', length('status ' || status || 'supplier ' || tie3) + 2, 2, 'supplier ' || tie3
-      union all select 'stdout', length('done ' || tie2), 1, 'done ' || tie2 where tie1 > 5) x)"""
+      union all select 'stdout', case when tie1 > 5 then length('done ' || tie2) else 0 end,
+        case when tie1 > 5 then 1 else 0 end, case when tie1 > 5 then 'done ' || tie2 end) x)"""
 
 
 @query("a2_read_container_logs", """

@@ -84,10 +84,14 @@ def _columns(kind: str, item_tag: str) -> dict[str, Column]:
 
 
 def read_properties(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """``<property><name/><value/></property>`` lists as (name, value) rows, other columns kept."""
+    """``<property><name/><value/></property>`` lists as (pos, name, value) rows, other columns kept.
+
+    ``pos`` is the place in the list: a property may repeat.
+    """
     schema = "property array<struct<name string, value string>>"
     keep = [c for c in df.columns if c != xml]
-    return df.select(*keep, F.inline(F.from_xml(xml, schema, _XML)["property"]))
+    return df.select(*keep, F.posexplode(F.from_xml(xml, schema, _XML)["property"]).alias("pos", "_p")).select(
+        *keep, "pos", "_p.name", "_p.value")
 
 
 _QUEUE = ("queueName string, capacity string, maxCapacity string, userLimitFactor string, "

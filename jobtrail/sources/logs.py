@@ -60,76 +60,129 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
 
     Columns: file, node, container, section (number within the file), log_type, log_length,
     line_no (within the section) and line. One row per line instead of one per section, so no
-    section has to fit in a row and no file in a task.
+    section has to fit in a row and no file in a task. A section holds ``log_length`` bytes after its
+    header, whatever they look like; what looks like a header inside them is text. A section
+    without any text is one row with ``line_no`` 0 and a NULL line.
 
-    The text is read twice: once to note the header lines of every split, which are few and
-    staged, and once for the lines themselves. Those are shuffled once, by split.
+    The files are read once: lines are staged with their place in the split they came from, so
+    later steps do not depend on how a second read would cut the files.
     """
-    lines = _header_columns(read_lines(spark, path))
-    special = F.struct("row", "_body", "_container", "_marker", "_ends")
-    # Of the stamped lines only the marker and the two values after it matter.
-    filler = F.col("_body").isin("LogLength: ", "Log Contents:", "") | F.col("_body").startswith("=====")
-    noted = (F.col("_stamped") & ~filler) | F.col("_ends") | F.col("_container").isNotNull()
-    # The specials of one split: bounded by the split size the reader is set to.
-    splits = stage(lines.groupBy("file", "block").agg(
-        F.count("*").alias("_lines"), F.min("row").alias("_min"),
-        F.collect_list(F.when(noted, special)).alias("_specials"),
-    ), "log-splits")
-    key = _split_key(splits)
-    parts = _sections_of_splits(splits.withColumn("_key", key))
-
-    # Lines travel with the short key of their split; the path comes back with the join.
-    here = W.partitionBy("_key").orderBy("row")
-    local = lines.select(key.alias("_key"), "row", "line", F.col("_marker").cast("int").alias("_m")).select(
-        "_key", "line",
-        F.sum("_m").over(here.rowsBetween(W.unboundedPreceding, 0)).cast("int").alias("_nth"),
-        (F.col("row") - F.min("row").over(here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_at"),
+    lines = stage(_located(read_lines(spark, path, lineSep="\n")), "log-lines")
+    splits = stage(_shifts(lines), "log-splits")
+    headers = stage(
+        lines.filter("_stamped or _container is not null").join(splits, ["file", "block"]).select(
+            "file", "block", "_marks", "_marker", "_container", "_body", "_bytes",
+            (F.col("_at") + F.col("_byte_shift")).alias("_pos"), (F.col("row") + F.col("_line_shift")).alias("_line")),
+        "log-headers")
+    places = stage(_in_force(headers, splits), "log-sections")
+
+    position = F.col("_at") + F.col("_byte_shift")
+    room = F.col("s._to") - position
+    text = F.when(F.col("_bytes") - 1 <= room, F.col("line")).otherwise(
+        F.substring(F.col("line").cast("binary"), F.lit(1), room.cast("int")).cast("string"))
+    name = ["file", "s.node", "s.container", "s.section", "s.log_type", "s.log_length"]
+    inside = lines.join(places, ["file", "block", "_marks"]).filter((position >= F.col("s._from")) & (room > 0)).select(
+        *name, (F.col("row") + F.col("_line_shift") - F.col("s._line") - 4).alias("line_no"), text.alias("line"))
+    bare = places.filter("_opens and (s._from = s._to or s._from >= _file_bytes)").select(
+        *name, F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"))
+    return inside.unionByName(bare)
+
+
+def _located(lines: DataFrame) -> DataFrame:
+    """Lines with their size, the bytes and the markers before them in their read task.
+
+    A read task holds whole splits one after the other, and ``row`` tells the task.
+    """
+    here = W.partitionBy(F.shiftright("row", 33)).orderBy("row")
+    rows = _header_columns(lines).withColumn("_bytes", F.octet_length("line").cast("bigint") + 1)
+    return rows.select(
+        "file", "block", "row", "line", "_bytes", "_stamped", "_marker", "_container",
+        F.when(F.col("_stamped"), F.col("_body")).alias("_body"),
+        F.coalesce(F.sum("_bytes").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_at"),
+        F.sum(F.col("_marker").cast("int")).over(here.rowsBetween(W.unboundedPreceding, 0)).alias("_marks"),
     )
-    # Distance from the marker line: type, "LogLength:", length, "Log Contents:", then the text
-    # up to the first line that ends in a bare stamp. That stamp follows the text without a
-    # line break of its own.
-    placed = local.join(parts, "_key").withColumn("s", F.get("_sections", F.col("_nth"))).withColumn(
-        "_off", F.when(F.col("_nth") > 0, F.col("_at") - F.col("s._start"))
-        .otherwise(F.col("_lines0") + F.col("_at") + 1 - F.col("_m0")))
-    inside = F.coalesce(F.col("_off") < F.col("s._close"), F.lit(True))
-    closing = F.col("_off") == F.col("s._close")
-    tail = closing & (F.length("line") > 24)
-    return placed.filter((F.col("_off") > 4) & (inside | tail)).select(
-        "file", "s.node", "s.container", "s.section", "s.log_type", "s.log_length",
-        (F.col("_off") - 4).cast("bigint").alias("line_no"),
-        F.when(closing, F.expr("substring(line, 1, length(line) - 24)")).otherwise(F.col("line")).alias("line"),
+
+
+def _shifts(lines: DataFrame) -> DataFrame:
+    """Per split: what turns places in the read task into places in the file."""
+    splits = lines.groupBy("file", "block").agg(
+        F.count("*").alias("_lines"), F.sum("_bytes").alias("_size"), F.min("row").alias("_row0"),
+        F.min("_at").alias("_at0"), F.min(F.col("_marks") - F.col("_marker").cast("int")).alias("_marks0"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return splits.select(
+        "file", "block", "_marks0",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
+        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_at0")).alias("_byte_shift"),
+        (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_row0")).alias("_line_shift"),
+        F.sum("_size").over(W.partitionBy("file")).alias("_file_bytes"),
     )
 
 
-def _split_key(splits: DataFrame) -> Column:
-    """A short key of (file, block), checked to be different for every split."""
-    for seed in range(100):
-        key = F.xxhash64(F.lit(seed), "file", "block")
-        n, distinct = splits.agg(F.count("*"), F.count_distinct(key)).first()
-        if n == distinct:
-            return key
-    raise RuntimeError("no collision-free split key")
-
-
-def _sections_of_splits(splits: DataFrame) -> DataFrame:
-    """Per split: what it starts inside of, and its sections in order, the carried one first."""
-    carry = _carry(splits)
-    headers = splits.select("_key", "_min", F.inline("_specials"))
-    heads = _place(headers, carry).groupBy("_file", "section").agg(
-        F.max(F.when(F.col("_marker"), F.col("_in"))).alias("_in"),
-        F.max(F.when(F.col("_marker"), F.col("row") - F.col("_min"))).alias("_start"),
-        F.max(F.when(F.col("_off") == 1, F.col("_body"))).alias("log_type"),
-        F.max(F.when(F.col("_off") == 3, F.col("_body"))).try_cast("bigint").alias("log_length"),
-        F.min(F.when(F.col("_ends") & (F.col("_off") > 4), F.col("_off"))).alias("_close"),
+def _in_force(headers: DataFrame, splits: DataFrame) -> DataFrame:
+    """The section that lines follow, for every number of markers read before them in their split."""
+    markers = _settled(_markers(headers))
+    nothing = F.lit(None)
+    events = (
+        markers.select("file", "_pos", "block", "_marks", nothing.alias("_container"),
+                       F.when(F.col("_real"), F.struct("_line", "_from", "_to", "log_type", "log_length")).alias("_s"))
+        .unionByName(headers.filter("_container is not null").select("file", "_pos", "_container"), allowMissingColumns=True)
+        .unionByName(splits.select("file", "block", F.col("_start").alias("_pos"), F.col("_marks0").alias("_marks")),
+                     allowMissingColumns=True)
     )
-    section = F.struct("section", "_start", "_in.node", "_in.container", "log_type", "log_length", "_close")
-    of_split = (
-        carry.select("_key", "_file", F.explode(F.sequence(F.col("_s0"), F.col("_s0") + F.col("_markers"))).alias("section"))
-        .withColumn("section", F.col("section").cast("int"))
-        .join(heads, ["_file", "section"], "left")
-        .groupBy("_key").agg(F.sort_array(F.collect_list(section)).alias("_sections"))
+    order = W.partitionBy("file").orderBy("_pos")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    # A container line inside a section is text.
+    outside = F.coalesce(F.col("_pos") >= F.max("_s._to").over(before), F.lit(True))
+    events = events.withColumn("_container", F.when(outside, F.col("_container"))).withColumns({
+        "_in": F.last("_container", ignorenulls=True).over(upto),
+        "section": F.count("_s").over(upto).cast("int"),
+    })
+    section = F.struct("section", "_in.node", "_in.container", "_s.*")
+    events = events.withColumn("_opens", F.col("_s").isNotNull()).withColumn(
+        "s", F.last(F.when(F.col("_s").isNotNull(), section), ignorenulls=True).over(upto))
+    return events.filter("_marks is not null and s is not null").join(
+        splits.select("file", "block", "_byte_shift", "_line_shift", "_file_bytes"), ["file", "block"]).select(
+        "file", "block", "_marks", "_opens", "s", "_byte_shift", "_line_shift", "_file_bytes")
+
+
+def _markers(headers: DataFrame) -> DataFrame:
+    """Marker lines; those with a whole header after them have the bounds of their text."""
+    order = W.partitionBy("file").orderBy("_pos")
+
+    def body(i: int) -> Column:
+        return F.lead("_body", i).over(order)
+
+    rows = headers.withColumns({
+        "log_type": body(1), "log_length": body(3).try_cast("bigint"),
+        "_from": F.lead(F.col("_pos") + F.col("_bytes"), 4).over(order),
+        # Header lines are all stamped, so between them no other line is missing from here.
+        "_whole": (F.lead("_line", 4).over(order) == F.col("_line") + 4)
+        & (F.trim(body(2)) == "LogLength:") & (F.trim(body(4)) == "Log Contents:"),
+    }).filter("_marker")
+    whole = F.coalesce(F.col("_whole") & (F.col("log_length") >= 0), F.lit(False))
+    return rows.select(
+        "file", "block", "_marks", "_pos", "_line", "_from", "log_type", "log_length",
+        F.when(whole, F.col("_from") + F.col("log_length")).alias("_to"),
+        F.when(~whole, F.lit(False)).alias("_real"),
     )
-    return carry.select("_key", "file", "_lines0", "_m0").join(of_split, "_key")
+
+
+def _settled(markers: DataFrame) -> DataFrame:
+    """Decide which markers open a section: those that no section before them holds in its text.
+
+    What nothing open reaches is a section, what a section reaches is not; every round settles
+    at least the first open marker of each file, and one or two rounds settle ordinary logs.
+    """
+    before = W.partitionBy("file").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        sure = F.max(F.when(F.col("_real"), F.col("_to"))).over(before)
+        possible = F.max(F.when(F.coalesce("_real", F.lit(True)), F.col("_to"))).over(before)
+        free = F.coalesce(F.col("_pos") >= possible, F.lit(True))
+        markers = stage(markers.withColumns({"_sure": sure, "_free": free}).withColumn("_real", F.coalesce(
+            "_real", F.when(F.col("_free"), F.lit(True)).when(F.col("_pos") < F.col("_sure"), F.lit(False))
+        )).drop("_sure", "_free"), "log-markers")
+        if markers.filter("_real is null").isEmpty():
+            return markers
 
 
 def _header_columns(lines: DataFrame) -> DataFrame:
@@ -144,53 +197,10 @@ def _header_columns(lines: DataFrame) -> DataFrame:
         "_body": body,
         "_stamped": stamped,
         "_marker": stamped & line.contains("\tLogType:") & (F.trim(body) == "LogType:"),
-        "_ends": line.endswith("\t") & line.rlike(rf"{_STAMP}\t$"),
         "_container": F.when(line.startswith("Container: ") & line.rlike(header), container),
     })
 
 
-def _carry(splits: DataFrame) -> DataFrame:
-    """What each split starts with: lines, sections, container and last marker of the splits before."""
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    markers = F.filter("_specials", lambda s: s["_marker"])
-    inside = F.filter("_specials", lambda s: s["_container"].isNotNull())
-    last_of = F.try_element_at(F.array_sort(F.transform(
-        inside, lambda s: F.struct(s["row"].alias("row"), s["_container"].alias("c")))), F.lit(-1))["c"]
-    rows = splits.select(
-        "_key", "file", "block", "_min", "_lines", F.size(markers).alias("_markers"), last_of.alias("_end"),
-        F.array_max(F.transform(markers, lambda s: s["row"])).alias("_last"),
-    ).withColumn("_lines0", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
-    rows = rows.withColumn("_marker_line", F.col("_lines0") + F.col("_last") - F.col("_min") + 1)
-    return rows.select(
-        "_key", "file", "_lines0", "_markers",
-        # The key of the first split stands for the file.
-        F.first("_key").over(W.partitionBy("file").orderBy("block")).alias("_file"),
-        F.coalesce(F.sum("_markers").over(before), F.lit(0)).alias("_s0"),
-        F.last("_end", ignorenulls=True).over(before).alias("_c0"),
-        F.last("_marker_line", ignorenulls=True).over(before).alias("_m0"),
-    )
-
-
-def _place(headers: DataFrame, carry: DataFrame) -> DataFrame:
-    """Add section, container (``_in``) and distance from the section marker (``_off``)."""
-    here = W.partitionBy("_key").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    local = headers.withColumns({
-        "_nth": F.sum(F.col("_marker").cast("int")).over(here),
-        "_start": F.max(F.when(F.col("_marker"), F.col("row"))).over(here),
-        "_inside": F.last("_container", ignorenulls=True).over(here),
-    })
-    since_carried = F.col("_lines0") + F.col("row") - F.col("_min") + 1 - F.col("_m0")
-    return (
-        local.join(carry.drop("file", "_markers"), "_key")
-        .withColumns({
-            "section": (F.col("_s0") + F.col("_nth")).cast("int"),
-            "_in": F.coalesce("_inside", "_c0"),
-            "_off": F.coalesce(F.col("row") - F.col("_start"), since_carried),
-        })
-        .filter(F.col("section") > 0)
-    )
-
-
 def application_of_container(container: Column) -> Column:
     """Application id of a container id (``container_[e<epoch>_]<stamp>_<number>_<attempt>_<no>``)."""
     pattern = r"^container_(?:e[0-9]+_)?([0-9]{13}_[0-9]+)_[0-9]+_[0-9]+$"

@@ -51,9 +51,10 @@ def test_queue_report(spark):
 
 def test_admission(spark):
     properties = spark.createDataFrame([
-        ("yarn.scheduler.capacity.root.default.capacity", "30"), ("yarn.scheduler.capacity.root.q.capacity", "10"),
-        ("yarn.scheduler.capacity.root.q.state", "RUNNING"), ("yarn.scheduler.capacity.root.queues", "default,q")],
-        "name string, value string")
+        (0, "yarn.scheduler.capacity.root.default.capacity", "100"), (1, "yarn.scheduler.capacity.root.q.capacity", "9"),
+        (2, "yarn.scheduler.capacity.root.default.capacity", "30"), (3, "yarn.scheduler.capacity.root.q.capacity", "10"),
+        (4, "yarn.scheduler.capacity.root.q.state", "RUNNING"), (5, "yarn.scheduler.capacity.root.queues", "default,q")],
+        "pos int, name string, value string")
     requests = spark.createDataFrame(
         [("n", "300", "1.0"), ("q", "400", "2.0"), ("q", "401", "9.0"), ("new", "900", "1.0")],
         "queue_name string, memtotal string, userlimitfactor string")

@@ -148,3 +148,11 @@ def test_split_existing_covers_the_batch(spark, rows):
     assert sorted(rows(known) + rows(missing), key=repr) == rows(batch)
     assert rows(K.mark_existing(batch, registry, "k")) == sorted(
         [("a", True), ("a", True), ("b", False), (None, False)], key=repr)
+
+
+def test_the_last_hive_instance_counts(spark, rows):
+    tasks = spark.createDataFrame([("1", "HV.a"), ("2", "HV.a"), ("3", "MR.a")], "otid string, opid string")
+    instances = spark.createDataFrame(
+        [("1", "FINISHED_STATE", 2), ("1", "RUNNING_STATE", 1), ("1", "ERROR_STATE", None), ("3", "RUNNING_STATE", 1)],
+        "otid string, state string, submittime int")
+    assert rows(L.hive_task_status(tasks, instances), "otid", "status") == [("1", "SUCCEEDED"), ("2", "FAILED")]

@@ -239,7 +239,7 @@ def test_reserved_names():
 
 def test_documents_to_rows(spark, rows):
     xml = "<configuration><property><name>a</name><value>1</value></property><property><name>b</name></property></configuration>"
-    assert rows(D.read_properties(docs(spark, xml, "<configuration/>"))) == sorted([(0, "a", "1"), (0, "b", None)], key=repr)
+    assert rows(D.read_properties(docs(spark, xml, "<configuration/>"))) == sorted([(0, 0, "a", "1"), (0, 1, "b", None)], key=repr)
     json = ('{"scheduler":{"schedulerInfo":{"queues":{"queue":[{"queueName":"q","capacity":"20.0","maxCapacity":"60.0",'
             '"userLimitFactor":"1.5","maxApplications":"7","numActiveApplications":"1","numPendingApplications":"2",'
             '"resourcesUsed":{"memory":512,"vCores":3}},{"queueName":"r"}]}}}}')

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import random
 
 import pytest
@@ -11,7 +12,7 @@ STAMP = "2015-07-01_12-30-45-123\t"
 
 
 def section(name, text):
-    return (f"{STAMP}LogType: \n{STAMP}{name}\n{STAMP}LogLength: \n{STAMP}{len(text)}\n{STAMP}Log Contents:\n"
+    return (f"{STAMP}LogType: \n{STAMP}{name}\n{STAMP}LogLength: \n{STAMP}{len(text.encode())}\n{STAMP}Log Contents:\n"
             f"{text}{STAMP}\n")
 
 
@@ -24,13 +25,16 @@ def container_log(seed, containers):
         out.append(f"{STAMP}\n\nContainer: {key} on {node}\n{STAMP}{'=' * 30}\n")
         for name in ("stderr", "stdout", "syslog")[: rnd.randrange(4)]:
             number += 1
-            lines = [rnd.choice(["", "plain words", "LogType: not a header", "a\tb", "x" * rnd.randrange(200)])
+            lines = [rnd.choice(["", "plain words", "LogType: not a header", "a\tb", "x" * rnd.randrange(200), f"ends in {STAMP}",
+                                 f"{STAMP}LogType: ", "Container: container_1_1_01_1 on nowhere", section("inner", "z" * 30)])
                      for _ in range(rnd.randrange(6))]
             text = "\n".join(lines) + rnd.choice(["", "\n"]) if lines else ""
             out.append(section(name, text))
             body = text.split("\n")
             if body and body[-1] == "":
                 body.pop()
+            if not text:
+                rows.append((node, key, number, name, 0, 0, None))
             rows += [(node, key, number, name, len(text), i + 1, line) for i, line in enumerate(body)]
     return "".join(out), rows
 
@@ -54,6 +58,34 @@ def test_container_logs_across_splits(spark, rows, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_container_logs_ignore_a_changed_split_size(spark, rows, tmp_path):
+    text, expected = container_log(9, 40)
+    (tmp_path / "node_9.log").write_text(text)
+    cols = ["node", "container", "section", "log_type", "log_length", "line_no", "line"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        built = logs.read_container_logs(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        assert rows(built, *cols) == sorted(expected, key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_container_logs_from_compressed_and_cut_files(spark, rows, tmp_path):
+    text, expected = container_log(5, 10)
+    with gzip.open(tmp_path / "node_5.log.gz", "wt", newline="") as f:
+        f.write(text)
+    head = f"{STAMP}\n\nContainer: c_1 on n_1\n{STAMP}====\n"
+    (tmp_path / "cut_text").write_text(head + section("stdout", "caf\u00e9\r\nrest of it")[:-30])
+    (tmp_path / "cut_header").write_text(head + f"{STAMP}LogType: \n{STAMP}stdout\n{STAMP}LogLength: \n{STAMP}9\n{STAMP}Log Contents:\n")
+    (tmp_path / "no_length").write_text(head + f"{STAMP}LogType: \n{STAMP}stdout\n{STAMP}LogLength: \n{STAMP}x\n{STAMP}Log Contents:\nz\n")
+    cols = ["node", "container", "section", "log_type", "log_length", "line_no", "line"]
+    size = len("caf\u00e9\r\nrest of it".encode())
+    expected += [("n_1", "c_1", 1, "stdout", size, 1, "caf\u00e9\r"), ("n_1", "c_1", 1, "stdout", size, 2, "rest "),
+                 ("n_1", "c_1", 1, "stdout", 9, 0, None)]
+    assert rows(logs.read_container_logs(spark, str(tmp_path)), *cols) == sorted(expected, key=repr)
+
+
 def test_container_to_application(spark):
     df = spark.createDataFrame(
         [("container_1700000000000_0042_01_000001",), ("container_e17_1700000000000_12345_02_000001",), ("x",)], "c string")
