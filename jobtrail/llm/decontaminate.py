@@ -191,7 +191,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
                    item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without any hit, in their columns; nothing is shuffled."""
     at = docs.columns.index(text)
-    for block in blocks(benchmark, item_id, item_text, window, block_bytes):
+    for number, block in enumerate(blocks(benchmark, item_id, item_text, window, block_bytes)):
+        if number:  # one automaton at a time in a task
+            docs = stage(docs, "clean")
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             machine = _automaton(block)

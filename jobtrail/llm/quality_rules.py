@@ -110,11 +110,18 @@ def removals(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return lost.groupBy(*KEYS).agg(F.sum("_w").alias("_lost"), F.collect_list("h").alias("_gone"))
 
 
+def _dealt(rows: DataFrame, facts_of_text: DataFrame, salt: Column) -> DataFrame:
+    """Left join on the text, whose copies are dealt to ``SALTS`` parts: one text may be a third of all rows."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    return join_keys(spread, facts_of_text.select("*", every), [*KEYS, "_salt"], "left").drop("_salt")
+
+
 def judge(rows: DataFrame, lost: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("_lost", F.lit(0))
     return (
-        join_keys(rows, lost, KEYS, "left")
+        _dealt(rows, lost, F.col("_id"))
         .withColumn("base_failed", failed)
         .withColumn("n_words_left", left)
         .withColumn("kept", ~failed & (100 * left >= min_share * F.col("n_words")))
@@ -137,14 +144,15 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     rows = stage(facts(docs, doc_id, text, host), "facts")
     lost = stage(removals(rows, max_docs), "removals")
     verdict = judge(rows.dropDuplicates(KEYS).drop("lines"), lost, min_share)
-    kept = verdict.filter("kept").select(*KEYS, F.coalesce("_gone", F.array().cast("array<bigint>")).alias("_gone"))
+    # Only texts that are rejected or lose lines have to be told.
+    told = verdict.filter(~F.col("kept") | F.col("_gone").isNotNull()).select(*KEYS, F.col("kept").alias("_kept"), "_gone")
     body = docs[text]
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[host].alias("_host"),
-                        F.xxhash64(body).alias("_text"), body.alias("_body"))
+                        F.xxhash64(body).alias("_text"), body.alias("_body"), docs[doc_id].alias("_id"))
     shorter = F.array_join(F.filter(
         F.split("_body", "\n", -1), lambda line: ~F.array_contains("_gone", _line_hash(line))), "\n")
-    out = join_keys(keyed, kept, KEYS).withColumn(
-        "_body", F.when(F.size("_gone") == 0, F.col("_body")).otherwise(shorter))
+    out = _dealt(keyed, told, F.col("_id")).filter(F.coalesce("_kept", F.lit(True))).withColumn(
+        "_body", F.when(F.col("_gone").isNull(), F.col("_body")).otherwise(shorter))
     new = {text: F.col("_body")}
     if length in docs.columns:
         new[length] = F.length("_body").cast(docs.schema[length].dataType)

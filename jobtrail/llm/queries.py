@@ -13,6 +13,7 @@ from jobtrail.llm import (
     weak_labels,
 )
 from jobtrail.llm.oracles import DECONTAMINATE, NEAR_DUPLICATES, QUALITY_RULES, URL_RULES
+from jobtrail.operators.ordered import join_keys
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = [
@@ -79,11 +80,12 @@ def op9_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = transcripts(_table(spark, sf_dir, "conversations"))
     # The position numbers lines within turns; blocks are cut by turns.
     parsed = chat_format.parse(lines, block=100_000 * 64)
-    truth = lines.select("conv_id", "pos", F.col("role").alias("_role"))
-    both = parsed.join(truth, ["conv_id", "pos"], "left")
+    # Turns that repeat share positions; a line is right if its role was written there.
+    truth = lines.filter(F.col("role").isin(*chat_format.ROLES)).groupBy("conv_id", "pos").agg(F.collect_set("role").alias("_roles"))
+    both = join_keys(parsed, truth, ["conv_id", "pos"], "left")
     return both.groupBy("conv_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("opens").cast("long")).alias("n_turns"),
-        F.sum(F.coalesce(F.col("role") == F.col("_role"), F.lit(False)).cast("long")).alias("n_right"),
+        F.sum(F.coalesce(F.array_contains("_roles", F.col("role")), F.lit(False)).cast("long")).alias("n_right"),
         F.sum(F.crc32(F.concat_ws("\x00", "pos", "rendered"))).alias("rendered_crc32"))
 
 

@@ -90,6 +90,20 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     assert all(banner not in cleaned[i]["text"] and cleaned[i]["n_chars"] == len(cleaned[i]["text"]) for i in range(1, 30))
 
 
+def test_copies_share_the_fate_of_their_text(spark):
+    banner, own = "a banner of six words here", [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{j}" for j in range(60)) for i in range(30)]
+    rows = [(40 * i + k, f"{banner}\n{own[i]}", "h") for i in range(30) for k in range(40 if i in (0, 7) else 1)]
+    rows += [(5000 + k, "too short", "h") for k in range(40)] + [(None, f"{banner}\n{own[9]}", "h"), (6000, f"{banner}\n{own[9]}", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    report = quality_rules.quality_report(docs)
+    assert report.count() == len(rows) and report.filter("kept").count() == len(rows) - 40
+    cleaned = quality_rules.clean(docs).collect()
+    assert len(cleaned) == len(rows) - 40
+    for r in cleaned:
+        keeps = r["source"] is None or (r["doc_id"] is not None and r["doc_id"] < 40)
+        assert (banner in r["text"]) == keeps, r["doc_id"]
+
+
 def test_exact_copies_count_as_one_document(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(i, text, "h") for i in range(50)], "doc_id long, text string, source string")
@@ -493,6 +507,18 @@ def test_chat_blocks_find_the_whole_path(spark, block, fan):
     assert sum(a == b for a, b in every) > 0.75 * len(every)
 
 
+def test_chat_query_counts_repeated_turns_once(spark, tmp_path):
+    from jobtrail.llm.queries import op9_chat_roles
+
+    rows = [(1, 0, "user", "hi\nthere"), (1, 1, "assistant", "yes"), (None, 0, "user", "x"), (2, 0, "user", "same"), (2, 0, "user", "same"),
+            (3, 0, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["conv_id"]: r for r in op9_chat_roles(spark, str(tmp_path)).collect()}
+    assert {c: r["n_lines"] for c, r in found.items()} == {1: 3, None: 1, 2: 2, 3: 1}
+    assert all(r["n_right"] <= r["n_lines"] for r in found.values()) and found[None]["n_right"] == 1
+
+
 def test_chat_rendering_and_edges(spark):
     rows = [(1, 0, "User: hi"), (1, 1, "there"), (1, 2, "Assistant: yes"), (None, 0, "Q: x"), (None, None, None), (2, 0, None), (2, 0, "")]
     frame = spark.createDataFrame(rows, "conv_id long, pos long, line string")
@@ -537,6 +563,7 @@ def base_by_hand(text):
 def test_confirmed_kinds():
     token = f"{b64(json.dumps({'alg': 'HS256'}).encode(), True)}.{b64(b'{}', True)}.{b64(b'signature', True)}"
     pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64(PKCS8))) + "\n-----END PRIVATE KEY-----"
+    assert secret_scan.find_spans("-----BEGIN PRIVATE KEY-----\n" * 20_000 + pem)[0][2] == "pem"
     for text, kinds in (
         (f"é {token} x", ["jwt"]), (pem, ["pem"]), (pem.replace("\n", "\\n"), ["pem"]), (b64(PKCS1), ["key"]), (b64(OPENSSH), ["key"]),
         (PKCS8.hex(), ["hex", "key"]), (f"secret={b64(PKCS1)}", ["assign", "key"]),
