@@ -9,9 +9,11 @@ from jobtrail import constants as C
 from jobtrail.functions.parsing import engine_of
 
 
-def package_check(entries: DataFrame, operators: DataFrame) -> DataFrame:
+def package_check(entries: DataFrame, operators: DataFrame | None = None) -> DataFrame:
     """Does the package of each operator hold every required entry, and which are missing.
 
+    Without ``operators``, of each operator that has a package.
+
     One flag per required entry: the aggregate state stays four booleans per operator however
     many entries a package has.
     """
@@ -28,9 +30,9 @@ def package_check(entries: DataFrame, operators: DataFrame) -> DataFrame:
     missing = F.array_compact(F.array(*[
         F.when(~F.coalesce(F.col(f"_{i}"), F.lit(False)), name) for i, name in enumerate(required)
     ]))
+    asked = have if operators is None else operators.select("opid").distinct().join(have, "opid", "left")
     return (
-        operators.select("opid").distinct().join(have, "opid", "left")
-        .select("opid", missing.alias("missing"))
+        asked.select("opid", missing.alias("missing"))
         .withColumn("complete", F.size("missing") == 0)
     )
 
@@ -41,16 +43,20 @@ def script_uses(lines: DataFrame, pattern: str, out: str = "uses") -> DataFrame:
     return lines.groupBy("opid").agg(F.bool_or(live & F.col("line").rlike(pattern)).alias(out))
 
 
-def submit_jar_check(entries: DataFrame, script_lines: DataFrame, operators: DataFrame) -> DataFrame:
-    """Single-machine operators must ship the submit jar and call it from their script."""
+def submit_jar_check(entries: DataFrame, script_lines: DataFrame, operators: DataFrame | None = None) -> DataFrame:
+    """Single-machine operators must ship the submit jar and call it from their script.
+
+    Without ``operators``, of each operator that has a package.
+    """
     single = engine_of(F.col("opid")) == C.SINGLE_MACHINE_ENGINE
     ships = entries.filter(single).groupBy("opid").agg(
         F.bool_or(F.col("entry").rlike(C.SUBMIT_JAR + "$")).alias("ships_jar"))
     uses = script_uses(script_lines.filter(single), C.SUBMIT_JAR, "uses_jar")
     no = F.lit(False)
+    asked = ships if operators is None else (
+        operators.filter(single).select("opid").distinct().join(ships, "opid", "left"))
     return (
-        operators.filter(single).select("opid").distinct()
-        .join(ships, "opid", "left").join(uses, "opid", "left")
+        asked.join(uses, "opid", "left")
         .select("opid", F.coalesce("ships_jar", no).alias("ships_jar"),
                 F.coalesce("uses_jar", no).alias("uses_jar"))
         .withColumn("submits", F.col("ships_jar") & F.col("uses_jar"))

@@ -33,9 +33,9 @@ def _after_first_clean(df: DataFrame, key: str, order: str, clean: Column) -> Da
 
 def _package_reasons(df: DataFrame, entries: DataFrame, script_lines: DataFrame) -> DataFrame:
     """Add ``_package``: why the package of the operator is refused, empty when it is fine."""
-    names = df.filter(F.col("opid").isNotNull()).select("opid")
-    complete = package_check(entries, names).select("opid", "complete")
-    submits = submit_jar_check(entries, script_lines, names).select("opid", "submits")
+    # Packages are judged without asking for whom, so the requests are parsed for one branch only.
+    complete = package_check(entries).select("opid", "complete")
+    submits = submit_jar_check(entries, script_lines).select("opid", "submits")
     reason = first_reason(
         rule(~F.coalesce("complete", F.lit(False)), F.format_string(C.ZIP_INCOMPLETE, F.col("opid"))),
         rule((F.col("enginename") == C.SINGLE_MACHINE_ENGINE) & ~F.coalesce("submits", F.lit(False)),
