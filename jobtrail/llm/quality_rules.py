@@ -2,9 +2,14 @@
 
 Every line is normalised (white space collapsed, lower case, digits as 0) and hashed. Per host the
 distinct documents that hold a line are counted; exact copies count as one document. A line above
-``max_docs`` is removed from all of its documents but the first (smallest ``doc_id``), so the
-content survives once. A document that keeps less than ``min_share`` percent of its words is
-depleted and rejected, as is one that fails the base rules.
+``max_docs`` is removed from all of its documents but its owner. A document that keeps less than
+``min_share`` percent of its words is depleted and rejected, as is one that fails the base rules.
+
+``quality_report`` takes the first document (smallest ``doc_id``) as owner, as its SQL twin does, even
+if that document is rejected itself. ``clean`` loses no line that a document within the base rules
+holds: the owner is the first document that passes them and is not depleted. If all of these are
+depleted, the first one gets all of its lines back and stays whole. ``quality_report`` gives these
+verdicts with ``whole=True``.
 
 Defined cases: NULL text has no words and fails the base rules; NULL host is a host of its own; a
 line without words is never counted or removed; NULL ``doc_id`` never counts as first; repeated
@@ -92,24 +97,62 @@ def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     ).select("_id", *KEYS, "_s.*", "_l.*", "n_symbols")
 
 
-def removals(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
+def _share_kept(left: Column, min_share: int) -> Column:
+    return 100 * left >= min_share * F.col("n_words")
+
+
+def _first_holder(*worse: str) -> Column:
+    """The smallest id's text, after the ``worse`` flags; NULL ids come last."""
+    return F.min(F.struct(*worse, F.col("_first").isNull().alias("n"), "_first", "_text"))
+
+
+def _with_owner(held: DataFrame, owners: DataFrame) -> DataFrame:
+    salted = owners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_keys(held.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int")), salted,
+                     ["_host", "h", "_salt"]).drop("_salt")
+
+
+def removals(rows: DataFrame, max_docs: int = MAX_DOCS, min_share: int = MIN_SHARE, whole: bool = False) -> DataFrame:
     """Per distinct document of a host that loses lines: their hashes and words."""
     texts = rows.filter(F.size("lines") > 0).groupBy(*KEYS).agg(
-        F.min("_id").alias("_first"), F.any_value("lines").alias("lines"))
-    held = texts.select(*KEYS, "_first", F.explode("lines").alias("_x")).groupBy(*KEYS, "_x.h").agg(
-        F.min("_first").alias("_first"), F.sum("_x.w").alias("_w"))
-    held = stage(held, "lines")
+        F.min("_id").alias("_first"), F.any_value("lines").alias("lines"),
+        F.any_value("n_words").alias("n_words"), F.any_value(base_failed()).alias("_failed"))
+    held = texts.select(*KEYS, "_first", "n_words", "_failed", F.explode("lines").alias("_x")).groupBy(*KEYS, "_x.h").agg(
+        F.min("_first").alias("_first"), F.any_value("n_words").alias("n_words"), F.any_value("_failed").alias("_failed"),
+        F.sum("_x.w").alias("_w"))
+    held = stage(held if whole else held.drop("n_words", "_failed"), "lines")
     frequent = held.groupBy("_host", "h").agg(
-        F.count("*").alias("_docs"),
-        F.min(F.struct(F.col("_first").isNull().alias("n"), "_first", "_text")).alias("_owner"),
+        F.count("*").alias("_docs"), _first_holder(*["_failed"] if whole else []).alias("_owner"),
     ).filter(F.col("_docs") > max_docs)
-    salted = frequent.select("_host", "h", F.col("_owner._text").alias("_owner"),
-                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    lost = join_keys(held.withColumn("_salt", F.pmod("_text", F.lit(SALTS)).cast("int")), salted,
-                     ["_host", "h", "_salt"]).filter(F.col("_text") != F.col("_owner"))
+    shared = _with_owner(held, frequent.select("_host", "h", F.col("_owner._text").alias("_owner")))
+    lost = _settled(stage(shared, "shared"), min_share) if whole else shared.filter(F.col("_text") != F.col("_owner"))
     return lost.groupBy(*KEYS).agg(F.sum("_w").alias("_lost"), F.collect_list("h").alias("_gone"))
 
 
+def _settled(shared: DataFrame, min_share: int) -> DataFrame:
+    """Lines that are lost once those of depleted owners have found another one.
+
+    Later owners only get more lines than in the first election, so no further document is depleted.
+    """
+    left = F.any_value("n_words") - F.sum(F.when(F.col("_text") != F.col("_owner"), F.col("_w")).otherwise(0))
+    depleted = shared.filter(~F.col("_failed")).groupBy(*KEYS).agg(
+        F.any_value("n_words").alias("n_words"), left.alias("_left"),
+    ).filter(~_share_kept(F.col("_left"), min_share)).select(*KEYS, F.lit(True).alias("_depleted"))
+    marked = join_keys(shared.drop("_owner"), depleted, KEYS, "left").withColumn(
+        "_depleted", F.coalesce("_depleted", F.lit(False)))
+    marked = stage(marked, "marked")
+    owners = stage(marked.groupBy("_host", "h").agg(_first_holder("_failed", "_depleted").alias("_owner")), "owners")
+    restored = owners.filter(~F.col("_owner._failed") & F.col("_owner._depleted")).select(
+        "_host", F.col("_owner._text").alias("_text")).distinct()
+    lost = _with_owner(marked, owners.select("_host", "h", F.col("_owner._text").alias("_owner"))).filter(
+        F.col("_text") != F.col("_owner"))
+    return join_keys(lost, restored, KEYS, "left_anti")
+
+
 def _dealt(rows: DataFrame, facts_of_text: DataFrame, salt: Column) -> DataFrame:
     """Left join on the text, whose copies are dealt to ``SALTS`` parts: one text may be a third of all rows."""
     every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
@@ -118,21 +161,20 @@ def _dealt(rows: DataFrame, facts_of_text: DataFrame, salt: Column) -> DataFrame
 
 
 def judge(rows: DataFrame, lost: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("_lost", F.lit(0))
     return (
         _dealt(rows, lost, F.col("_id"))
-        .withColumn("base_failed", failed)
+        .withColumn("base_failed", base_failed())
         .withColumn("n_words_left", left)
-        .withColumn("kept", ~failed & (100 * left >= min_share * F.col("n_words")))
+        .withColumn("kept", ~base_failed() & _share_kept(left, min_share))
     )
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-                   max_docs: int = MAX_DOCS, min_share: int = MIN_SHARE) -> DataFrame:
-    """Statistics and verdict of every document."""
+                   max_docs: int = MAX_DOCS, min_share: int = MIN_SHARE, whole: bool = False) -> DataFrame:
+    """Statistics and verdict of every document; with ``whole``, the verdicts of ``clean``."""
     rows = stage(facts(docs, doc_id, text, host), "facts")
-    lost = removals(rows, max_docs).drop("_gone")
+    lost = removals(rows, max_docs, min_share, whole).drop("_gone")
     return judge(rows.drop("lines"), lost, min_share).select(
         F.col("_id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "n_words_left", "base_failed", "kept")
@@ -142,7 +184,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
           length: str | None = "n_chars", max_docs: int = MAX_DOCS, min_share: int = MIN_SHARE) -> DataFrame:
     """The documents that are kept, in their columns, without the lines above the limit."""
     rows = stage(facts(docs, doc_id, text, host), "facts")
-    lost = stage(removals(rows, max_docs), "removals")
+    lost = stage(removals(rows, max_docs, min_share, whole=True), "removals")
     verdict = judge(rows.dropDuplicates(KEYS).drop("lines"), lost, min_share)
     # Only texts that are rejected or lose lines have to be told.
     told = verdict.filter(~F.col("kept") | F.col("_gone").isNotNull()).select(*KEYS, F.col("kept").alias("_kept"), "_gone")

@@ -110,6 +110,33 @@ def test_exact_copies_count_as_one_document(spark):
     assert all(r["kept"] for r in quality_rules.quality_report(docs).collect())
 
 
+def own_words(i, n=60):
+    letters = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n)]
+    return " ".join(letters)
+
+
+def test_lines_of_rejected_first_holders_survive(spark):
+    banner, spam = "a banner of six words here", "buy now cheap " * 40
+    # The first holder is spam, the second is short: the first document that passes keeps the line.
+    rows = [(0, f"{banner}\n{spam}", "a"), (1, f"{banner}\nshort", "a")] + [(i, f"{banner}\n{own_words(i)}", "a") for i in range(2, 32)]
+    # Document 100 owns nothing but the line y and loses x to document 99, so y goes to document 101.
+    x, y = own_words(200, 80), own_words(201, 10)
+    rows += [(99, f"{x}\n{own_words(99)}", "b"), (100, f"{x}\n{y}", "b")]
+    rows += [(i, f"{x}\n{own_words(i)}", "b") for i in range(140, 165)] + [(i, f"{y}\n{own_words(i)}", "b") for i in range(101, 126)]
+    # All holders of z hold little else but x: one of them comes back whole.
+    z = own_words(202, 10)
+    rows += [(300, f"{x}\n{own_words(300)}", "c")] + [(i, f"{x}\n{z} \nown {own_words(i, 1)}", "c") for i in range(301, 330)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text"))
+    cleaned = by_id(quality_rules.clean(docs))
+    report = by_id(quality_rules.quality_report(docs, whole=True))
+    assert set(cleaned) == {i for i, r in report.items() if r["kept"]}
+    holders = {s: [i for i, r in sorted(cleaned.items()) if line in r["text"] and r["source"] == s]
+               for s, line in (("a", banner), ("b", y), ("c", z))}
+    assert holders == {"a": [2], "b": [101], "c": [301]}
+    assert 100 not in cleaned and {0, 1} & set(cleaned) == set()
+    assert cleaned[301]["text"] == rows[[r[0] for r in rows].index(301)][1]
+
+
 def test_repeated_words_by_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
