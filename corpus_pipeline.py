@@ -18,6 +18,8 @@ from jobtrail.llm.secret_scan import redact
 from jobtrail.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+#: Percent of common word shingles from which documents are near copies.
+SIMILARITY = 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return deduplicated(docs)
+    return deduplicated(docs, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,9 +18,9 @@ members a part is sketched, and a link passes but for six standard deviations).
 those go on that hold its groups together, and a second round takes all that still lie between
 components. Every pair is confirmed on the full sets.
 
-A pair at the threshold meets in one tree with a probability of 0.85, or 0.83 after a branching and at least 0.77
-after four, so eight trees miss at most about one pair in 100,000; a group only falls apart if
-all pairs that hold it together are missed.
+The threshold ``similarity`` is in percent. A pair at 85 meets in one tree with a probability of 0.85, or 0.83 after a
+branching and at least 0.77 after four, so eight trees miss at most about one pair in 100,000; a group only falls apart if
+all pairs that hold it together are missed. Lower thresholds take more trees for the same bound (``trees_for``).
 
 Defined cases: NULL, empty and wordless texts have an empty set, ``component_id`` = ``doc_id`` and are
 kept; fewer words than a shingle are one shingle; rows that repeat a ``doc_id`` are the same document,
@@ -31,6 +31,7 @@ table gives an empty result. Further columns of the input are not touched and ma
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,11 +101,26 @@ def _thinned(size: int) -> int:
     return 1 << max(0, (max(size, 1) - 1) // WHOLE).bit_length()
 
 
-def may_link(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray) -> np.ndarray:
+def trees_for(similarity: int) -> int:
+    """Trees that miss a pair at the threshold with the probability that ``TREES`` have at ``SIMILARITY``."""
+
+    def missed(share: float) -> float:
+        child = 1 - (1 - share ** STEP) ** BRANCH
+        return 1 - share * child ** DEPTH
+
+    if similarity >= SIMILARITY:
+        return TREES
+    count = math.ceil(TREES * math.log(missed(SIMILARITY / 100)) / math.log(missed(similarity / 100)))
+    if count > COORDINATES:
+        raise ValueError(f"a similarity of {similarity} takes {count} trees, more than {COORDINATES} coordinates")
+    return count
+
+
+def may_link(n_a: np.ndarray, n_b: np.ndarray, odd: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
     """Whether sets of these sizes, whose sketches differ in ``odd`` places, can be similar enough."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-    fits = SIMILARITY * large <= 100 * small
-    most = (100 - SIMILARITY) * (n_a + n_b) / (100 + SIMILARITY)  # members in one set only
+    fits = similarity * large <= 100 * small
+    most = (100 - similarity) * (n_a + n_b) / (100 + similarity)  # members in one set only
     rate = np.exp2(np.ceil(np.log2(np.maximum(1.0, (small - 1) // WHOLE + 1))))
     other = np.exp2(np.ceil(np.log2(np.maximum(1.0, (large - 1) // WHOLE + 1))))
     part = most / np.minimum(rate, other)
@@ -134,7 +150,7 @@ def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: in
     return map_arrow(rows, run, f"id {kind}, n long, key binary, tokens array<int>, sketch binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     both = (
         pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("_b")), "b")
@@ -150,7 +166,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * same >= SIMILARITY * (len(x) + len(y) - same))
+                keep.append(100 * same >= similarity * (len(x) + len(y) - same))
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield {"a": kept.column("a"), "b": kept.column("b")}
 
@@ -210,7 +226,7 @@ def _bits(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose sketches allow a link."""
     side = classes.select("id", "n", "sketch")
     both = (
@@ -222,19 +238,21 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             odd = np.bitwise_count(_bits(batch.column("_a")) ^ _bits(batch.column("_b"))).sum(1)
-            kept = batch.filter(pa.array(may_link(batch.column("_na").to_numpy(), batch.column("_nb").to_numpy(), odd)))
+            kept = batch.filter(pa.array(may_link(
+                batch.column("_na").to_numpy(), batch.column("_nb").to_numpy(), odd, similarity)))
             yield {"a": kept.column("a"), "b": kept.column("b")}
 
     return map_arrow(both.select("a", "b", "_na", "_nb", "_a", "_b"), run, "a long, b long").distinct()
 
 
-def candidates(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, every: bool) -> list[tuple[int, int]]:
+def candidates(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.ndarray, every: bool,
+               similarity: int = SIMILARITY) -> list[tuple[int, int]]:
     """Pairs of different components that may link: ``every`` one, or those of a spanning forest."""
     count = len(ids)
     near = np.zeros((count, count), bool)
     for i in range(count - 1):  # a row at a time keeps the memory of a leaf small
         odd = np.bitwise_count(bits[i + 1:] ^ bits[i]).sum(1)
-        near[i, i + 1:] = may_link(sizes[i + 1:], sizes[i], odd) & (labels[i + 1:] != labels[i]) & (ids[i + 1:] != ids[i])
+        near[i, i + 1:] = may_link(sizes[i + 1:], sizes[i], odd, similarity) & (labels[i + 1:] != labels[i]) & (ids[i + 1:] != ids[i])
     if every:
         return [(int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near))]
     found = []
@@ -254,7 +272,7 @@ def candidates(ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bits: np.
     return found
 
 
-def _exhaustive(members: DataFrame, every: bool) -> DataFrame:
+def _exhaustive(members: DataFrame, every: bool, similarity: int) -> DataFrame:
     """Candidate pairs inside groups of bounded size."""
     rows = members.repartition("group").sortWithinPartitions("group")
 
@@ -267,7 +285,7 @@ def _exhaustive(members: DataFrame, every: bool) -> DataFrame:
             for start, stop in zip(bounds, bounds[1:]):
                 if stop - start > 1:
                     at = slice(start, stop)
-                    found += candidates(ids[at], sizes[at], labels[at], bits[at], every)
+                    found += candidates(ids[at], sizes[at], labels[at], bits[at], every, similarity)
         found = list(set((min(p), max(p)) for p in found))
         return {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
 
@@ -303,8 +321,10 @@ def _children(members: DataFrame) -> DataFrame:
 
 
 def links_of(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text",
-             words: int = WORDS, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame | None, DataFrame | None]:
+             words: int = WORDS, trees: int | None = None, leaf: int = LEAF, depth: int = DEPTH,
+             similarity: int = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirmed links between classes and the components they make (None without any link)."""
+    trees = trees_for(similarity) if trees is None else trees
     roots = classes.select("id", F.posexplode(F.slice("tokens", 1, trees)).alias("_tree", "_token"))
     frontier = roots.select("id", F.xxhash64("_tree", "_token").alias("node")).distinct()
     links = labels = tried = None
@@ -319,7 +339,7 @@ def links_of(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text:
             return False
         tried = pairs if tried is None else tried.union(pairs)
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        found = stage(_confirmed(pairs, stage(_sets(docs, wanted, doc_id, text, words), "sets")), "links")
+        found = stage(_confirmed(pairs, stage(_sets(docs, wanted, doc_id, text, words), "sets"), similarity), "links")
         links = found if links is None else links.union(found)
         labels = components(links)
         return True
@@ -333,7 +353,7 @@ def links_of(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text:
             break
         if level == 0:
             star = large.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-            if add(_sketched(star, classes)):
+            if add(_sketched(star, classes, similarity)):
                 large = _open_nodes(_labelled(large.select("id", "node"), labels))
         if level == depth:
             leaves.append(_blocks(large, leaf).select("group", "id"))
@@ -345,20 +365,20 @@ def links_of(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text:
     for every in (False, True):
         # Only groups that still hold several components are looked at again.
         still = _open_nodes(_labelled(groups.withColumnRenamed("group", "node"), labels)).withColumnRenamed("node", "group")
-        if not add(_exhaustive(still.join(classes.select("id", "n", "sketch"), "id"), every)):
+        if not add(_exhaustive(still.join(classes.select("id", "n", "sketch"), "id"), every, similarity)):
             break
     return links, labels
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
-                    trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+                    trees: int | None = None, leaf: int = LEAF, depth: int = DEPTH, similarity: int = SIMILARITY) -> DataFrame:
     """Per row: size of its set, component, and whether it is the component's document."""
     rows = stage(facts(docs, doc_id, text, words), "facts")
     own = rows.select(F.col("id").cast("long").alias("id"), "n", "key", "tokens", "sketch")
     classes = stage(own.filter("n > 0 and id is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("n").alias("n"),
         F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch")), "classes")
-    _, labels = links_of(docs, classes, doc_id, text, words, trees, leaf, depth)
+    _, labels = links_of(docs, classes, doc_id, text, words, trees, leaf, depth, similarity)
     named = _labelled(classes.select("key", "id", "copies"), labels)
     # Only rows whose component is not their own id need to learn it.
     told = named.filter("copies > 1 or label <> id").select(

@@ -387,6 +387,24 @@ def test_near_duplicates_by_brute_force(spark, options):
         assert (row["n_shingles"], row["component_id"], row["kept"]) == (size, component, component == i)
 
 
+def test_similarity_is_a_parameter(spark):
+    # 100 shingles each, 90 of them common: 90 of 110 are 82 percent.
+    words = [f"w{i}" for i in range(104)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:94] + [f"x{i}" for i in range(10)]))], "doc_id long, text string")
+    assert sum(r["kept"] for r in near_dedup.near_duplicates(docs).collect()) == 2
+    assert sum(r["kept"] for r in near_dedup.near_duplicates(docs, similarity=80).collect()) == 1
+    assert [r["doc_id"] for r in near_dedup.deduplicated(docs, similarity=80).collect()] == [1]
+    assert near_dedup.trees_for(85) == near_dedup.TREES < near_dedup.trees_for(80)
+    rng = np.random.default_rng(5)
+    for size in (20, 1500, 4500, 20_000):
+        values = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        cut = size // 10
+        a, b = np.unique(values[cut:]), np.unique(values[:size - cut])
+        bits = [np.frombuffer(near_dedup.odd_sketch(x), np.uint64) for x in (a, b)]
+        odd = np.array([np.bitwise_count(bits[0] ^ bits[1]).sum()])
+        assert near_dedup.may_link(np.array([len(a)]), np.array([len(b)]), odd, 80)[0]
+
+
 def test_odd_sketches_lose_no_link():
     rng = np.random.default_rng(3)
     for size in (3, 20, 146, 1500, 2049, 4500, 20_000):
