@@ -89,10 +89,10 @@ select p_partkey as req_id,
 from {part}""",
     "udf_v": """
 select distinct lower(udfname) as udfname from {udf_request_v}
-where req_id % 7 = 0 and req_id < 100 and req_id % 11 <> 0""",
+where lower(udfname) like 'small%'""",
     "funcs_v": """
 select distinct lower(udfname) as func_name from {udf_request_v}
-where req_id between 200 and 300 and req_id % 11 <> 0""",
+where lower(udfname) like '%ring%'""",
     "role_v": """
 select s_suppkey as pos, s_name as name,
        case when s_suppkey % 10 = 0 then 'RESOURCEMANAGER' else 'NODEMANAGER' end as type,

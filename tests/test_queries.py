@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import KINDS, ordered
-from jobtrail.fixtures import BASE
+from jobtrail.fixtures import BASE, table
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -44,3 +44,12 @@ def test_entry(spark):
 
 def test_oracle_keys_are_queries():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_function_registries_grow_with_their_table(spark):
+    def sizes(sf):
+        names = ("udf_v", "funcs_v")
+        return [table(spark, f"/root/testdata/sf{sf}", n).count() for n in names]
+
+    for small, medium, large in zip(sizes("0.001"), sizes("0.01"), sizes("0.1")):
+        assert small < medium / 2 < medium < large / 2
