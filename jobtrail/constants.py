@@ -97,6 +97,7 @@ QUOTA_TOO_LARGE = "quota can not larger than 53687091200"
 QUEUE_NAME_MISSING = "queueName is not exist"
 MEMTOTAL_MISSING = "memtotal is not exist"
 TASK_UNKNOWN = "the optask '%s' is not exist"
+INSTANCE_NOT_SUBMITTED = "the opTask(%s) of jobinstanceid( %s)  is not submitted to the yarn"
 TASK_FINISHED = "the optask '%s' is FINISHED"
 KILL_REFUSED = "the application '%s' is not normal to kill, Please check the operator task status"
 NO_APPLICATION_ID = "当前算子标准输出流中没有截获到ApplicationId，请确认是否用了log4j处理日志，应该使用标准输出"

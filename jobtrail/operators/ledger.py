@@ -207,6 +207,17 @@ def kill_plan(ids: DataFrame, optask: DataFrame, apptask: DataFrame, strict: boo
     return kills.unionByName(rest).withColumn("message", message)
 
 
+def kill_by_instance(keys: DataFrame, optask: DataFrame, apptask: DataFrame, strict: bool = False) -> DataFrame:
+    """Kill plan of the latest task of each (jobinstanceid, opid); ``otid`` is NULL where there is none."""
+    found = task_by_instance(optask, keys)
+    known = found.filter(F.col("otid") != C.NOT_EXIST)
+    steps = known.join(kill_plan(known, optask, apptask, strict), "otid")
+    unknown = found.filter(F.col("otid") == C.NOT_EXIST).select(
+        F.lit(None).cast("string").alias("otid"), "jobinstanceid", "opid", F.lit(C.NOT_EXIST).alias("action"),
+        F.format_string(C.INSTANCE_NOT_SUBMITTED, "opid", "jobinstanceid").alias("message"))
+    return steps.unionByName(unknown, allowMissingColumns=True)
+
+
 def kill_outcome(apps: DataFrame) -> DataFrame:
     """Did every kill of a task succeed, and which application failed first."""
     failed = ~F.col("killed")

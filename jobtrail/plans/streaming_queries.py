@@ -10,15 +10,19 @@ from jobtrail.plans.registry import Tables, query
 from jobtrail.session import scratch_path
 from jobtrail.streaming import follow as S
 
-# Lines arrive in three steps by time; inside a step the order columns decide.
-STEPS = ("1997-01-01", "1999-01-01", "2100-01-01")
+# Lines arrive in three steps by time; inside a step the order columns decide. The first step is open
+# downwards and holds NULL times, which sort first; the last one is open upwards.
+STEPS = ("1997-01-01", "1999-01-01", None)
 
 
 def in_steps(df, time: str):
-    since = "1900-01-01"
+    since = None
     for until in STEPS:
         lower, upper = (F.lit(d).cast("timestamp_ntz") for d in (since, until))
-        yield df.filter((F.col(time) >= lower) & (F.col(time) < upper))
+        begun = F.col(time) >= lower if since else F.lit(True)
+        ended = F.col(time) < upper if until else F.lit(True)
+        inside = begun & ended
+        yield df.filter(inside if since else F.col(time).isNull() | inside)
         since = until
 
 

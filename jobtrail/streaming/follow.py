@@ -22,7 +22,11 @@ from jobtrail.sources.logs import task_lines
 
 def stream_app_ids(spark: SparkSession, path: str, strict: bool = False,
                    max_files: int | None = None) -> DataFrame:
-    """Submissions as they appear in growing task logs (layout of ``read_task_logs``). Stateless."""
+    """Submissions of closed task logs as their files appear (layout of ``read_task_logs``). Stateless.
+
+    A file is read once, so lines appended to it later are not seen: move a log here when it is
+    complete, or write it as closed segments.
+    """
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
@@ -40,7 +44,9 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
     batch is the distributed one of the batch twin, so one busy task does not hold a batch up;
     the heads shift it. A line delivered twice is dropped, and a retried batch rewrites its own
     directories from the heads before it, so neither renumbers. Every ``snapshot_every`` batches
-    the heads are written whole, which bounds what a batch has to read.
+    the heads are written whole, which bounds what a batch has to read. To know a line again, the
+    stream keeps the key of every line, for ever. The end of a task and the stdout fallback of the
+    batch ledger are not part of the stream.
     """
     order = list(order)
 

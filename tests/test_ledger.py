@@ -156,3 +156,19 @@ def test_the_last_hive_instance_counts(spark, rows):
         [("1", "FINISHED_STATE", 2), ("1", "RUNNING_STATE", 1), ("1", "ERROR_STATE", None), ("3", "RUNNING_STATE", 1)],
         "otid string, state string, submittime int")
     assert rows(L.hive_task_status(tasks, instances), "otid", "status") == [("1", "SUCCEEDED"), ("2", "FAILED")]
+
+
+def test_kill_by_instance(spark, rows):
+    keys = spark.createDataFrame(
+        [("j1", "MR.a"), ("j3", "HV.b"), ("j4", "GM.c"), ("j9", "MR.a"), (None, "MR.a")], "jobinstanceid string, opid string")
+    apps = spark.createDataFrame(
+        [("t1", 1, app(1), "RUNNING"), ("t2", 1, app(2), "RUNNING"), ("t2", 2, app(3), "SUCCEEDED"), ("t2", 3, app(4), None)],
+        "otid string, sequence int, appid string, status string")
+    found = L.kill_by_instance(keys, tasks(spark), apps)
+    # t2 is the last task of (j1, MR.a).
+    assert rows(found, "jobinstanceid", "opid", "otid", "action", "appid") == sorted([
+        ("j1", "MR.a", "t2", C.KILL_APPLICATION, app(2)), ("j1", "MR.a", "t2", C.KILL_APPLICATION, app(4)),
+        ("j3", "HV.b", "t3", C.HIVE_CANCEL, None), ("j4", "GM.c", "t4", C.ALREADY_FINISHED, None),
+        ("j9", "MR.a", None, C.NOT_EXIST, None), (None, "MR.a", None, C.NOT_EXIST, None)], key=repr)
+    told = {r["jobinstanceid"]: r["message"] for r in found.filter("otid is null").collect()}
+    assert told["j9"] == "the opTask(MR.a) of jobinstanceid( j9)  is not submitted to the yarn"

@@ -76,3 +76,11 @@ def test_status_stream_equals_batch(spark, rows):
         S.stream_status(stream, deltas, mark, "otid", ["status"], ["at"]).awaitTermination()
         now = S.current_status(table, deltas, "otid", ["status"], ["at"])
         assert rows(now) == rows(apply_updates(table, seen, "otid", ["status"], ["at"]))
+
+
+def test_steps_of_the_stream_queries_hold_every_row(spark, rows):
+    from jobtrail.plans.streaming_queries import in_steps
+
+    times = [None, "1850-01-01", "1996-12-31", "1997-01-01", "1999-01-01", "2100-01-01", "2500-01-01"]
+    df = spark.createDataFrame(list(enumerate(times)), "n int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert [[n for n, in rows(step, "n")] for step in in_steps(df, "ts")] == [[0, 1, 2], [3], [4, 5, 6]]
