@@ -5,12 +5,13 @@ length, whether it asks, and whether a blank line precedes it. Hidden states are
 whether the line opens a turn or goes on with it. Viterbi finds the most likely states of a
 conversation; rendering drops markers and writes a header line where a turn opens.
 
-A conversation of any length is cut into blocks of ``BLOCK`` positions. A block is summed up by the best score
+The lines of a conversation are numbered in their order, and a conversation of any length is cut into blocks of
+``BLOCK`` lines, however many of them share a position. A block is summed up by the best score
 between any two of its border states (a max-plus matrix); matrices of ``FAN`` neighbours multiply into one until one
 group is left, and the best border states are handed back down. So no task sees more than a
 block or ``FAN`` small matrices, and the path is the one Viterbi finds on the whole.
 
-Defined cases: NULL lines are empty lines; lines come in the order of their position, equal positions in the order of
+Defined cases: NULL lines are empty lines; lines come in the order of their position (one column or several), equal positions in the order of
 their texts, NULL positions first; NULL conversation ids are one conversation; repeated rows are all kept; an empty table gives
 an empty result. Further columns of the input are not touched and may have any name.
 """
@@ -18,14 +19,16 @@ an empty result. Further columns of the input are not touched and may have any n
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtrail.llm.texts import columns
+from jobtrail.operators.ordered import join_keys
 from jobtrail.session import stage
 
 ROLES = ("system", "user", "assistant")
@@ -149,22 +152,41 @@ def _grouped(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
+def _numbered(rows: DataFrame, positions: list[str]) -> DataFrame:
+    """Rows with their number in their conversation, from 0.
+
+    Rows are dealt by range over conversation and order, and rows that are equal in both by an id, so
+    no conversation, position or repeated line is one task's. The ids are staged: range bounds are sampled.
+    """
+    rows = stage(rows.withColumn("_tie", F.monotonically_increasing_id()), "lines")
+    order = ["conv", *positions, "line", "_tie"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stage(ranged, "ranged").withColumn("_piece", F.shiftright("_at", 33))
+    # One row for each conversation of a partition; a conversation has one in each partition at most.
+    before = W.partitionBy("conv").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("conv", "_piece").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")).withColumn(
+        "_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    number = F.col("_before") + F.col("_at") - F.col("_first")
+    return join_keys(ranged, starts, ["conv", "_piece"]).select("conv", *positions, "line", number.alias("number"))
+
+
 def _lines_of(table: pa.Table) -> tuple[pa.Table, list[str], list[int]]:
-    table = table.take(pc.sort_indices(
-        table, sort_keys=[("pos", "ascending"), ("line", "ascending")], null_placement="at_start"))
+    table = table.sort_by("number")
     lines = [x or "" for x in table.column("line").to_pylist()]
     blank = [False, *(not x.strip() for x in lines[:-1])]
     return table, lines, [observe(x, b) for x, b in zip(lines, blank)]
 
 
-def parse(lines: DataFrame, conv_id: str = "conv_id", position: str = "pos", line: str = "line",
+def parse(lines: DataFrame, conv_id: str = "conv_id", position: str | Sequence[str] = "pos", line: str = "line",
           model: Model | None = None, block: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """Per line: conversation, position, recovered role, whether it opens a turn, rendered text."""
+    """Per line: conversation, position, number in the conversation, recovered role, whether it opens a turn, rendered text."""
     model = model or default_model()
-    rows = columns(lines, conv=conv_id, pos=position, line=line).select(
-        "conv", F.col("pos").cast("long").alias("pos"), "line")
+    named = [position] if isinstance(position, str) else list(position)
+    at = [f"pos{k}" for k in range(len(named))]
+    rows = columns(lines, conv=conv_id, line=line, **dict(zip(at, named))).select(
+        "conv", *[F.col(p).cast("long").alias(p) for p in at], "line")
     kind = rows.schema["conv"].dataType.simpleString()
-    rows = stage(rows.withColumn("idx", F.floor(F.coalesce("pos", F.lit(0)) / block).cast("long")), "lines")
+    rows = stage(_numbered(rows, at).withColumn("idx", F.floor(F.col("number") / block).cast("long")), "numbered")
 
     def summed_up(table: pa.Table) -> pa.Table:
         _, _, observed = _lines_of(table)
@@ -200,7 +222,7 @@ def parse(lines: DataFrame, conv_id: str = "conv_id", position: str = "pos", lin
         bounds = _grouped(lower, ["conv", "up"], inner, marks)
     told = stage(bounds, "borders").withColumnsRenamed({"idx": "_idx", "conv": "_conv"})
     known = rows.join(told, rows["conv"].eqNullSafe(told["_conv"]) & (rows["idx"] == told["_idx"])).select(
-        "conv", "idx", "pos", "line", "begin", "end")
+        "conv", "idx", *at, "number", "line", "begin", "end")
 
     def labelled(table: pa.Table) -> pa.Table:
         table, texts, observed = _lines_of(table)
@@ -208,11 +230,13 @@ def parse(lines: DataFrame, conv_id: str = "conv_id", position: str = "pos", lin
         opens = [s % 2 == 0 for s in states]
         roles = [ROLES[s // 2] for s in states]
         shown = [f"<|{r}|>\n{x[marker_of(x)[1]:]}" if o else x for r, o, x in zip(roles, opens, texts)]
-        return pa.table({"conv": table.column("conv"), "pos": table.column("pos"), "role": pa.array(roles, pa.string()),
+        return pa.table({"conv": table.column("conv"), **{p: table.column(p) for p in at},
+                         "number": table.column("number"), "role": pa.array(roles, pa.string()),
                          "opens": pa.array(opens, pa.bool_()), "rendered": pa.array(shown, pa.string())})
 
-    out = _grouped(known, ["conv", "idx"], labelled, f"conv {kind}, pos long, role string, opens boolean, rendered string")
-    return out.select(F.col("conv").alias(conv_id), F.col("pos").alias(position), "role", "opens", "rendered")
+    out = _grouped(known, ["conv", "idx"], labelled, f"conv {kind}, {', '.join(f'{p} long' for p in at)}, number long, role string, opens boolean, rendered string")
+    return out.select(F.col("conv").alias(conv_id), *[F.col(p).alias(name) for p, name in zip(at, named)],
+                      "number", "role", "opens", "rendered")
 
 
 def _matrix_row(table: pa.Table, at: int, matrix: np.ndarray) -> pa.Table:
@@ -237,7 +261,7 @@ def _border_rows(table: pa.Table, order: pa.Table, found: list[tuple[int, int]])
                      "begin": pa.array([b for b, _ in found], pa.int32()), "end": pa.array([e for _, e in found], pa.int32())})
 
 
-def render(parsed: DataFrame, conv_id: str = "conv_id", position: str = "pos", block: int = BLOCK) -> DataFrame:
+def render(parsed: DataFrame, conv_id: str = "conv_id", position: str = "number", block: int = BLOCK) -> DataFrame:
     """Rendered text of every block of a conversation; blocks in their order are the conversation."""
     rows = parsed.select(
         F.col(conv_id), F.floor(F.coalesce(F.col(position), F.lit(0)) / block).alias("block"),

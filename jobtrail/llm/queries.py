@@ -71,22 +71,21 @@ def transcripts(conversations: DataFrame) -> DataFrame:
                                            F.lit("system"), F.lit("System")), F.col("role")), F.lit(": ")))
     marked = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) > 0, F.coalesce(mark, F.lit(""))).otherwise(F.lit(""))
     body = F.concat(marked, F.coalesce("text", F.lit("")))
-    return conversations.select("conv_id", "turn", "role", F.posexplode(F.split(body, "\n", -1)).alias("_at", "line")).select(
-        "conv_id", (F.col("turn").cast("long") * 100_000 + F.col("_at")).alias("pos"), "role", "line")
+    return conversations.select("conv_id", "turn", "role", F.posexplode(F.split(body, "\n", -1)).alias("at", "line")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("at").cast("long").alias("at"), "role", "line")
 
 
 def op9_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovered turns of every conversation, and how many lines got the role they were written in."""
     lines = transcripts(_table(spark, sf_dir, "conversations"))
-    # The position numbers lines within turns; blocks are cut by turns.
-    parsed = chat_format.parse(lines, block=100_000 * 64)
+    parsed = chat_format.parse(lines, position=["turn", "at"])
     # Turns that repeat share positions; a line is right if its role was written there.
-    truth = lines.filter(F.col("role").isin(*chat_format.ROLES)).groupBy("conv_id", "pos").agg(F.collect_set("role").alias("_roles"))
-    both = join_keys(parsed, truth, ["conv_id", "pos"], "left")
+    truth = lines.filter(F.col("role").isin(*chat_format.ROLES)).groupBy("conv_id", "turn", "at").agg(F.collect_set("role").alias("_roles"))
+    both = join_keys(parsed, truth, ["conv_id", "turn", "at"], "left")
     return both.groupBy("conv_id").agg(
         F.count("*").alias("n_lines"), F.sum(F.col("opens").cast("long")).alias("n_turns"),
         F.sum(F.coalesce(F.array_contains("_roles", F.col("role")), F.lit(False)).cast("long")).alias("n_right"),
-        F.sum(F.crc32(F.concat_ws("\x00", "pos", "rendered"))).alias("rendered_crc32"))
+        F.sum(F.crc32(F.concat_ws("\x00", F.col("turn") * 100_000 + F.col("at"), "rendered"))).alias("rendered_crc32"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

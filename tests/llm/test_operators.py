@@ -564,6 +564,30 @@ def test_chat_query_counts_repeated_turns_once(spark, tmp_path):
     assert all(r["n_right"] <= r["n_lines"] for r in found.values()) and found[None]["n_right"] == 1
 
 
+def test_chat_turns_of_any_length_stay_apart(spark, tmp_path):
+    from jobtrail.llm.queries import op9_chat_roles, transcripts
+
+    long = "\n".join(["word"] * 100_020)
+    frame = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "AI: zz\n" + "\n".join(["last"] * 30))],
+                                  "conv_id long, turn int, role string, text string")
+    parsed = chat_format.parse(transcripts(frame), position=["turn", "at"]).orderBy("number").collect()
+    assert [(r["turn"], r["at"]) for r in parsed] == [(0, k) for k in range(100_020)] + [(1, k) for k in range(31)]
+    frame.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["n_lines"] for r in op9_chat_roles(spark, str(tmp_path)).collect()] == [100_051]
+
+
+def test_chat_blocks_are_bounded_whatever_the_positions(spark, monkeypatch):
+    rows = [(None, None, "x")] * 700 + [(None, 3, f"User: {k}") for k in range(300)] + [(1, 5, "same")] * 500
+    frame = spark.createDataFrame(rows, "conv_id long, pos long, line string")
+    sizes = chat_format._numbered(frame.select(F.col("conv_id").alias("conv"), "pos", "line"), ["pos"]).groupBy("conv").agg(
+        F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("b"))
+    assert {r["conv"]: (r["n"], r["d"], r["a"], r["b"]) for r in sizes.collect()} == {None: (1000, 1000, 0, 999), 1: (500, 500, 0, 499)}
+    parsed = chat_format.parse(frame, block=64)
+    assert parsed.count() == len(rows)
+    blocks = chat_format.render(parsed, block=64).collect()
+    assert len(blocks) == 16 + 8 and max(r["text"].count("\n") for r in blocks) < 3 * 64
+
+
 def test_chat_rendering_and_edges(spark):
     rows = [(1, 0, "User: hi"), (1, 1, "there"), (1, 2, "Assistant: yes"), (None, 0, "Q: x"), (None, None, None), (2, 0, None), (2, 0, "")]
     frame = spark.createDataFrame(rows, "conv_id long, pos long, line string")
