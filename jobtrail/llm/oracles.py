@@ -115,3 +115,46 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles,
 from d left join n using (doc_id)
 left join (select doc_id, min(other) as low from reach group by doc_id) r using (doc_id)
 """
+
+FILTER_AUDIT = r"""
+with letters(f) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a join letters b on b.f <> a.f join letters c on c.f not in (a.f, b.f)
+  join letters d on d.f not in (a.f, b.f, c.f) join letters e on e.f not in (a.f, b.f, c.f, d.f)),
+steps as (select filter_order, unnest(range(1, 6)) as step from orders),
+d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as body,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+first as (select body, min(doc_id) as low from d group by body),
+l as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+m as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         case when len(ws) < 200 then 'A' else '' end
+         || case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end
+         || case when 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body) then 'C' else '' end
+         || case when regexp_matches(body, '[#$%&*|]') then 'D' else '' end
+         || case when coalesce(low < d.doc_id, false) then 'E' else '' end as fails
+  from d join first using (body) left join l on l.doc_id = d.doc_id),
+g as (select part, good, toxic, fails, count(*) as n from m group by part, good, toxic, fails),
+x as (
+  select part, filter_order, step, good, toxic, fails, n, substr(filter_order, step, 1) as f,
+         contains(fails, substr(filter_order, step, 1)) as here,
+         len(list_filter(range(1, step), lambda k: contains(fails, substr(filter_order, k, 1)))) > 0 as gone
+  from g cross join steps),
+s as (
+  select part, filter_order, step, f,
+         sum(case when not here and not gone then n else 0 end) as kept,
+         sum(case when here and not gone then n else 0 end) as removed,
+         sum(case when here and gone then n else 0 end) as redundant,
+         sum(case when fails = f then n else 0 end) as unique_fails,
+         sum(case when here and not gone and good then n else 0 end) as good_lost,
+         sum(case when here and not gone and toxic then n else 0 end) as toxic_lost
+  from x group by part, filter_order, step, f)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from s
+"""
