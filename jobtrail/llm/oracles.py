@@ -158,3 +158,26 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
        cast(sum(removed) over (partition by part, f) as bigint) as shapley
 from s
 """
+
+SUFFIX_DEDUP = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (
+  select doc_id, i, substr(h, 2 * i + 1, 200) as s
+  from (select doc_id, h, unnest(range(0, cast(length(h) // 2 - 99 as bigint))) as i from d where length(h) >= 200) x),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from w) x where k > 1),
+run as (
+  select doc_id, min(i) as b, max(i) + 100 as e
+  from (select doc_id, i, sum(opens) over (partition by doc_id order by i) as run
+        from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as opens
+              from again) x) y
+  group by doc_id, run),
+cut as (select doc_id, b, e, coalesce(lag(e) over (partition by doc_id order by b), 0) as before from run),
+kept as (
+  select c.doc_id, string_agg(substr(d.h, 2 * before + 1, 2 * (b - before)), '' order by b) as head, max(e) as last,
+         sum(e - b) as removed, count(*) as spans
+  from cut c join d using (doc_id) group by c.doc_id)
+select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
+       cast(coalesce(spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join kept k using (doc_id)
+"""

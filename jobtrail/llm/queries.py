@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from jobtrail.llm import (
     bpe, chat_format, decontaminate, filter_audit, language_id, near_dedup, periodic_runs, quality_rules, secret_scan,
-    token_files, url_filter, weak_labels,
+    suffix_dedup, token_files, url_filter, weak_labels,
 )
-from jobtrail.llm.oracles import DECONTAMINATE, FILTER_AUDIT, NEAR_DUPLICATES, QUALITY_RULES, URL_RULES
+from jobtrail.llm.oracles import DECONTAMINATE, FILTER_AUDIT, NEAR_DUPLICATES, QUALITY_RULES, SUFFIX_DEDUP, URL_RULES
 from jobtrail.operators.ordered import join_keys
 
 TOKENIZER = "word_bpe_49k.json"
@@ -92,6 +92,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(_table(spark, sf_dir, "documents"), planted=True)
 
@@ -104,8 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         op1_weak_labels, op2_line_frequency, op3_url_rules, op4_repair_tokens, op5_ppm_language, op6_decontaminate,
-        op7_near_duplicates, op8_bpe_automaton, op9_chat_roles, op10_secrets, op12_periodic_runs,
-        op13_filter_audit,
+        op7_near_duplicates, op8_bpe_automaton, op9_chat_roles, op10_secrets, op11_suffix_dedup,
+        op12_periodic_runs, op13_filter_audit,
     )
 }
 ORACLE: dict[str, str] = {
@@ -113,5 +117,6 @@ ORACLE: dict[str, str] = {
     "op3_url_rules": URL_RULES,
     "op6_decontaminate": DECONTAMINATE,
     "op7_near_duplicates": NEAR_DUPLICATES,
+    "op11_suffix_dedup": SUFFIX_DEDUP,
     "op13_filter_audit": FILTER_AUDIT,
 }
