@@ -19,13 +19,14 @@ the least common length between the two suffixes that put them there. That minim
 table of range minima within a batch, and from one number a symbol between batches. Lengths stop
 counting at ``CAP``. Star suffixes start with lengths compared in the text.
 
-Memory: one bucket, the blocks of a scan, ``limit`` entries of queues, and one byte a place of page
-cache; the rest is files. The files are spills of one task, gone when it ends or fails.
+Memory: one bucket, the blocks of a scan, and up to ``limit`` entries of each queue and array; what is
+longer is in files. The files are spills of one task, gone when it ends or fails.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,27 +39,47 @@ BLOCK = 1 << 20
 
 
 class Spool:
-    """An array that is appended to a file and read back as a map of it."""
+    """An array that grows in memory, and beyond ``limit`` entries in a file that is read back as a map."""
 
-    def __init__(self, folder: str, name: str, dtype):
-        self.path, self.dtype, self.size = os.path.join(folder, f"{name}-{len(os.listdir(folder))}"), np.dtype(dtype), 0
-        open(self.path, "wb").close()
+    def __init__(self, folder: str, name: str, dtype, limit: int):
+        self.path, self.dtype, self.limit, self.size = _fresh(folder, name), np.dtype(dtype), limit, 0
+        self.parts: list[np.ndarray] = []
+        self.stored = 0
 
     def append(self, values: np.ndarray) -> None:
-        with open(self.path, "ab") as out:
-            np.ascontiguousarray(values, self.dtype).tofile(out)
+        self.parts.append(np.ascontiguousarray(values, self.dtype))
         self.size += len(values)
+        if self.size - self.stored > self.limit:
+            self._store()
+
+    def _store(self) -> None:
+        with open(self.path, "ab") as out:
+            for part in self.parts:
+                part.tofile(out)
+        self.parts, self.stored = [], self.size
+
+    def array(self) -> np.ndarray:
+        if self.stored:
+            self._store()
+            return np.memmap(self.path, self.dtype, "r", shape=(self.size,))
+        self.parts = [np.concatenate(self.parts)] if self.parts else [np.empty(0, self.dtype)]
+        return self.parts[0]
+
+
+def room(folder: str, name: str, dtype, size: int, limit: int) -> np.ndarray:
+    """Zeros to write to, in a file if they are more than ``limit``."""
+    return np.memmap(_fresh(folder, name), dtype, "w+", shape=(size,)) if size > limit else np.zeros(size, dtype)
+
 
-    def array(self, mode: str = "r") -> np.ndarray:
-        return np.memmap(self.path, self.dtype, mode, shape=(self.size,)) if self.size else np.empty(0, self.dtype)
+def _fresh(folder: str, name: str) -> str:
+    return os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
 
 
 class Queue:
     """Entries by symbol, first in first out; beyond ``limit`` entries all wait in files."""
 
     def __init__(self, folder: str, name: str, limit: int):
-        self.prefix, self.limit, self.held = os.path.join(folder, f"{name}-{len(os.listdir(folder))}"), limit, 0
-        os.mkdir(self.prefix)
+        self.prefix, self.limit, self.held = _fresh(folder, name), limit, 0
         self.waiting: dict[int, list[np.ndarray]] = defaultdict(list)
         self.spilled: set[int] = set()
 
@@ -72,7 +93,7 @@ class Queue:
         self.held += len(entries)
         if self.held > self.limit:
             for symbol, parts in self.waiting.items():
-                with open(f"{self.prefix}/{symbol}", "ab") as out:
+                with open(f"{self.prefix}-{symbol}", "ab") as out:
                     np.concatenate(parts).tofile(out)
                 self.spilled.add(symbol)
             self.waiting.clear()
@@ -83,7 +104,7 @@ class Queue:
         self.held -= sum(map(len, parts))
         if symbol in self.spilled:
             self.spilled.discard(symbol)
-            path = f"{self.prefix}/{symbol}"
+            path = f"{self.prefix}-{symbol}"
             parts = [np.fromfile(path, np.int64), *parts]
             os.remove(path)
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
@@ -101,14 +122,10 @@ def sorted_suffixes(text: np.ndarray, first: int, folder: str, limit: int,
     return _Induction(text, first, folder, limit, symbols, common).run(stars, lengths, n_separators)
 
 
-def classify(text: np.ndarray, first: int, folder: str) -> np.ndarray:
+def classify(text: np.ndarray, first: int, folder: str, limit: int) -> np.ndarray:
     """4 * symbol + 2 if the place is S + 1 if it is a star, for every place."""
     n = len(text)
-    out = Spool(folder, "codes", np.int64)
-    out.size = n
-    with open(out.path, "wb") as file:
-        file.truncate(8 * n)
-    codes = out.array("r+")
+    codes = room(folder, "codes", np.int64, n, limit)
     next_symbol, next_small, end = -1, True, n
     while end > 0:
         begin = max(0, end - BLOCK)
@@ -151,9 +168,9 @@ def regroup(key: np.ndarray, members: np.ndarray, group: np.ndarray) -> tuple[np
 
 def _star_order(text: np.ndarray, first: int, folder: str, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Stars in the order of their suffixes, separators first and by place; all other symbols; the number of separators."""
-    codes = classify(text, first, folder)
+    codes = classify(text, first, folder, limit)
     n = len(text)
-    waiting, separators, symbols = Queue(folder, "stars", limit), Spool(folder, "separators", np.int64), np.empty(0, np.int64)
+    waiting, separators, symbols = Queue(folder, "stars", limit), Spool(folder, "separators", np.int64, limit), np.empty(0, np.int64)
     for begin in range(0, n, BLOCK):
         block = codes[begin:begin + BLOCK]
         at = np.flatnonzero(block & 1)
@@ -165,13 +182,9 @@ def _star_order(text: np.ndarray, first: int, folder: str, limit: int) -> tuple[
         waiting.push(symbol[order], begin + at[order])
         symbols = np.union1d(symbols, block >> 2)
     symbols = symbols[symbols >= first]
-    slots = Spool(folder, "names", np.int64)
-    slots.size = n
-    with open(slots.path, "wb") as file:
-        file.truncate(8 * n)
-    names = slots.array("r+")
+    names = room(folder, "names", np.int64, n, limit)
     names[separators.array()] = np.arange(separators.size)
-    unique, name, order = True, separators.size, Spool(folder, "order", np.int64)
+    unique, name, order = True, separators.size, Spool(folder, "order", np.int64, limit)
     order.append(separators.array())
     for symbol in symbols.tolist():
         stars = waiting.pop(symbol)
@@ -184,7 +197,7 @@ def _star_order(text: np.ndarray, first: int, folder: str, limit: int) -> tuple[
             order.append(stars)
     if unique:
         return order.array(), symbols, separators.size
-    short, places = Spool(folder, "short", np.int64), Spool(folder, "places", np.int64)
+    short, places = Spool(folder, "short", np.int64, limit), Spool(folder, "places", np.int64, limit)
     for begin in range(0, n, BLOCK):
         at = begin + np.flatnonzero(codes[begin:begin + BLOCK] & 1)
         places.append(at)
@@ -224,8 +237,8 @@ def _order_of(text: np.ndarray, first: int, folder: str, limit: int) -> np.ndarr
     """All places of a string in suffix order."""
     if len(text) <= limit:
         return _doubling(np.asarray(text))
-    out = Spool(folder, "suffixes", np.int64)
-    buckets = Spool(folder, "sizes", np.int64)
+    out = Spool(folder, "suffixes", np.int64, limit)
+    buckets = Spool(folder, "sizes", np.int64, limit)
     # A string of names needs separators at both ends, as the text has.
     for places, _ in sorted_suffixes(text, first, folder, limit, common=False):
         out.append(places)

@@ -5,8 +5,8 @@ import random
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from jobtrail.llm import induced_sort, suffix_dedup
 
@@ -116,34 +116,47 @@ def test_removal_in_many_batches_and_shards(spark, monkeypatch, small):
 
 def test_sorted_units_are_settled_over_batches():
     """Any cut of the sorted rows into batches gives the same decisions."""
-    import pyarrow as pa
-
-    rng = random.Random(4)
-    rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(2), rng.randrange(4), 0, rng.randrange(3), rng.choice([1, 1, 1, -2]))
-                  for _ in range(120))
-    names = ("gram", "one", "two", "id", "key", "at", "strings")
-    rows = [r for k, r in enumerate(rows) if r[6] > 0 or not any(r[:3] == o[:3] and o[6] > 0 for o in rows)]
+    rng, shift = random.Random(4), suffix_dedup._SHIFT
+    rows = []
+    for _ in range(120):
+        span = rng.randrange(3) << shift | 1
+        rows.append((rng.randrange(6), rng.randrange(3), rng.randrange(4), 0, span))
+    rows = sorted(rows + [(100 + k, 0, k, 0, ~(k << shift | 7)) for k in range(5)])
+    names = ("gram", "digest", "id", "key", "span")
 
     def settled(size):
-        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k:k + size]], schema=pa.schema([(n, pa.int64()) for n in names]))
-                   for k in range(0, len(rows), size)]
+        schema = pa.schema([(n, pa.int64()) for n in names])
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k:k + size]], schema=schema) for k in range(0, len(rows), size)]
         found = []
         for out in suffix_dedup._settle(iter(batches)):
-            found += list(zip(*[out[n].tolist() for n in ("id", "key", "at", "strings")], pa.array(out["gram"]).to_pylist()))
+            found += zip(*[out[n].tolist() for n in ("id", "key", "span")], pa.array(out["gram"]).to_pylist())
         return sorted(found, key=repr)
 
-    units = {}
+    held = {}
     for r in rows:
-        if r[6] > 0:
-            units.setdefault(r[:3], []).append(r)
-    expected = [(r[3], r[4], r[5], r[6], None) for r in rows if r[6] < 0]
-    expected += [(r[3], r[4], r[5], -r[6], None) for held in units.values() for r in held if r[3:6] != held[0][3:6]]
-    grams = [u[0] for u in units]
-    expected += [(r[3], r[4], r[5], r[6], r[0]) for u, (r, *_) in units.items() if grams.count(u[0]) > 1]
+        if r[4] >= 0:
+            held.setdefault(r[:2], []).append(r)
+    expected = [(*r[2:], None) for r in rows if r[4] < 0]
+    expected += [(r[2], r[3], ~r[4], None) for some in held.values() for r in some if r[2:] != some[0][2:]]
+    grams = [u[0] for u in held]
+    expected += [(*some[0][2:], u[0]) for u, some in held.items() if grams.count(u[0]) > 1]
     for size in (1, 2, 3, 7, 1000):
         assert settled(size) == sorted(expected, key=repr)
 
 
+def test_shards_keep_a_gram_together(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 50)
+    rng = random.Random(8)
+    rows = [(g, b"x" * rng.randrange(1, 30)) for g in range(40) for _ in range(rng.choice([1, 2, 9]))]
+    for size in (1, 3, 1000):
+        batches = [pa.RecordBatch.from_pydict({"gram": [g for g, _ in rows[k:k + size]], "unit": [u for _, u in rows[k:k + size]]})
+                   for k in range(0, len(rows), size)]
+        shards = [[(g, u) for b in shard for g, u in zip(b["gram"].to_pylist(), b["unit"].to_pylist())]
+                  for shard in suffix_dedup._cut_shards(iter(batches))]
+        assert [r for shard in shards for r in shard] == rows and len(shards) > 8
+        assert all(a[-1][0] != b[0][0] for a, b in zip(shards, shards[1:]))
+
+
 def test_removal_edges(spark, edge, none):
     rows = {(r["doc_id"], r["n_bytes"]): r for r in suffix_dedup.remove_repeats(edge).collect()}
     assert rows[1, 0]["kept_sha256"] == rows[2, 0]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
