@@ -2,8 +2,9 @@
 
 Documents are put in ascending order by a range partitioning, encoded, and packed into shards of
 about ``SHARD_TOKENS`` ids. In a shard the frequent pairs of adjacent ids become nonterminals, over
-and over: each of up to ``ROUNDS`` rounds counts all pairs, takes the most frequent ones
-and replaces them, the more frequent first where two overlap. What is stored per shard:
+and over, until no pair is left that occurs ``LEAST_COUNT`` times: each round counts all pairs, takes the most
+frequent ones and replaces them, the more frequent first where two overlap and every second one of a
+run of one id. Rules that replaced nothing are not stored. What is stored per shard:
 
 * ``rules``: two symbols for each nonterminal, which are numbered from ``first`` on;
 * ``lengths``: how many ids each nonterminal expands to;
@@ -41,19 +42,21 @@ from jobtrail.session import scratch_path
 
 END = 1
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 4000
+RULES_A_ROUND = 16_000
 LEAST_COUNT = 8
 MARK = 1024
 KNOWN_WORDS = 1_000_000
+#: Signs that may follow a word of letters, in one run, and how many runs are kept.
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+KNOWN_SIGNS = 10_000
 
 
 class LibraryEncoder:
     """Ids from the tokenizers library.
 
     A tokenizer that lower-cases, splits at white space and works on bytes is asked once for each white-space
-    delimited word, since no word's ids depend on its neighbours; a word of letters and at most one sign goes
-    straight to its merge model. Any other tokenizer is asked for whole texts. Beyond ``KNOWN_WORDS`` words
+    delimited word, since no word's ids depend on its neighbours; a word of letters with signs after them goes
+    straight to its merge model, each body once a call. Any other tokenizer is asked for whole texts. Beyond ``KNOWN_WORDS`` words
     the table starts afresh, which bounds its memory.
     """
 
@@ -66,9 +69,9 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_word = _splits_words(json.loads(spec))
-        self.symbols = byte_symbols()
+        self.symbols = dict(enumerate(byte_symbols()))
         self.tokenize = self.tokenizer.model.tokenize
-        self.signs = {c: [t.id for t in self.tokenize(c)] for c in ".,;:!?"} if self.by_word else {}
+        self.signs: dict[str, list[int]] = {}
         self._fresh()
 
     def _fresh(self) -> None:
@@ -79,24 +82,34 @@ class LibraryEncoder:
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _plain(self, word: str) -> list[int] | None:
-        sign = self.signs.get(word[-1])
-        body = word if sign is None else word[:-1]
+    def _plain(self, word: str, bodies: dict[str, list[int]]) -> list[int] | None:
+        """Ids of letters with signs after them, None for other words; ``bodies`` has the letters met before."""
+        body = word.rstrip(SIGNS)
         if not body.isalpha():
             return None
-        if body.isascii():
-            body = body.lower()
-        else:
-            body = "".join([c.lower() for c in body])
-            if not body.isalpha() or not unicodedata.is_normalized("NFC", body) or not unicodedata.is_normalized("NFC", word):
-                return None
-            body = "".join([self.symbols[b] for b in body.encode()])
-        return [t.id for t in self.tokenize(body)] + (sign or [])
+        if (ids := bodies.get(body)) is None:
+            if body.isascii():
+                inner = body.lower()
+            else:
+                # One letter at a time where the place in the word could matter.
+                inner = "".join([c.lower() for c in body]) if "\u03a3" in body else body.lower()
+                if not inner.isalpha() or not unicodedata.is_normalized("NFC", inner) or not unicodedata.is_normalized("NFC", body):
+                    return None
+                inner = inner.encode().decode("latin-1").translate(self.symbols)
+            ids = bodies[body] = [t.id for t in self.tokenize(inner)]
+        if len(body) == len(word):
+            return ids
+        signs = word[len(body):]
+        if (after := self.signs.get(signs)) is None:
+            after = [t.id for t in self.tokenize(signs)]
+            if len(self.signs) < KNOWN_SIGNS:
+                self.signs[signs] = after
+        return ids + after
 
     def _learn(self, words: list[bytes]) -> None:
-        found, rest = {}, []
+        found, rest, bodies = {}, [], {}
         for word in words:
-            ids = self._plain(word.decode())
+            ids = self._plain(word.decode(), bodies)
             if ids is None:
                 rest.append(word)
             else:
@@ -168,72 +181,95 @@ def _encoder(spec: str) -> LibraryEncoder:
     return _encoders[key]
 
 
-def _frequent(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys and their ranks, by key."""
+def _frequent(keys: np.ndarray, most: int) -> np.ndarray:
+    """The most frequent keys in order of rank, no two of them in one slot."""
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(counts >= LEAST_COUNT)
+    chosen = ordered[starts[often]]
+    slots = _slot(chosen)
     # Equal counts go in the order of a hash: in the order of ids, chains of pairs would shadow each other.
-    order = often[np.lexsort((_slot(ordered[starts[often]]), -counts[often]))][:most]
-    place = np.argsort(order)
-    rank = np.empty(len(order), np.int32)
-    rank[np.arange(len(order))] = place
-    return ordered[starts[order[place]]], rank
+    order = np.lexsort((slots, -counts[often]))[:most]
+    _, first = np.unique(slots[order], return_index=True)
+    return chosen[order[np.sort(first)]]
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    mixed = keys * keys.dtype.type(0x9E3779B1)
-    return (mixed >> keys.dtype.type(8 * keys.itemsize - 20)).astype(np.int32)
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1) >> np.uint32(12)).astype(np.int32)
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
+
 
+def compress(ids: np.ndarray, first: int, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, symbols): rule k makes symbol ``first + k`` of two earlier symbols.
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule k makes symbol ``first + k`` of two earlier symbols."""
-    wide = first + rounds * most > 1 << 16
-    shift, kind = (32, np.uint64) if wide else (16, np.uint32)
-    seq = ids.astype(kind)
+    Each round replaces the most frequent pairs, where pairs overlap the more frequent one, and of a run
+    of equal ids every second pair; rounds go on until no pair occurs LEAST_COUNT times.
+    """
+    # Inside, symbols are numbered without gaps, so that keys of pairs stay narrow for longer.
+    met = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
+    number = np.zeros(int(met[-1]) + 1 if len(met) else 0, np.uint32)
+    number[met] = np.arange(len(met))
+    seq = number[ids]
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    made, base = 0, len(met)
+    nothing = np.iinfo(np.int32).max
+    slots = np.zeros(1 << 20, np.int32)
+    while len(seq) >= LEAST_COUNT:
+        shift, kind = (16, np.uint32) if base + made <= 1 << 16 else (32, np.uint64)
+        seq = seq.astype(kind)
         keys = seq[:-1] << kind(shift) | seq[1:]
-        chosen, rank = _frequent(keys, most)
+        chosen = _frequent(keys, most)
         if not len(chosen):
             break
-        # A pair's slot holds its place among the chosen; of two in one slot the later is left for
-        # the next round.
-        slots = np.zeros(1 << 20, np.int32)
         slots[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
         at = slots[_slot(keys)]
-        score = np.where(chosen[at] == keys, rank[at], np.iinfo(np.int32).max)
-        take = score < np.iinfo(np.int32).max
-        take[1:] &= score[1:] < score[:-1]
-        take[:-1] &= score[:-1] <= score[1:]
-        places = np.flatnonzero(take)
-        by_rank = np.empty(len(chosen), chosen.dtype)
-        by_rank[rank] = chosen
-        rules.append(np.stack([by_rank >> kind(shift), by_rank & kind((1 << shift) - 1)], 1))
-        seq[places] = (first + made + score[places]).astype(kind)
+        at[at >= len(chosen)] = 0
+        score = np.where(chosen[at] == keys, at, nothing)
+        # Runs of one score are pairs of one id with itself; a run is taken where both its neighbours rank lower.
+        hits = np.flatnonzero(score < nothing)
+        value = score[hits]
+        joined = np.zeros(len(hits) + 1, bool)
+        joined[1:-1] = hits[1:] == hits[:-1] + 1
+        same = np.zeros(len(hits) + 1, bool)
+        same[1:-1] = joined[1:-1] & (value[1:] == value[:-1])
+        begin = np.flatnonzero(~same[:-1])
+        size = np.diff(np.append(begin, len(hits)))
+        end = begin + size
+        before, after = np.full(len(begin), nothing), np.full(len(begin), nothing)
+        before[1:] = np.where(joined[begin[1:]], value[begin[1:] - 1], nothing)
+        after[:-1] = np.where(joined[end[:-1]], value[begin[1:]], nothing)
+        wins = (value[begin] < before) & (value[begin] < after)
+        places = hits[begin[wins]]
+        if (long := wins & (size > 2)).any():
+            places = np.sort(np.concatenate([places, *(hits[b] + np.arange(2, n, 2) for b, n in zip(begin[long], size[long]))]))
+        taken = np.zeros(len(chosen), bool)
+        taken[score[places]] = True
+        number = (np.cumsum(taken) - 1)[score[places]]
+        pairs = chosen[taken]
+        rules.append(np.stack([pairs >> kind(shift), pairs & kind((1 << shift) - 1)], 1).astype(np.uint32))
+        seq = seq.astype(np.uint32)
+        seq[places] = base + made + number
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
         seq = seq[keep]
-        made += len(chosen)
-    table = np.concatenate(rules) if rules else np.empty((0, 2), kind)
-    return table, seq
+        made += len(pairs)
+    back = np.concatenate([met, first + np.arange(made)]).astype(np.uint32)
+    return back[np.concatenate(rules)] if rules else np.empty((0, 2), np.uint32), back[seq]
 
 
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, starts, lengths) of what every symbol below ``first + len(rules)`` expands to."""
-    parts: dict[int, np.ndarray] = {}
-    for k, (a, b) in enumerate(rules.tolist()):
-        left = parts[a - first] if a >= first else (a,)
-        right = parts[b - first] if b >= first else (b,)
-        parts[k] = np.array([*left, *right], np.uint32)
+    single = np.arange(first, dtype=np.uint32)
+    parts: list[np.ndarray] = []
+    for a, b in rules.tolist():
+        left = parts[a - first] if a >= first else single[a:a + 1]
+        right = parts[b - first] if b >= first else single[b:b + 1]
+        parts.append(np.concatenate((left, right)))
     lengths = np.ones(first + len(rules), np.int64)
-    lengths[first:] = [len(p) for p in parts.values()]
-    flat = np.concatenate([np.arange(first, dtype=np.uint32), *parts.values()])
-    return flat, np.cumsum(lengths) - lengths, lengths
+    lengths[first:] = [len(p) for p in parts]
+    return np.concatenate([single, *parts]), np.cumsum(lengths) - lengths, lengths
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:

@@ -203,6 +203,42 @@ def test_grammar_round_trip():
     assert len(symbols) < 15_000 / 2
 
 
+def plain_repair(ids, first):
+    """Re-Pair one pair at a time, the most frequent first, pairs of a run counted without overlap."""
+    seq, made = list(ids), 0
+    while True:
+        counts, last = Counter(), {}
+        for i, pair in enumerate(zip(seq, seq[1:])):
+            if last.get(pair) != i - 1:
+                counts[pair] += 1
+                last[pair] = i
+        if not counts or max(counts.values()) < token_files.LEAST_COUNT:
+            return seq, made
+        pair = max(counts, key=counts.get)
+        out, i = [], 0
+        while i < len(seq):
+            hit = tuple(seq[i:i + 2]) == pair
+            out.append(first + made if hit else seq[i])
+            i += 1 + hit
+        seq, made = out, made + 1
+
+
+@pytest.mark.parametrize("first", [49_408, 70_000])
+def test_grammar_against_plain_repair(first):
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.zipf(1.3, 3000) % 900, np.tile(rng.integers(0, 900, 40), 30), np.full(500, 7)]).astype(np.uint32)
+    rules, symbols = token_files.compress(text, first)
+    assert (token_files.expand(symbols, token_files.expansions(rules, first)) == text).all()
+    plain, _ = plain_repair(text.tolist(), first)
+    assert len(symbols) <= 1.1 * len(plain)
+    # No pair is left, none of the rules is unused, and one id repeated nearly vanishes.
+    pairs, counts = np.unique(np.stack([symbols[:-1], symbols[1:]], 1), axis=0, return_counts=True)
+    assert all(n < 2 * token_files.LEAST_COUNT for (a, b), n in zip(pairs.tolist(), counts) if a == b)
+    assert all(n < token_files.LEAST_COUNT for (a, b), n in zip(pairs.tolist(), counts) if a != b)
+    assert set(range(first, first + len(rules))) <= set(symbols.tolist()) | set(rules.ravel().tolist())
+    assert len(token_files.compress(np.full(100_000, 5, np.uint32), first)[1]) < 2 * token_files.LEAST_COUNT
+
+
 def test_shards_against_the_library(spark, docs, library, tmp_path):
     path = str(tmp_path / "shards")
     token_files.write_shards(docs.repartition(7), path, TOKENIZER, shard_tokens=5000)
