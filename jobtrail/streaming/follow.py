@@ -18,6 +18,8 @@ from jobtrail.operators.ordered import GROUP_LIMIT, sequence_rows
 from jobtrail.session import stage
 from jobtrail.sources.files import list_files
 from jobtrail.sources.logs import task_lines
+from jobtrail.streaming.store import KeyedStore
+from jobtrail.streaming.tail import tail
 
 
 def stream_app_ids(spark: SparkSession, path: str, strict: bool = False,
@@ -35,6 +37,55 @@ def stream_app_ids(spark: SparkSession, path: str, strict: bool = False,
     return extract_app_ids(task_lines(lines), strict).select("otid", "opid", "stream", "log_date", "appid")
 
 
+def stream_growing_app_ids(spark: SparkSession, path: str, strict: bool = False, split_bytes: int = 64 << 20) -> DataFrame:
+    """Submissions of task logs that are still written to, each once, as soon as its line is complete."""
+    lines = task_lines(tail(spark, path, split_bytes))
+    return extract_app_ids(lines, strict).select("otid", "opid", "stream", "log_date", "at", "appid")
+
+
+def stream_tasks(events: DataFrame, path: str, checkpoint: str, order: Sequence[str], compact_every: int = 10,
+                 keep_batches: int | None = None) -> StreamingQuery:
+    """Outcome of each task when it ends: how many applications it had, and the last one.
+
+    ``events`` are submissions (otid, stream, appid and the order columns) and ends of tasks (otid, stream
+    ``end`` and the column submission). Applications on stdout wait for the end of their task: they count if it is a
+    sync task without any on stderr. An ended task gives one row under ``<path>/ended/batch=<id>`` and
+    leaves the state, so state follows the open tasks; tasks that no batch touches for ``keep_batches`` leave it
+    without an outcome. A batch is aggregated before it meets the state, so a busy task is one row by then.
+    A submission that arrives after the end of its task is not counted.
+    """
+    order = list(order)
+
+    def found(stream: str) -> F.Column:
+        return (F.col("stream") == stream) & F.col("appid").isNotNull()
+
+    def settle(batch: DataFrame, batch_id: int) -> None:
+        store = KeyedStore(batch.sparkSession, f"{path}/open", "otid", compact_every=compact_every, keep_batches=keep_batches)
+        touched = batch.groupBy("otid").agg(
+            F.count_if(found("stderr")).alias("n_err"), F.max(F.when(found("stderr"), F.struct(*order, "appid"))).alias("last_err"),
+            F.count_if(found("stdout")).alias("n_out"), F.max(F.when(found("stdout"), F.struct(*order, "appid"))).alias("last_out"),
+            F.max(F.when(F.col("stream") == "end", F.col("submission"))).alias("submission"),
+            F.coalesce(F.bool_or(F.col("stream") == "end"), F.lit(False)).alias("_gone"))
+        known = store.read(batch_id)
+        if known is not None:
+            sums = {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in ("n_err", "n_out")}
+            last = {n: F.greatest(n, f"_{n}") for n in ("last_err", "last_out")}
+            old = known.select("otid", *[F.col(n).alias(f"_{n}") for n in (*sums, *last)])
+            touched = touched.join(old, "otid", "left").withColumns({**sums, **last}).select(*touched.columns)
+        touched = stage(touched, "touched")
+        fallback = (F.col("n_err") == 0) & (F.col("submission") == "sync")
+        touched.filter("_gone").select(
+            "otid", F.when(F.col("n_err") > 0, F.col("n_err")).when(fallback, F.col("n_out")).otherwise(0).alias("n_apps"),
+            F.when(F.col("n_err") > 0, F.col("last_err.appid")).when(fallback, F.col("last_out.appid")).alias("last_appid"),
+        ).write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
+        store.write(touched.drop("submission"), batch_id)
+
+    return (
+        events.writeStream.foreachBatch(settle)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[str],
                   snapshot_every: int = 50, group_limit: int = GROUP_LIMIT) -> StreamingQuery:
     """Number the applications of each task as their submissions arrive.
@@ -45,8 +96,7 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
     the heads shift it. A line delivered twice is dropped, and a retried batch rewrites its own
     directories from the heads before it, so neither renumbers. Every ``snapshot_every`` batches
     the heads are written whole, which bounds what a batch has to read. To know a line again, the
-    stream keeps the key of every line, for ever. The end of a task and the stdout fallback of the
-    batch ledger are not part of the stream.
+    stream keeps the key of every line, for ever. Ends of tasks and the stdout fallback: :func:`stream_tasks`.
     """
     order = list(order)
 
@@ -99,17 +149,17 @@ def close_intervals(submissions: DataFrame, start: str = "ts") -> DataFrame:
 
 
 def stream_status(updates: DataFrame, path: str, checkpoint: str, key: str, cols: Sequence[str],
-                  order: Sequence[str]) -> StreamingQuery:
-    """Keep the latest update of each key, one small delta per micro-batch under ``path``.
+                  order: Sequence[str], compact_every: int = 10) -> StreamingQuery:
+    """Keep the latest update of each key in a :class:`KeyedStore` under ``path``.
 
-    A delta directory is named after its batch and overwritten when the batch is retried, so a
-    retry changes nothing. The base table is not touched; ``current_status`` merges on read.
+    Each micro-batch writes a small delta, and every ``compact_every`` batches they are merged into a
+    snapshot. The base table is not touched; ``current_status`` merges on read.
     """
     cols, order = list(cols), list(order)
 
     def write_delta(batch: DataFrame, batch_id: int) -> None:
         latest = batch.groupBy(key).agg(F.max_by(F.struct(*cols, *order), F.struct(*order)).alias("_u"))
-        latest.select(key, "_u.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        KeyedStore(batch.sparkSession, path, key, order, compact_every).write(latest.select(key, "_u.*"), batch_id)
 
     return (
         updates.writeStream.foreachBatch(write_delta)
@@ -118,6 +168,6 @@ def stream_status(updates: DataFrame, path: str, checkpoint: str, key: str, cols
 
 
 def current_status(table: DataFrame, path: str, key: str, cols: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The base table with all deltas applied; equal order values fall to the later batch."""
-    deltas = table.sparkSession.read.parquet(path)
-    return apply_updates(table, deltas, key, cols, [*order, "batch"])
+    """The base table with all updates applied; equal order values fall to the later batch."""
+    latest = KeyedStore(table.sparkSession, path, key, order).read()
+    return table if latest is None else apply_updates(table, latest, key, cols, order)
