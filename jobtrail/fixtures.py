@@ -93,6 +93,18 @@ where lower(udfname) like 'small%'""",
     "funcs_v": """
 select distinct lower(udfname) as func_name from {udf_request_v}
 where lower(udfname) like '%ring%'""",
+    "udf_registry_v": """
+select replace(p_name, ' ', '_') || '_' || cast(p_partkey % 300 as string) as udfname, min(p_type) as descriptor,
+       min(p_brand) as author
+from {part} where p_name like 'small%' or p_name like '%ring' group by 1""",
+    "udf_event_v": """
+select p_partkey as req_id,
+       case when p_partkey % 3 = 0 then 'busy_fn' else replace(p_name, ' ', '_') || '_' || cast(p_partkey % 300 as string) end as udfname,
+       case p_partkey % 7 when 0 then 'delete' when 1 then 'update' when 2 then 'update' when 3 then 'delete' when 4 then 'update'
+            else 'register' end as kind,
+       p_type || ' ' || cast(p_partkey as string) as descriptor, p_brand || '/' || cast(p_size as string) as author,
+       case when p_size = 46 then 'the descriptor is too long' else '' end as error
+from {part}""",
     "role_v": """
 select s_suppkey as pos, s_name as name,
        case when s_suppkey % 10 = 0 then 'RESOURCEMANAGER' else 'NODEMANAGER' end as type,

@@ -320,6 +320,29 @@ def h5(t):
                           F.coalesce("appid", F.lit("")).alias("appid"), "message")
 
 
+# Instances by user, so that one instance and operator have several tasks; some pairs have none.
+BY_INSTANCE = """
+  latest as (select username as jobinstanceid, opid, arg_max(otid, {'t': submit_ts, 'o': otid}) as otid
+             from optask_v group by username, opid),
+  pairs as (select jobinstanceid, opid, otid from latest
+            union all select 'u' || cast(c_custkey as varchar), 'XX.none', null from customer),
+  asked as (select otid from pairs where otid is not null)"""
+
+
+@query("h5_kill_by_instance", """
+select p.jobinstanceid, p.opid, coalesce(p.otid, '') as otid, coalesce(x.action, 'NOT_EXIST') as action,
+       coalesce(x.sequence, 0) as sequence, coalesce(x.appid, '') as appid,
+       case when p.otid is null then 'the opTask(' || p.opid || ') of jobinstanceid( ' || p.jobinstanceid || ')  is not submitted to the yarn'
+            when x.action = 'ALREADY_FINISHED' then 'the optask ''' || p.otid || ''' is FINISHED' else '' end as message
+from pairs p left join plan x on x.otid = p.otid""", "optask_v app_v", f"{NUMBERED}, {BY_INSTANCE}, {PLAN}")
+def h5_by_instance(t):
+    tasks = t.optask_v.withColumn("jobinstanceid", F.col("username"))
+    unknown = t.customer.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("jobinstanceid"), F.lit("XX.none").alias("opid"))
+    steps = L.kill_by_instance(tasks.select("jobinstanceid", "opid").unionByName(unknown), tasks, numbered(t))
+    return steps.select("jobinstanceid", "opid", F.coalesce("otid", F.lit("")).alias("otid"), "action",
+                        F.coalesce("sequence", F.lit(0)).alias("sequence"), F.coalesce("appid", F.lit("")).alias("appid"), "message")
+
+
 @query("d7_kill_outcome", """
 , fails as (select otid, min(sequence) as m from numbered where status = 'FAILED' group by otid)
 select n.otid, f.m is null as all_killed, coalesce(max(case when n.sequence = f.m then n.appid end), '') as first_failure,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobtrail import constants as C
 from jobtrail.operators import keys as K
 from jobtrail.operators import packages as PK
+from jobtrail.operators import registry as G
 from jobtrail.plans import registration as R
 from jobtrail.plans import validation as V
 from jobtrail.plans.registry import Tables, query
@@ -386,3 +387,58 @@ where lower(d.udfname) in (select udfname from udf_v) and d.jarname is not null"
 def m1_details(t):
     details = t.udf_doc_v.withColumn("udfname", F.lower("udfname")).filter(F.col("jarname").isNotNull())
     return K.fetch(details, t.udf_v, "udfname", ["req_id", "udfname", "jarname"])
+
+
+# What a name is before an event: the last registration or deletion before it decides, else the registry.
+EVENTS = """
+  was as (
+    select e.*, coalesce(last_value(case when error <> '' then null when kind = 'register' then true when kind = 'delete' then false end
+                                    ignore nulls) over (partition by e.udfname order by req_id rows between unbounded preceding and 1 preceding),
+                         r.udfname is not null) as present
+    from udf_event_v e left join udf_registry_v r on r.udfname = e.udfname where {kinds}),
+  told as (
+    select *, case when error <> '' then error when kind = 'register' and present
+                     then 'thd udfname ''' || udfname || ''' is exist, please use a different name.'
+                   when kind = 'update' and not present then 'thd udfname ''' || udfname || ''' is not exist'
+                   when kind = 'delete' and not present then 'thd udfname ''' || udfname || ''' is not exist.' else '' end as reason
+    from was),
+  last as (
+    select udfname, arg_max(kind <> 'delete', req_id) filter (where kind <> 'update') as present,
+           arg_max(descriptor, req_id) filter (where kind <> 'delete') as descriptor,
+           arg_max(author, req_id) filter (where kind = 'register') as author
+    from told where reason = '' group by udfname)"""
+REGISTRY = """
+select coalesce(l.udfname, r.udfname) as udfname, coalesce(l.descriptor, r.descriptor) as descriptor, coalesce(l.author, r.author) as author
+from udf_registry_v r full join last l on l.udfname = r.udfname where coalesce(l.present, true)"""
+EVENT_VIEWS = "udf_event_v udf_registry_v"
+ALL_KINDS, UPDATES, DELETES = (EVENTS.format(kinds=k) for k in ("true", "kind = 'update'", "kind = 'delete'"))
+
+
+def judged_events(t: Tables, *kinds: str):
+    events = t.udf_event_v.filter(F.col("kind").isin(*kinds)) if kinds else t.udf_event_v
+    messages = {G.REGISTER: C.UDF_EXISTS, G.UPDATE: C.UDF_UNKNOWN_UPDATE, G.DELETE: C.UDF_UNKNOWN_DELETE}
+    return G.judge_events(events, t.udf_registry_v, "udfname", "req_id", messages)
+
+
+def registry_of(t: Tables, *kinds: str):
+    return G.registry_after(judged_events(t, *kinds), t.udf_registry_v, "udfname", ["descriptor"], ["author"])
+
+
+@query("m1_mixed_batch", "select req_id, udfname, kind, reason from told", EVENT_VIEWS, ALL_KINDS)
+def m1_mixed(t):
+    return judged_events(t).select("req_id", "udfname", "kind", "reason")
+
+
+@query("m1_mixed_registry", REGISTRY, EVENT_VIEWS, ALL_KINDS)
+def m1_mixed_registry(t):
+    return registry_of(t)
+
+
+@query("m1_updated_registry", REGISTRY, EVENT_VIEWS, UPDATES)
+def m1_updated(t):
+    return registry_of(t, G.UPDATE)
+
+
+@query("m1_deleted_registry", REGISTRY, EVENT_VIEWS, DELETES)
+def m1_deleted(t):
+    return registry_of(t, G.DELETE)
