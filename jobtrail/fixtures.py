@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = ("region nation customer supplier part orders lineitem events documents embeddings pages "
         "benchmark labels conversations").split()
@@ -217,3 +220,26 @@ def ctes(*names: str) -> str:
     for name in names:
         add(name)
     return "with " + ",\n".join(f"{n} as ({body})" for n, body in done.items())
+
+
+def append_to_files(pieces: DataFrame, root: str) -> None:
+    """Append the bytes ``data`` to ``<root>/<file>``, in the order of ``at``; each file is one task's."""
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            name = out = None
+            for file, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if file != name:
+                    if out:
+                        out.close()
+                    name = file
+                    system.create_dir(f"{base}/{file}".rpartition("/")[0])
+                    out = system.open_append_stream(f"{base}/{file}")
+                out.write(data)
+            if out:
+                out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = pieces.repartition("file").sortWithinPartitions("file", "at").select("file", F.col("data").cast("binary").alias("data"))
+    rows.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()

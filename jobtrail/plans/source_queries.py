@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobtrail.fixtures import append_to_files
 from jobtrail.functions.parsing import stamp_to_timestamp, timestamp_to_stamp
+from jobtrail.operators import storage
 from jobtrail.operators.ledger import build_ledger, task_logs
 from jobtrail.plans.ledger_queries import NUMBERED, WANTED, numbered, wanted
 from jobtrail.plans.registry import Tables, query
@@ -154,3 +156,56 @@ def a10(t):
 @query("a11_list_files")
 def a11(t):
     return files.list_files(t.spark, t.sf_dir, "*.parquet").withColumn("mtime", F.col("mtime").cast("string"))
+
+
+def written_files(t: Tables) -> str:
+    """Root of files of all events by type and day, with an empty one for each day of the type view."""
+    root = scratch_path(t.spark, "walked")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    name = F.concat(F.lit("group/"), "event_type", F.lit("/"), day, F.lit("/"), (F.col("user_id") % 5).cast("string"), F.lit(".log"))
+    rows = t.events.select(name.alias("file"), F.col("event_id").alias("at"),
+                           F.concat(F.col("event_id").cast("string"), F.lit("\n")).alias("data"))
+    empty = t.events.filter("event_type = 'view'").select(
+        F.concat(F.lit("group/view/"), day, F.lit("/empty.log")).alias("file"), F.lit(0).cast("bigint").alias("at"),
+        F.lit("").alias("data")).distinct()
+    append_to_files(rows.unionByName(empty), root)
+    return root
+
+
+WRITTEN = """
+written as (
+  select 'group/' || event_type || '/' || strftime(ts, '%Y-%m-%d') || '/' || cast(user_id % 5 as varchar) || '.log' as path,
+         length(cast(event_id as varchar)) + 1 as n from events
+  union all
+  select distinct 'group/view/' || strftime(ts, '%Y-%m-%d') || '/empty.log', 0 from events where event_type = 'view'),
+files as (select path, cast(sum(n) as bigint) as size_bytes from written group by path)"""
+
+
+@query("a11_walk_files", """
+select path, false as is_dir, size_bytes from files
+union all select distinct 'group', true, cast(0 as bigint) from files
+union all select distinct regexp_extract(path, '^group/[^/]+'), true, cast(0 as bigint) from files
+union all select distinct regexp_extract(path, '^group/[^/]+/[^/]+'), true, cast(0 as bigint) from files""", extra=WRITTEN)
+def a11_walk(t):
+    """All files and directories, empty files included, with the sizes that were written."""
+    found = files.walk_files(t.spark, written_files(t))
+    return found.select("path", "is_dir", F.when(F.col("is_dir"), 0).otherwise(F.col("size_bytes")).cast("bigint").alias("size_bytes"))
+
+
+@query("d4_storage_of_listing", """
+select regexp_extract(path, '^group/([^/]+)', 1) as group_name, cast(sum(size_bytes) as bigint) as used_bytes, count(*) as n_files,
+       coalesce(sum(size_bytes) > 20000, false) as over_quota
+from files group by 1""", extra=WRITTEN)
+def d4_listing(t):
+    """Use of each group from a listing; empty files count as files."""
+    listed = files.walk_files(t.spark, written_files(t)).filter("not is_dir")
+    grouped = storage.with_group(listed.withColumn("path", F.concat(F.lit("/"), "path")), "/group/")
+    quotas = grouped.select("group_name", F.lit(20000).cast("bigint").alias("quota_bytes")).distinct()
+    return storage.storage_usage(grouped, quotas).drop("quota_bytes")
+
+
+@query("k1_expired_of_listing", "select path, size_bytes from files where path < 'h'", extra=WRITTEN)
+def k1_listing(t):
+    """Retention sees empty files too: all files written just now are older than a day in the far future."""
+    listed = files.walk_files(t.spark, written_files(t)).filter("not is_dir")
+    return storage.split_expired(listed, "2999-01-01 00:00:00")[0].select("path", "size_bytes")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtrail import constants as C
+from jobtrail.fixtures import append_to_files
 from jobtrail.functions.parsing import extract_app_ids
 from jobtrail.operators.ledger import latest_app_status
 from jobtrail.plans.ledger_queries import APP_ORDER, FOUND, LEDGER, OUTCOME, text
@@ -52,29 +51,6 @@ def l1(t: Tables):
     return t.spark.read.parquet(out).select("otid", "stream", "appid")
 
 
-def append_to_files(pieces: DataFrame, root: str) -> None:
-    """Append the bytes ``data`` to ``<root>/<file>``, in the order of ``at``; each file is one task's."""
-
-    def write(batches):
-        system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            name = out = None
-            for file, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if file != name:
-                    if out:
-                        out.close()
-                    name = file
-                    system.create_dir(f"{base}/{file}".rpartition("/")[0])
-                    out = system.open_append_stream(f"{base}/{file}")
-                out.write(data)
-            if out:
-                out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
-
-    rows = pieces.repartition("file").sortWithinPartitions("file", "at").select("file", F.col("data").cast("binary").alias("data"))
-    rows.mapInArrow(write, "n bigint").write.format("noop").mode("overwrite").save()
-
-
 def growing_logs(t: Tables, line: Column) -> list[DataFrame]:
     """Lines of all events as pieces of files that grow in three steps by time: (file, at, data).
 
