@@ -6,12 +6,12 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobtrail.functions import registered, statistics, text
+from jobtrail.functions import profiles, registered, statistics, text
 from jobtrail.functions.matching import matchpath
 from jobtrail.functions.parsing import parse_quota
 from jobtrail.functions.scalars import field, in_file, index, index_map, parse_url_tuple
 from jobtrail.plans.registry import Tables, query
-from jobtrail.session import scratch_path
+from jobtrail.session import scratch_path, stage
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -476,3 +476,38 @@ select event_id, cast(floor(value) as bigint) * 1073741824 as bytes from events"
 def m2_quota(t):
     quota = F.concat(F.floor("value").cast("string"), F.lit("GB"))
     return t.events.select("event_id", parse_quota(quota).alias("bytes"))
+
+
+PROFILE = " union all ".join(
+    f"select '{c}' as \"column\", '{kind}' as type, count({c}) as count, count(*) - count({c}) as nulls, cast(min({c}) as varchar) as min, "
+    f"cast(max({c}) as varchar) as max, {avg} as avg, count(distinct {c}) as ndv, true as ndv_close from lineitem"
+    for c, kind, avg in (("l_orderkey", "bigint", "round(avg(l_orderkey), 4)"), ("l_quantity", "double", "round(avg(l_quantity), 4)"),
+                         ("l_returnflag", "string", "null::double"))
+) + """ union all select 'l_pair', 'struct<a:bigint,b:bigint>', count(*), 0, null, null, null, null, null from lineitem"""
+
+
+def profile_rows(t: Tables, parts):
+    """A merged profile beside the exact numbers of values, and whether the estimates are near them."""
+    table = profiled(t)
+    merged = profiles.merge_profiles(parts, table.schema).withColumnRenamed("ndv", "estimate")
+    rows = merged.join(profiles.exact_ndv(table), "column", "left")
+    close = F.abs(F.col("estimate") - F.col("ndv")) <= 0.05 * F.col("ndv")
+    return rows.withColumn("ndv_close", close).withColumn("avg", F.round("avg", 4)).drop("estimate")
+
+
+def profiled(t: Tables):
+    pair = F.struct(F.col("l_orderkey").cast("bigint").alias("a"), F.col("l_linenumber").cast("bigint").alias("b"))
+    return t.lineitem.select("l_orderkey", "l_quantity", "l_returnflag", pair.alias("l_pair"))
+
+
+@query("f14_merged_profile", PROFILE)
+def f14_merged(t):
+    """Two parts are profiled first; the third comes later, alone, and the profiles are merged."""
+    table = profiled(t)
+    stored = stage(profiles.profile_parts(table.filter("l_returnflag <> 'R'"), ["l_returnflag"]).drop("l_returnflag"), "profile")
+    return profile_rows(t, stored.unionByName(profiles.profile_parts(table.filter("l_returnflag = 'R'"))))
+
+
+@query("f14_whole_profile", PROFILE)
+def f14_whole(t):
+    return profile_rows(t, profiles.profile_parts(profiled(t)))
