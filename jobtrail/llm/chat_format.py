@@ -170,11 +170,14 @@ def _numbered(rows: DataFrame, positions: list[str]) -> DataFrame:
     return join_keys(ranged, starts, ["conv", "_piece"]).select("conv", *positions, "line", number.alias("number"))
 
 
-def _lines_of(table: pa.Table) -> tuple[pa.Table, list[str], list[int]]:
+def _lines_of(table: pa.Table, block: int) -> tuple[pa.Table, list[str], list[int]]:
+    """The lines of a block and what is observed in them; the last line of the block before tells about the first."""
     table = table.sort_by("number")
     lines = [x or "" for x in table.column("line").to_pylist()]
     blank = [False, *(not x.strip() for x in lines[:-1])]
-    return table, lines, [observe(x, b) for x, b in zip(lines, blank)]
+    observed = [observe(x, b) for x, b in zip(lines, blank)]
+    skip = int(table.column("number")[0].as_py() // block < table.column("idx")[0].as_py())
+    return table.slice(skip), lines[skip:], observed[skip:]
 
 
 def parse(lines: DataFrame, conv_id: str = "conv_id", position: str | Sequence[str] = "pos", line: str = "line",
@@ -186,10 +189,15 @@ def parse(lines: DataFrame, conv_id: str = "conv_id", position: str | Sequence[s
     rows = columns(lines, conv=conv_id, line=line, **dict(zip(at, named))).select(
         "conv", *[F.col(p).cast("long").alias(p) for p in at], "line")
     kind = rows.schema["conv"].dataType.simpleString()
-    rows = stage(_numbered(rows, at).withColumn("idx", F.floor(F.col("number") / block).cast("long")), "numbered")
+    # The last line of a block also goes to the next one, where the first line must know whether it is blank.
+    own = F.floor(F.col("number") / block).cast("long")
+    both = F.when(F.pmod("number", F.lit(block)) == block - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = stage(_numbered(rows, at).withColumn("idx", F.explode(both)), "numbered")
 
     def summed_up(table: pa.Table) -> pa.Table:
-        _, _, observed = _lines_of(table)
+        _, _, observed = _lines_of(table, block)
+        if not observed:  # the conversation ended with the block before
+            return _matrix_row(table, 0, np.zeros(0)).slice(0, 0)
         return _matrix_row(table, table.column("idx")[0].as_py(), model.matrix(observed))
 
     scheme = f"conv {kind}, idx long, matrix array<double>"
@@ -225,7 +233,7 @@ def parse(lines: DataFrame, conv_id: str = "conv_id", position: str | Sequence[s
         "conv", "idx", *at, "number", "line", "begin", "end")
 
     def labelled(table: pa.Table) -> pa.Table:
-        table, texts, observed = _lines_of(table)
+        table, texts, observed = _lines_of(table, block)
         states = model.path(observed, table.column("begin")[0].as_py(), table.column("end")[0].as_py())
         opens = [s % 2 == 0 for s in states]
         roles = [ROLES[s // 2] for s in states]

@@ -569,23 +569,33 @@ def score_of(model, observed, states):
     return total
 
 
-@pytest.mark.parametrize("block, fan", [(256, 256), (5, 256), (3, 4)])
-def test_chat_blocks_find_the_whole_path(spark, block, fan):
+def blank_sensitive_model():
+    """Turns open after blank lines, so a lost blank line changes the path."""
+    plain = chat_format.default_model()
+    seen = np.exp(plain.seen)
+    seen[0::2, 1::2] *= 500
+    return chat_format.Model(np.exp(plain.steps), seen)
+
+
+@pytest.mark.parametrize("make", [chat_format.default_model, blank_sensitive_model])
+@pytest.mark.parametrize("block, fan", [(256, 256), (5, 256), (3, 4), (1, 3)])
+def test_chat_blocks_find_the_whole_path(spark, block, fan, make):
     rng = random.Random(10)
     talks = {c: transcript(rng, n) for c, n in ((1, 2), (2, 30), (3, 90), (4, 1))}
     rows = [(c, p, x) for c, (lines, _) in talks.items() for p, x in enumerate(lines)]
     frame = spark.createDataFrame(rows, "conv_id long, pos long, line string").withColumn("idx", F.lit(1))
-    found = {(r["conv_id"], r["pos"]): r for r in chat_format.parse(frame, block=block, fan=fan).collect()}
-    model = chat_format.default_model()
+    model = make()
+    parsed = chat_format.parse(frame, model=model, block=block, fan=fan).collect()
+    found = {(r["conv_id"], r["pos"]): r for r in parsed}
+    assert len(found) == len(parsed) == len(rows)
     for c, (lines, truth) in talks.items():
-        observed = [chat_format.observe(x, i > 0 and not lines[i - 1].strip()) if i % block else chat_format.observe(x, False)
-                    for i, x in enumerate(lines)]
+        observed = [chat_format.observe(x, i > 0 and not lines[i - 1].strip()) for i, x in enumerate(lines)]
         best, _ = one_viterbi(model, observed)
         got = [found[c, p] for p in range(len(lines))]
         states = [2 * chat_format.ROLES.index(r["role"]) + (not r["opens"]) for r in got]
         assert score_of(model, observed, states) == pytest.approx(best)
     every = [(found[c, p]["role"], t) for c, (_, truth) in talks.items() for p, t in enumerate(truth)]
-    assert sum(a == b for a, b in every) > 0.75 * len(every)
+    assert make is blank_sensitive_model or sum(a == b for a, b in every) > 0.75 * len(every)
 
 
 def test_chat_query_counts_repeated_turns_once(spark, tmp_path):
