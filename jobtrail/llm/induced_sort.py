@@ -19,8 +19,9 @@ the least common length between the two suffixes that put them there. That minim
 table of range minima within a batch, and from one number a symbol between batches. Lengths stop
 counting at ``CAP``. Star suffixes start with lengths compared in the text.
 
-Memory: one bucket, the blocks of a scan, and up to ``limit`` entries of each queue and array; what is
-longer is in files. The files are spills of one task, gone when it ends or fails.
+Memory: one bucket, the blocks of a scan, up to ``limit`` entries of each queue and array (what is longer is
+in files), and one array that is never in a file: the order of the star suffixes, 8 bytes each and a byte for
+their lengths, about a third of the places. The files are spills of one task, gone when it ends or fails.
 """
 
 from __future__ import annotations
