@@ -2,20 +2,15 @@
 
 The text source splits large files, so a line number is not available from the reader. The
 offset of the split and the position inside it are: ordering by (file, block, row) restores the
-file. Everything that depends on the previous line is computed inside a split first, whose
-size the reader bounds, and then carried from split to split over one small row per split.
+file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobtrail import constants as C
-from jobtrail.session import stage
-
-_STAMP = C.STAMP_PATTERN
+from jobtrail.sources.containers import read_container_logs  # noqa: F401
 
 
 def read_lines(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -55,152 +50,6 @@ def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
     return task_lines(read_lines(spark, path))
 
 
-def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of aggregated container logs with the section each belongs to.
-
-    Columns: file, node, container, section (number within the file), log_type, log_length,
-    line_no (within the section) and line. One row per line instead of one per section, so no
-    section has to fit in a row and no file in a task. A section holds ``log_length`` bytes after its
-    header, whatever they look like; what looks like a header inside them is text. A section
-    without any text is one row with ``line_no`` 0 and a NULL line.
-
-    The files are read once: lines are staged with their place in the split they came from, so
-    later steps do not depend on how a second read would cut the files.
-    """
-    lines = stage(_located(read_lines(spark, path, lineSep="\n")), "log-lines")
-    splits = stage(_shifts(lines), "log-splits")
-    headers = stage(
-        lines.filter("_stamped or _container is not null").join(splits, ["file", "block"]).select(
-            "file", "block", "_marks", "_marker", "_container", "_body", "_bytes",
-            (F.col("_at") + F.col("_byte_shift")).alias("_pos"), (F.col("row") + F.col("_line_shift")).alias("_line")),
-        "log-headers")
-    places = stage(_in_force(headers, splits), "log-sections")
-
-    position = F.col("_at") + F.col("_byte_shift")
-    room = F.col("s._to") - position
-    text = F.when(F.col("_bytes") - 1 <= room, F.col("line")).otherwise(
-        F.substring(F.col("line").cast("binary"), F.lit(1), room.cast("int")).cast("string"))
-    name = ["file", "s.node", "s.container", "s.section", "s.log_type", "s.log_length"]
-    inside = lines.join(places, ["file", "block", "_marks"]).filter((position >= F.col("s._from")) & (room > 0)).select(
-        *name, (F.col("row") + F.col("_line_shift") - F.col("s._line") - 4).alias("line_no"), text.alias("line"))
-    bare = places.filter("_opens and (s._from = s._to or s._from >= _file_bytes)").select(
-        *name, F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"))
-    return inside.unionByName(bare)
-
-
-def _located(lines: DataFrame) -> DataFrame:
-    """Lines with their size, the bytes and the markers before them in their read task.
-
-    A read task holds whole splits one after the other, and ``row`` tells the task.
-    """
-    here = W.partitionBy(F.shiftright("row", 33)).orderBy("row")
-    rows = _header_columns(lines).withColumn("_bytes", F.octet_length("line").cast("bigint") + 1)
-    return rows.select(
-        "file", "block", "row", "line", "_bytes", "_stamped", "_marker", "_container",
-        F.when(F.col("_stamped"), F.col("_body")).alias("_body"),
-        F.coalesce(F.sum("_bytes").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_at"),
-        F.sum(F.col("_marker").cast("int")).over(here.rowsBetween(W.unboundedPreceding, 0)).alias("_marks"),
-    )
-
-
-def _shifts(lines: DataFrame) -> DataFrame:
-    """Per split: what turns places in the read task into places in the file."""
-    splits = lines.groupBy("file", "block").agg(
-        F.count("*").alias("_lines"), F.sum("_bytes").alias("_size"), F.min("row").alias("_row0"),
-        F.min("_at").alias("_at0"), F.min(F.col("_marks") - F.col("_marker").cast("int")).alias("_marks0"))
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    return splits.select(
-        "file", "block", "_marks0",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"),
-        (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_at0")).alias("_byte_shift"),
-        (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_row0")).alias("_line_shift"),
-        F.sum("_size").over(W.partitionBy("file")).alias("_file_bytes"),
-    )
-
-
-def _in_force(headers: DataFrame, splits: DataFrame) -> DataFrame:
-    """The section that lines follow, for every number of markers read before them in their split."""
-    markers = _settled(_markers(headers))
-    nothing = F.lit(None)
-    events = (
-        markers.select("file", "_pos", "block", "_marks", nothing.alias("_container"),
-                       F.when(F.col("_real"), F.struct("_line", "_from", "_to", "log_type", "log_length")).alias("_s"))
-        .unionByName(headers.filter("_container is not null").select("file", "_pos", "_container"), allowMissingColumns=True)
-        .unionByName(splits.select("file", "block", F.col("_start").alias("_pos"), F.col("_marks0").alias("_marks")),
-                     allowMissingColumns=True)
-    )
-    order = W.partitionBy("file").orderBy("_pos")
-    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
-    # A container line inside a section is text.
-    outside = F.coalesce(F.col("_pos") >= F.max("_s._to").over(before), F.lit(True))
-    events = events.withColumn("_container", F.when(outside, F.col("_container"))).withColumns({
-        "_in": F.last("_container", ignorenulls=True).over(upto),
-        "section": F.count("_s").over(upto).cast("int"),
-    })
-    section = F.struct("section", "_in.node", "_in.container", "_s.*")
-    events = events.withColumn("_opens", F.col("_s").isNotNull()).withColumn(
-        "s", F.last(F.when(F.col("_s").isNotNull(), section), ignorenulls=True).over(upto))
-    return events.filter("_marks is not null and s is not null").join(
-        splits.select("file", "block", "_byte_shift", "_line_shift", "_file_bytes"), ["file", "block"]).select(
-        "file", "block", "_marks", "_opens", "s", "_byte_shift", "_line_shift", "_file_bytes")
-
-
-def _markers(headers: DataFrame) -> DataFrame:
-    """Marker lines; those with a whole header after them have the bounds of their text."""
-    order = W.partitionBy("file").orderBy("_pos")
-
-    def body(i: int) -> Column:
-        return F.lead("_body", i).over(order)
-
-    rows = headers.withColumns({
-        "log_type": body(1), "log_length": body(3).try_cast("bigint"),
-        "_from": F.lead(F.col("_pos") + F.col("_bytes"), 4).over(order),
-        # Header lines are all stamped, so between them no other line is missing from here.
-        "_whole": (F.lead("_line", 4).over(order) == F.col("_line") + 4)
-        & (F.trim(body(2)) == "LogLength:") & (F.trim(body(4)) == "Log Contents:"),
-    }).filter("_marker")
-    whole = F.coalesce(F.col("_whole") & (F.col("log_length") >= 0), F.lit(False))
-    return rows.select(
-        "file", "block", "_marks", "_pos", "_line", "_from", "log_type", "log_length",
-        F.when(whole, F.col("_from") + F.col("log_length")).alias("_to"),
-        F.when(~whole, F.lit(False)).alias("_real"),
-    )
-
-
-def _settled(markers: DataFrame) -> DataFrame:
-    """Decide which markers open a section: those that no section before them holds in its text.
-
-    What nothing open reaches is a section, what a section reaches is not; every round settles
-    at least the first open marker of each file, and one or two rounds settle ordinary logs.
-    """
-    before = W.partitionBy("file").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
-    while True:
-        sure = F.max(F.when(F.col("_real"), F.col("_to"))).over(before)
-        possible = F.max(F.when(F.coalesce("_real", F.lit(True)), F.col("_to"))).over(before)
-        free = F.coalesce(F.col("_pos") >= possible, F.lit(True))
-        markers = stage(markers.withColumns({"_sure": sure, "_free": free}).withColumn("_real", F.coalesce(
-            "_real", F.when(F.col("_free"), F.lit(True)).when(F.col("_pos") < F.col("_sure"), F.lit(False))
-        )).drop("_sure", "_free"), "log-markers")
-        if markers.filter("_real is null").isEmpty():
-            return markers
-
-
-def _header_columns(lines: DataFrame) -> DataFrame:
-    # Most lines are plain text: a cheap test of one character or a fixed prefix comes first, and
-    # only lines that pass it meet a pattern.
-    line, header = F.col("line"), r"^Container: (\S+) on (\S+)$"
-    stamped = (F.substring("line", 24, 1) == "\t") & line.rlike(rf"^{_STAMP}\t")
-    body = F.when(stamped, F.expr("substring(line, 25)")).otherwise(line)
-    container = F.struct(
-        F.regexp_extract("line", header, 1).alias("container"), F.regexp_extract("line", header, 2).alias("node"))
-    return lines.withColumns({
-        "_body": body,
-        "_stamped": stamped,
-        "_marker": stamped & line.contains("\tLogType:") & (F.trim(body) == "LogType:"),
-        "_container": F.when(line.startswith("Container: ") & line.rlike(header), container),
-    })
-
-
 def application_of_container(container: Column) -> Column:
     """Application id of a container id (``container_[e<epoch>_]<stamp>_<number>_<attempt>_<no>``)."""
     pattern = r"^container_(?:e[0-9]+_)?([0-9]{13}_[0-9]+)_[0-9]+_[0-9]+$"

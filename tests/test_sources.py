@@ -58,6 +58,27 @@ def test_container_logs_across_splits(spark, rows, tmp_path):
             spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_container_logs_by_composed_ranges(spark, rows, tmp_path, fan):
+    """Many ranges in one file, sections over several of them and over groups of them, false headers at any place."""
+    rnd = random.Random(fan)
+    out, expected, node, key = [f"{STAMP}\n\nContainer: c_0 on n_0\n{STAMP}====\n"], [], "n_0", "c_0"
+    for number in range(1, 40):
+        false = section("inner", "y" * rnd.randrange(900)) + f"Container: c_x on n_x\n{STAMP}LogType: \n"
+        lines = [rnd.choice(["a", false[:rnd.randrange(1, len(false))], false, "w" * rnd.randrange(400)]) for _ in range(rnd.randrange(9))]
+        text = "\n".join(lines)
+        if rnd.random() < 0.4:
+            node, key = f"n_{number}", f"c_{number}"
+            out.append(f"Container: {key} on {node}\n")
+        out.append(section("stdout", text))
+        body = text.split("\n") if text else []
+        body = body[:-1] if body and not body[-1] else body
+        expected += [(node, key, number, len(text), i + 1, line) for i, line in enumerate(body)] or [(node, key, number, 0, 0, None)]
+    (tmp_path / "node.log").write_text("".join(out))
+    got = logs.read_container_logs(spark, str(tmp_path), range_bytes=211, fan=fan)
+    assert rows(got, "node", "container", "section", "log_length", "line_no", "line") == sorted(expected, key=repr)
+
+
 def test_container_logs_ignore_a_changed_split_size(spark, rows, tmp_path):
     text, expected = container_log(9, 40)
     (tmp_path / "node_9.log").write_text(text)
