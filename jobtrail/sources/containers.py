@@ -18,9 +18,9 @@ The text never moves between tasks and is not staged; no step gathers a file.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +84,7 @@ def read_container_logs(spark: SparkSession, path: str, range_bytes: int | None
     total, largest = found.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
     cores = spark.sparkContext.defaultParallelism
     size = range_bytes or min(_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")),
-                              max(LEAST_RANGE, -(-total // (2 * cores))))
+                              max(LEAST_RANGE, -(-total // (4 * cores))))
     tasks = max(4 * cores, -(-total // max(size, LEAST_RANGE)))
 
     packed = F.lower("file").rlike("(" + "|".join(re.escape(e) for e in COMPRESSED) + ")$")
@@ -181,7 +181,7 @@ def _step(state: dict, table: dict) -> dict:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines and candidates of every range."""
-    for row in _rows(batches):
+    for row, _ in _rows(batches):
         marks, lines, size = [], 0, row["begin"]
         for pos, data, n in _blocks(row["file"], row["begin"], row["end"]):
             seen, line = 0, lines
@@ -205,80 +205,115 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the last candidate back: what follows when a candidate is a section, then what follows an entry."""
-    for row in _rows(batches):
-        heads = [m for m in row["marks"] if m["section"]]
-        homes = [m for m in row["marks"] if m["home"]]
-        head_at, home_at = [m["pos"] for m in heads], [m["pos"] for m in homes]
-
-        def follow(place: int) -> dict:
-            """Effect of what comes from ``place`` on, where nothing is open."""
-            i = bisect_left(head_at, place)
-            j = bisect_left(home_at, head_at[i] if i < len(heads) else ENDLESS)
-            near = homes[j - 1]["home"] if j and home_at[j - 1] >= place else None
-            if i == len(heads):
-                return {"exit": place, "sections": 0, "home": near, "last": None, "last_home": None}
-            then = after[i]
-            return {**then, "home": then["home"] or near, "last_home": then["last_home"] or near}
-
-        after: list[dict | None] = [None] * len(heads)
-        for i in range(len(heads) - 1, -1, -1):
-            then = follow(heads[i]["section"]["end"])
-            after[i] = {**then, "sections": then["sections"] + 1, "last": then["last"] or heads[i]["section"]}
+    for row, marks in _rows(batches):
+        pos, section = marks.field("pos").to_numpy(), marks.field("section")
+        is_head = np.asarray(section.is_valid())
+        heads, homes = np.flatnonzero(is_head), np.flatnonzero(~is_head)
+        head_at, home_at, head_end = pos[heads], pos[homes], section.field("end").to_numpy(zero_copy_only=False)[heads]
+        none = len(heads)
+
+        def behind(places: np.ndarray) -> tuple[list, list]:
+            """The first candidate from a place on, and the last container line before it (or -1)."""
+            following = np.searchsorted(head_at, places)
+            near = np.searchsorted(home_at, np.append(head_at, ENDLESS)[following]) - 1
+            inside = np.append(home_at, -1)[near] >= places
+            return following.tolist(), np.where(inside & (near >= 0), near, -1).tolist()
+
+        following, near = behind(head_end)
+        after: list[tuple | None] = [None] * none  # exit, sections, container line, last section, container line before it
+        for i in range(none - 1, -1, -1):
+            if following[i] == none:
+                after[i] = (int(head_end[i]), 1, near[i], i, -1)
+            else:
+                end, count, home, last, last_home = after[following[i]]
+                after[i] = (end, count + 1, near[i] if home < 0 else home, last, near[i] if last_home < 0 else last_home)
+
+        def effect(place: int, i: int, near: int) -> dict:
+            end, count, home, last, last_home = (place, 0, -1, -1, -1) if i == none else after[i]
+            home, last_home = near if home < 0 else home, near if last_home < 0 and i < none else last_home
+            return {"entry": place, "exit": end, "sections": count,
+                    "home": marks[int(homes[home])].as_py()["home"] if home >= 0 else None,
+                    "last": marks[int(heads[last])].as_py()["section"] if last >= 0 else None,
+                    "last_home": marks[int(homes[last_home])].as_py()["home"] if last_home >= 0 else None}
+
         places = sorted({0, *(e["place"] for e in row["entries"] if e["place"] > row["begin"])})
         yield pa.RecordBatch.from_pylist([{
             **{k: row[k] for k in ("file", "unit", "begin", "end", "lines", "entries")},
-            "effects": [{"entry": p, **follow(p)} for p in places]}], TABLES)
+            "effects": [effect(*x) for x in zip(places, *behind(np.array(places, np.int64)))]}], TABLES)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of the sections in every range."""
-    for row in _rows(batches):
-        sections, out = _sections(row), [[] for _ in LINES]
-
-        def put(s: dict, first: int, lines: list) -> None:
-            home = s["home"] or {"node": None, "container": None}
-            for column, value in zip(out, (row["file"], home["node"], home["container"], s["number"], s["log_type"], s["log_length"])):
-                column.extend([value] * len(lines))
-            out[6].extend(range(first, first + len(lines)))
-            out[7].extend(lines)
-
-        for s in sections:
-            if s["opens"] and (s["begin"] == s["end"] or s["begin"] >= row["file_bytes"]):
-                put(s, 0, [None])
+    for row, marks in _rows(batches):
+        sections = _sections(row, marks)
+        labels, counts, numbers, texts = [], [], [], []  # of sections; of lines
+
+        def batch() -> pa.RecordBatch:
+            """The lines so far; what the lines of a section share is repeated here."""
+            which = pa.array(np.repeat(np.arange(len(labels)), counts))
+            shared = [pa.array(c, f.type).take(which) for c, f in zip(zip(*labels), list(LINES)[1:6])]
+            made = pa.RecordBatch.from_arrays([
+                pa.repeat(pa.scalar(row["file"]), len(texts)), *shared,
+                pa.array(numbers, pa.int64()), pa.array(texts, pa.binary())], schema=LINES)
+            for part in (labels, counts, numbers, texts):
+                part.clear()
+            return made
+
         line, i = row["lines_before"], 0
+        for begin, end, label, _, opens in sections:
+            if opens and (begin == end or begin >= row["file_bytes"]):
+                labels.append(label)
+                counts.append(1)
+                numbers.append(0)
+                texts.append(None)
         for pos, data, n in _blocks(row["file"], row["begin"], row["end"]):
-            while i < len(sections) and sections[i]["begin"] < pos + n:
-                s = sections[i]
-                begin, end = max(s["begin"], pos), min(s["end"], pos + n)
-                if begin < end:
-                    lines = data[begin - pos:end - pos].split(b"\n")
+            while i < len(sections) and sections[i][0] < pos + n:
+                begin, end, label, head, _ = sections[i]
+                first, stop = max(begin, pos), min(end, pos + n)
+                if first < stop:
+                    lines = data[first - pos:stop - pos].split(b"\n")
                     if not lines[-1]:
                         lines.pop()
-                    put(s, 1 if begin == s["begin"] else line - s["line"] - 4, lines)
-                if len(out[7]) >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, LINES)], schema=LINES)
-                    out = [[] for _ in LINES]
-                if s["end"] > pos + n:
+                    number = 1 if first == begin else line - head - 4
+                    labels.append(label)
+                    counts.append(len(lines))
+                    numbers.extend(range(number, number + len(lines)))
+                    texts.extend(lines)
+                    if len(texts) >= BATCH:
+                        yield batch()
+                if end > pos + n:
                     break
                 i += 1
             line += data.count(b"\n", 0, n)
-        if out[7]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, LINES)], schema=LINES)
-
-
-def _sections(row: dict) -> list[dict]:
-    """Sections with text in a range: the one open on entry, and those that begin in it."""
-    place, number, home = row["open"], row["sections"], row["home"]
-    found = [{**row["last"], "number": number, "home": row["last_home"], "opens": False}] if place > row["begin"] else []
-    for m in row["marks"]:
-        if m["pos"] < place:
+        if texts:
+            yield batch()
+
+
+def _sections(row: dict, marks: pa.StructArray) -> list[tuple]:
+    """Sections with text in a range, the one open on entry and those that begin in it, as
+    (begin, end, (node, container, number, type, length), line of the header, whether it begins here)."""
+    def label(home: tuple | None, number: int, kind: str, length: int) -> tuple:
+        return *(home or (None, None)), number, kind, length
+
+    def pair(home: dict | None) -> tuple | None:
+        return home and (home["node"], home["container"])
+
+    place, number, home, found = row["open"], row["sections"], pair(row["home"]), []
+    if place > row["begin"]:
+        s = row["last"]
+        found.append((s["begin"], s["end"], label(pair(row["last_home"]), number, s["log_type"], s["log_length"]), s["line"], False))
+    section, homes = marks.field("section"), marks.field("home")
+    columns = [section.field(k).to_pylist() for k in ("begin", "end", "log_type", "log_length", "line")]
+    for pos, is_head, node, container, begin, end, kind, length, line in zip(
+            marks.field("pos").to_pylist(), section.is_valid().to_pylist(),
+            homes.field("node").to_pylist(), homes.field("container").to_pylist(), *columns):
+        if pos < place:
+            continue
+        if not is_head:
+            home = (node, container)
             continue
-        if m["home"]:
-            home = m["home"]
-        else:
-            s, number = m["section"], number + 1
-            place = s["end"]
-            found.append({**s, "line": row["lines_before"] + s["line"], "number": number, "home": home, "opens": True})
+        number, place = number + 1, end
+        found.append((begin, end, label(home, number, kind, length), row["lines_before"] + line, True))
     return found
 
 
@@ -336,10 +371,12 @@ def _open(file: str):
     return system.open_input_stream(name) if file.lower().endswith(COMPRESSED) else system.open_input_file(name)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.StructArray | None]]:
+    """Rows one by one; the column ``marks``, if there is one, stays an Arrow array."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+        rest = [c for c in batch.schema.names if c != "marks"]
+        for i, row in enumerate(batch.select(rest).to_pylist()):
+            yield row, batch.column("marks")[i].values if "marks" in batch.schema.names else None
 
 
 def _text(data: bytes) -> str:
