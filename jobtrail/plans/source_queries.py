@@ -8,10 +8,11 @@ from jobtrail.fixtures import append_to_files
 from jobtrail.functions.parsing import stamp_to_timestamp, timestamp_to_stamp
 from jobtrail.operators import storage
 from jobtrail.operators.ledger import build_ledger, task_logs
-from jobtrail.plans.ledger_queries import NUMBERED, WANTED, numbered, wanted
+from jobtrail.plans.ledger_queries import APP_ORDER, ASKED, NUMBERED, WANTED, asked, numbered, wanted
 from jobtrail.plans.registry import Tables, query
 from jobtrail.session import scratch_path
 from jobtrail.sources import files, logs, sinks, tables
+from jobtrail.sources.buckets import BucketLedger
 
 EVENT_LINES = """
   event_lines as (select 'SK.' || event_type || strftime(ts, '%Y-%m-%d') || '_00-00-00-000' as otid,
@@ -209,3 +210,18 @@ def k1_listing(t):
     """Retention sees empty files too: all files written just now are older than a day in the far future."""
     listed = files.walk_files(t.spark, written_files(t)).filter("not is_dir")
     return storage.split_expired(listed, "2999-01-01 00:00:00")[0].select("path", "size_bytes")
+
+
+@query("c8_merge_in_place", """
+, u as (select otid, status, row_number() over (partition by otid order by start_ts desc, tie1 desc, tie2 desc, tie3 desc) rn
+        from app_v)
+select o.otid, o.opid, o.username, coalesce(u.status, o.status) as status
+from optask_v o left join u on u.otid = o.otid and u.rn = 1
+where o.otid not in (select otid from asked)""", "optask_v app_v", ASKED)
+def c8_in_place(t: Tables):
+    """Task ledger on files: the states of the applications are one batch, the deletion of the asked tasks the next."""
+    path = scratch_path(t.spark, "task-ledger")
+    ledger = BucketLedger.create(t.optask_v.select("otid", "opid", "username", "status"), path, "otid", 64)
+    ledger.merge(1, t.app_v, ["status"], APP_ORDER)
+    ledger.merge(2, deletes=asked(t))
+    return ledger.read()

@@ -19,7 +19,8 @@ PYTHON = (r"BatchEvalPython|ArrowEvalPython|MapInPandas|FlatMapGroupsInPandas|Ba
 #: Text operators of free style; op2 and op3 are built from expressions only.
 FREE = re.compile(r"op(1|4|5|6|7|8|9|10|11|12|13)_|pipeline$")
 #: Queries that write their files first; the query test covers them.
-WRITERS = ("a1_read_task_logs", "a2_read_container_logs", "c5_task_logs", "a11_walk_files", "d4_storage_of_listing", "k1_expired_of_listing")
+WRITERS = ("a1_read_task_logs", "a2_read_container_logs", "c5_task_logs", "a11_walk_files", "d4_storage_of_listing", "k1_expired_of_listing",
+           "c8_merge_in_place")
 
 
 def plan_of(df) -> str:
