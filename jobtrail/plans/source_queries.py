@@ -64,7 +64,11 @@ def h1_files(t):
 
 
 def container_logs(t: Tables):
-    """Container logs of every application: a stderr section of two lines and a stdout section."""
+    """Container logs of every application: a stderr section of two lines and a stdout section.
+
+    The logs of a task's seventh application are plain files, read by byte ranges; all others are compressed, in
+    files of bounded size, since the text is 50 times the table it is made from.
+    """
     path = scratch_path(t.spark, "container-logs")
     s = "2024-01-01_00-00-00-000\t"
     body = F.concat(F.lit("status "), "status", F.lit("\nsupplier "), F.col("tie3").cast("string"), F.lit("\n"))
@@ -79,7 +83,10 @@ def container_logs(t: Tables):
     block = F.concat(F.lit(f"{s}\n\nContainer: "), container, F.lit(" on node"), (F.col("tie3") % 40).cast("string"),
                      F.lit(f"_8041\n{s}" + "=" * 20 + "\n"), section("stderr", body), F.lit("\n"),
                      section("stdout", out))
-    t.app_v.select(block.alias("value")).write.text(path)
+    apps, plain = t.app_v, F.coalesce(F.col("tie1") == 7, F.lit(False))
+    apps.filter(plain).select(block.alias("value")).write.text(f"{path}/plain")
+    apps.filter(~plain).select(block.alias("value")).write.options(
+        compression="gzip", maxRecordsPerFile=100_000).text(f"{path}/packed")
     return logs.read_container_logs(t.spark, path)
 
 

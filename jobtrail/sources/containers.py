@@ -5,14 +5,15 @@ headers before it. For one range of a file this is a function: from the place up
 on entry to the place up to which one is open on exit, the sections and lines between, and the
 section and container in force. Such functions compose. So
 
-1. every range is scanned once and leaves one small row with its candidates for headers,
-2. the places where a candidate of an earlier range may end are the only entries a range can meet; its
-   function is a table over them,
+1. every range is scanned once and leaves one small row: what it does when no section is open on entry, and
+   the places behind it where a candidate for a header in it may end,
+2. such places of earlier ranges are the only entries a range can meet; its function is a table over them, and
+   a range that has any is read once more for it,
 3. tables of :data:`FAN` neighbouring ranges are composed to one, level by level, until a file has at
    most :data:`FAN`; going down again gives every range the state it is entered with,
 4. every range is read again and cuts its own lines.
 
-The text never moves between tasks and is not staged; no step gathers a file.
+Neither the text nor the candidates move between tasks or are staged; no step gathers a file.
 """
 
 from __future__ import annotations
@@ -42,13 +43,13 @@ ENDLESS = 1 << 62
 _LONG, _TEXT = pa.int64(), pa.string()
 _HOME = pa.struct([("container", _TEXT), ("node", _TEXT)])
 _SECTION = pa.struct([("begin", _LONG), ("end", _LONG), ("log_type", _TEXT), ("log_length", _LONG), ("line", _LONG)])
-SCANNED = pa.schema([
-    ("file", _TEXT), ("unit", _LONG), ("begin", _LONG), ("end", _LONG), ("file_bytes", _LONG), ("lines", _LONG),
-    ("marks", pa.list_(pa.struct([("pos", _LONG), ("home", _HOME), ("section", _SECTION)])))])
 #: What a range does to the state: place open on exit, sections, container in force, last section and the
 #: container in force at it (NULL: the one in force on entry).
 _EFFECT = pa.struct([("entry", _LONG), ("exit", _LONG), ("sections", _LONG), ("home", _HOME), ("last", _SECTION),
                      ("last_home", _HOME)])
+SCANNED = pa.schema([
+    ("file", _TEXT), ("unit", _LONG), ("begin", _LONG), ("end", _LONG), ("file_bytes", _LONG), ("lines", _LONG),
+    ("effect", _EFFECT), ("places", pa.list_(_LONG))])
 TABLES = pa.schema([
     ("file", _TEXT), ("unit", _LONG), ("begin", _LONG), ("end", _LONG), ("lines", _LONG),
     ("entries", pa.list_(pa.struct([("place", _LONG), ("origin", _LONG)]))), ("effects", pa.list_(_EFFECT))])
@@ -97,29 +98,28 @@ def read_container_logs(spark: SparkSession, path: str, range_bytes: int | None
     scanned = stage(ranges.repartition(tasks, "file", "unit").mapInArrow(_scan, from_arrow_schema(SCANNED)), "log-ranges")
 
     units = -(-largest // size)
-    levels = [stage(_tables(scanned, size), "log-tables")]
+    levels = [stage(_tables(scanned, size, tasks), "log-tables")]
     while units > fan:
         levels.append(stage(_composed(levels[-1], fan), "log-tables"))
         units = -(-units // fan)
     state = None
     for level in reversed(levels):
         state = stage(_entered(level, state, fan), "log-states")
-    placed = scanned.join(state, ["file", "unit"]).repartition(tasks, "file", "unit")
+    placed = scanned.drop("effect", "places").join(state, ["file", "unit"]).repartition(tasks, "file", "unit")
     return placed.mapInArrow(_cut, from_arrow_schema(LINES)).withColumn("line", F.col("line").cast("string"))
 
 
-def _tables(scanned: DataFrame, size: int) -> DataFrame:
+def _tables(scanned: DataFrame, size: int, tasks: int) -> DataFrame:
     """The function of every range, over the places where sections of earlier ranges may end in it."""
-    ends = scanned.select("file", "unit", "end", "file_bytes", F.explode("marks.section").alias("s")).filter(
-        (F.col("s.end") > F.col("end")) & (F.col("s.end") < F.col("file_bytes")))
     entries = (
-        ends.groupBy("file", F.col("s.end").alias("place")).agg(F.min("unit").alias("origin"))
+        scanned.select("file", "unit", F.explode("places").alias("place"))
+        .groupBy("file", "place").agg(F.min("unit").alias("origin"))
         .groupBy("file", (F.col("place") / size).cast("bigint").alias("unit"))
         .agg(F.collect_list(F.struct("place", "origin")).alias("entries"))
     )
-    rows = scanned.join(entries, ["file", "unit"], "left").withColumn(
+    rows = scanned.drop("places").join(entries, ["file", "unit"], "left").withColumn(
         "entries", F.coalesce("entries", F.array().cast("array<struct<place: bigint, origin: bigint>>")))
-    return rows.mapInArrow(_tabulate, from_arrow_schema(TABLES))
+    return rows.repartition(tasks, "file", "unit").mapInArrow(_tabulate, from_arrow_schema(TABLES))
 
 
 def _composed(tables: DataFrame, fan: int) -> DataFrame:
@@ -179,73 +179,98 @@ def _step(state: dict, table: dict) -> dict:
     return after
 
 
+def _candidates(pos: int, data: bytes, n: int, line: int, start: int = 0) -> Iterator[tuple[int, dict | None, dict | None]]:
+    """Container lines and candidates for headers in a block, as (place, container or None, section or None).
+
+    ``line`` is the number of the first line of the block.
+    """
+    seen = 0
+    for m in _MARK.finditer(data, start, n):
+        line, seen = line + data.count(b"\n", seen, m.start()), m.start()
+        if m[1] is not None:
+            yield pos + seen, {"container": _text(m[1]), "node": _text(m[2])}, None
+            continue
+        header = _HEADER.match(data, seen)
+        length = int(header[2]) if header and len(header[2]) < 40 else ENDLESS * 2
+        if length < ENDLESS * 2:
+            begin = pos + header.end()
+            yield pos + seen, None, {"begin": begin, "end": min(begin + length, ENDLESS), "log_type": _text(header[1]),
+                                     "log_length": length, "line": line}
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines and candidates of every range."""
-    for row, _ in _rows(batches):
-        marks, lines, size = [], 0, row["begin"]
+    """Lines of every range, what it does when no section is open on entry, and the places that candidates in it reach."""
+    for row in _rows(batches):
+        lines, size, places = 0, row["begin"], set()
+        effect = {"entry": 0, "exit": 0, "sections": 0, "home": None, "last": None, "last_home": None}
         for pos, data, n in _blocks(row["file"], row["begin"], row["end"]):
-            seen, line = 0, lines
-            for m in _MARK.finditer(data, 0, n):
-                line, seen = line + data.count(b"\n", seen, m.start()), m.start()
-                if m[1] is not None:
-                    marks.append({"pos": pos + seen, "home": {"container": _text(m[1]), "node": _text(m[2])}, "section": None})
+            for at, home, section in _candidates(pos, data, n, lines):
+                if section and row["end"] < section["end"]:
+                    places.add(section["end"])
+                if at < effect["exit"]:
                     continue
-                header = _HEADER.match(data, seen)
-                length = int(header[2]) if header and len(header[2]) < 40 else ENDLESS * 2
-                if length < ENDLESS * 2:
-                    begin = pos + header.end()
-                    marks.append({"pos": pos + seen, "home": None, "section": {
-                        "begin": begin, "end": min(begin + length, ENDLESS), "log_type": _text(header[1]),
-                        "log_length": length, "line": line}})
+                if home:
+                    effect["home"] = home
+                else:
+                    effect.update(exit=section["end"], sections=effect["sections"] + 1, last=section, last_home=effect["home"])
             lines += data.count(b"\n", 0, n) + (data[n - 1] != 10)
             size = pos + n
         bytes_ = size if row["file_bytes"] is None else row["file_bytes"]
-        yield pa.RecordBatch.from_pylist([{**row, "file_bytes": bytes_, "lines": lines, "marks": marks}], SCANNED)
+        yield pa.RecordBatch.from_pylist([{
+            **row, "file_bytes": bytes_, "lines": lines, "effect": effect, "places": [p for p in places if p < bytes_]}], SCANNED)
 
 
 def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the last candidate back: what follows when a candidate is a section, then what follows an entry."""
-    for row, marks in _rows(batches):
-        pos, section = marks.field("pos").to_numpy(), marks.field("section")
-        is_head = np.asarray(section.is_valid())
-        heads, homes = np.flatnonzero(is_head), np.flatnonzero(~is_head)
-        head_at, home_at, head_end = pos[heads], pos[homes], section.field("end").to_numpy(zero_copy_only=False)[heads]
-        none = len(heads)
-
-        def behind(places: np.ndarray) -> tuple[list, list]:
-            """The first candidate from a place on, and the last container line before it (or -1)."""
-            following = np.searchsorted(head_at, places)
-            near = np.searchsorted(home_at, np.append(head_at, ENDLESS)[following]) - 1
-            inside = np.append(home_at, -1)[near] >= places
-            return following.tolist(), np.where(inside & (near >= 0), near, -1).tolist()
-
-        following, near = behind(head_end)
-        after: list[tuple | None] = [None] * none  # exit, sections, container line, last section, container line before it
-        for i in range(none - 1, -1, -1):
-            if following[i] == none:
-                after[i] = (int(head_end[i]), 1, near[i], i, -1)
-            else:
-                end, count, home, last, last_home = after[following[i]]
-                after[i] = (end, count + 1, near[i] if home < 0 else home, last, near[i] if last_home < 0 else last_home)
-
-        def effect(place: int, i: int, near: int) -> dict:
-            end, count, home, last, last_home = (place, 0, -1, -1, -1) if i == none else after[i]
-            home, last_home = near if home < 0 else home, near if last_home < 0 and i < none else last_home
-            return {"entry": place, "exit": end, "sections": count,
-                    "home": marks[int(homes[home])].as_py()["home"] if home >= 0 else None,
-                    "last": marks[int(heads[last])].as_py()["section"] if last >= 0 else None,
-                    "last_home": marks[int(homes[last_home])].as_py()["home"] if last_home >= 0 else None}
-
-        places = sorted({0, *(e["place"] for e in row["entries"] if e["place"] > row["begin"])})
+    """The table of every range over the places it may be entered with."""
+    for row in _rows(batches):
+        places = sorted(e["place"] for e in row["entries"] if e["place"] > row["begin"])
         yield pa.RecordBatch.from_pylist([{
             **{k: row[k] for k in ("file", "unit", "begin", "end", "lines", "entries")},
-            "effects": [effect(*x) for x in zip(places, *behind(np.array(places, np.int64)))]}], TABLES)
+            "effects": [row["effect"], *(_effects(row, places) if places else [])]}], TABLES)
+
+
+def _effects(row: dict, places: list[int]) -> list[dict]:
+    """From the last candidate back: what follows when a candidate is a section, then what follows an entry."""
+    marks, lines = [], 0
+    for start, data, n in _blocks(row["file"], row["begin"], row["end"]):
+        marks.extend(_candidates(start, data, n, lines))
+        lines += data.count(b"\n", 0, n)
+    pos, is_head = np.array([m[0] for m in marks], np.int64), np.array([m[1] is None for m in marks], bool)
+    heads, homes = np.flatnonzero(is_head), np.flatnonzero(~is_head)
+    head_at, home_at = pos[heads], pos[homes]
+    head_end = np.array([marks[i][2]["end"] for i in heads], np.int64)
+    none = len(heads)
+
+    def behind(places: np.ndarray) -> tuple[list, list]:
+        """The first candidate from a place on, and the last container line before it (or -1)."""
+        following = np.searchsorted(head_at, places)
+        near = np.searchsorted(home_at, np.append(head_at, ENDLESS)[following]) - 1
+        inside = np.append(home_at, -1)[near] >= places
+        return following.tolist(), np.where(inside & (near >= 0), near, -1).tolist()
+
+    following, near = behind(head_end)
+    after: list[tuple | None] = [None] * none  # exit, sections, container line, last section, container line before it
+    for i in range(none - 1, -1, -1):
+        if following[i] == none:
+            after[i] = (int(head_end[i]), 1, near[i], i, -1)
+        else:
+            end, count, home, last, last_home = after[following[i]]
+            after[i] = (end, count + 1, near[i] if home < 0 else home, last, near[i] if last_home < 0 else last_home)
+
+    def effect(place: int, i: int, near: int) -> dict:
+        end, count, home, last, last_home = (place, 0, -1, -1, -1) if i == none else after[i]
+        home, last_home = near if home < 0 else home, near if last_home < 0 and i < none else last_home
+        return {"entry": place, "exit": end, "sections": count,
+                "home": marks[homes[home]][1] if home >= 0 else None,
+                "last": marks[heads[last]][2] if last >= 0 else None,
+                "last_home": marks[homes[last_home]][1] if last_home >= 0 else None}
+
+    return [effect(*x) for x in zip(places, *behind(np.array(places, np.int64)))]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of the sections in every range."""
-    for row, marks in _rows(batches):
-        sections = _sections(row, marks)
+    for row in _rows(batches):
         labels, counts, numbers, texts = [], [], [], []  # of sections; of lines
 
         def batch() -> pa.RecordBatch:
@@ -259,62 +284,48 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.clear()
             return made
 
-        line, i = row["lines_before"], 0
-        for begin, end, label, _, opens in sections:
-            if opens and (begin == end or begin >= row["file_bytes"]):
-                labels.append(label)
-                counts.append(1)
-                numbers.append(0)
-                texts.append(None)
+        line, place, number, home = row["lines_before"], row["open"], row["sections"], row["home"]
+        sections = []  # whose text may go on: (begin, end, label, line of the header)
+        if place > row["begin"]:
+            sections.append(_section(row["last"], row["last_home"], number))
         for pos, data, n in _blocks(row["file"], row["begin"], row["end"]):
-            while i < len(sections) and sections[i][0] < pos + n:
-                begin, end, label, head, _ = sections[i]
+            for at, found, section in _candidates(pos, data, n, line, max(0, min(place - pos, n))):
+                if at < place:
+                    continue
+                if found:
+                    home = found
+                    continue
+                number, place = number + 1, section["end"]
+                sections.append(_section(section, home, number))
+                if section["begin"] == place or section["begin"] >= row["file_bytes"]:
+                    labels.append(sections.pop()[2])
+                    counts.append(1)
+                    numbers.append(0)
+                    texts.append(None)
+            for begin, end, label, head in sections:
                 first, stop = max(begin, pos), min(end, pos + n)
                 if first < stop:
                     lines = data[first - pos:stop - pos].split(b"\n")
                     if not lines[-1]:
                         lines.pop()
-                    number = 1 if first == begin else line - head - 4
+                    first_no = 1 if first == begin else line - head - 4
                     labels.append(label)
                     counts.append(len(lines))
-                    numbers.extend(range(number, number + len(lines)))
+                    numbers.extend(range(first_no, first_no + len(lines)))
                     texts.extend(lines)
                     if len(texts) >= BATCH:
                         yield batch()
-                if end > pos + n:
-                    break
-                i += 1
+            sections = [x for x in sections if x[1] > pos + n]
             line += data.count(b"\n", 0, n)
         if texts:
             yield batch()
 
 
-def _sections(row: dict, marks: pa.StructArray) -> list[tuple]:
-    """Sections with text in a range, the one open on entry and those that begin in it, as
-    (begin, end, (node, container, number, type, length), line of the header, whether it begins here)."""
-    def label(home: tuple | None, number: int, kind: str, length: int) -> tuple:
-        return *(home or (None, None)), number, kind, length
-
-    def pair(home: dict | None) -> tuple | None:
-        return home and (home["node"], home["container"])
-
-    place, number, home, found = row["open"], row["sections"], pair(row["home"]), []
-    if place > row["begin"]:
-        s = row["last"]
-        found.append((s["begin"], s["end"], label(pair(row["last_home"]), number, s["log_type"], s["log_length"]), s["line"], False))
-    section, homes = marks.field("section"), marks.field("home")
-    columns = [section.field(k).to_pylist() for k in ("begin", "end", "log_type", "log_length", "line")]
-    for pos, is_head, node, container, begin, end, kind, length, line in zip(
-            marks.field("pos").to_pylist(), section.is_valid().to_pylist(),
-            homes.field("node").to_pylist(), homes.field("container").to_pylist(), *columns):
-        if pos < place:
-            continue
-        if not is_head:
-            home = (node, container)
-            continue
-        number, place = number + 1, end
-        found.append((begin, end, label(home, number, kind, length), row["lines_before"] + line, True))
-    return found
+def _section(section: dict, home: dict | None, number: int) -> tuple:
+    """(begin, end, (node, container, number, type, length), line of the header)"""
+    home = home or {"node": None, "container": None}
+    return section["begin"], section["end"], (
+        home["node"], home["container"], number, section["log_type"], section["log_length"]), section["line"]
 
 
 def _blocks(file: str, begin: int, end: int) -> Iterator[tuple[int, bytes, int]]:
@@ -371,12 +382,9 @@ def _open(file: str):
     return system.open_input_stream(name) if file.lower().endswith(COMPRESSED) else system.open_input_file(name)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.StructArray | None]]:
-    """Rows one by one; the column ``marks``, if there is one, stays an Arrow array."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        rest = [c for c in batch.schema.names if c != "marks"]
-        for i, row in enumerate(batch.select(rest).to_pylist()):
-            yield row, batch.column("marks")[i].values if "marks" in batch.schema.names else None
+        yield from batch.to_pylist()
 
 
 def _text(data: bytes) -> str:

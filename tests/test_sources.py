@@ -1,10 +1,14 @@
 import datetime as dt
+import glob
 import gzip
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from jobtrail.plans.registry import Tables
+from jobtrail.plans.source_queries import container_logs
 from jobtrail.session import scratch_path, shared_dir, stage
 from jobtrail.sources import files, logs, sinks, tables
 
@@ -107,6 +111,24 @@ def test_container_logs_from_compressed_and_cut_files(spark, rows, tmp_path):
     assert rows(logs.read_container_logs(spark, str(tmp_path)), *cols) == sorted(expected, key=repr)
 
 
+def test_container_logs_stage_ranges_and_no_headers(spark, tmp_path):
+    text = "".join(container_log(seed, 300)[0] for seed in range(4))
+    (tmp_path / "node.log").write_text(text)
+    assert logs.read_container_logs(spark, str(tmp_path), range_bytes=20_000).count() > 1000
+    staged = max(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/jobtrail/log-ranges-*"), key=os.path.getmtime)
+    ranges = -(-len(text.encode()) // 20_000)
+    sizes = spark.read.parquet(staged).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    assert sizes[0] == ranges and sizes[1] < 1000 * ranges
+
+
+def test_written_container_logs_are_compressed(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    container_logs(t)
+    root = max(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/jobtrail/container-logs-*"), key=os.path.getmtime)
+    found = files.list_files(spark, root, "part-*").agg(F.sum("size_bytes")).first()[0]
+    assert found < 150 * t.app_v.count()
+
+
 def test_container_to_application(spark):
     df = spark.createDataFrame(
         [("container_1700000000000_0042_01_000001",), ("container_e17_1700000000000_12345_02_000001",), ("x",)], "c string")
