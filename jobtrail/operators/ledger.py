@@ -256,7 +256,11 @@ def log_requests(keys: DataFrame, optask: DataFrame, apptask: DataFrame) -> Data
 
 
 def task_logs(keys: DataFrame, optask: DataFrame, apptask: DataFrame, sections: DataFrame) -> DataFrame:
-    """Container log rows of all applications of the requested (jobinstanceid, opid) pairs."""
+    """Container log rows of all applications of the requested (jobinstanceid, opid) pairs.
+
+    Log rows come out of Python, where Spark takes the few ranges that go in for their size and would broadcast
+    all text; so the join is told to hash the applications and let the rows stream by.
+    """
     tasks = task_by_instance(optask, keys)
     apps = tasks.join(apptask.select("otid", "sequence", "appid"), "otid")
-    return apps.join(sections, "appid")
+    return apps.hint("shuffle_hash").join(sections, "appid")

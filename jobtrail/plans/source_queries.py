@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from jobtrail.fixtures import append_to_files
 from jobtrail.functions.parsing import stamp_to_timestamp, timestamp_to_stamp
 from jobtrail.operators import storage
+from jobtrail.operators.keys import task_by_instance
 from jobtrail.operators.ledger import build_ledger, task_logs
 from jobtrail.plans.ledger_queries import APP_ORDER, ASKED, NUMBERED, WANTED, asked, numbered, wanted
 from jobtrail.plans.registry import Tables, query
@@ -114,7 +115,8 @@ select a.otid, a.sequence, c.container, c.log_type, c.line_no, c.line
 from apps a join container_lines c on c.appid = a.appid""", "optask_v app_v", f"{NUMBERED}, {CONTAINER_LINES}, {WANTED}")
 def c5(t):
     sections = container_logs(t).withColumn("appid", logs.application_of_container(F.col("container")))
-    return task_logs(wanted(t), t.optask_v, numbered(t), sections).select(
+    asked_tasks = task_by_instance(t.optask_v, wanted(t))
+    return task_logs(wanted(t), t.optask_v, numbered(t, asked_tasks), sections).select(
         "otid", "sequence", "container", "log_type", "line_no", "line")
 
 

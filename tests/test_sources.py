@@ -3,10 +3,13 @@ import glob
 import gzip
 import os
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from jobtrail.operators.ledger import task_logs
 from jobtrail.plans.registry import Tables
 from jobtrail.plans.source_queries import container_logs
 from jobtrail.session import scratch_path, shared_dir, stage
@@ -129,6 +132,22 @@ def test_written_container_logs_are_compressed(spark):
     assert found < 150 * t.app_v.count()
 
 
+def test_log_rows_are_never_the_broadcast_side(spark):
+    def lines(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pydict({"appid": [f"a{i}"] * 10, "line": ["x" * 100] * 10})
+
+    sections = spark.range(50).repartition(4).mapInArrow(lines, "appid string, line string")
+    keys = spark.range(20).selectExpr("concat('j', id) as jobinstanceid", "'GM.op' as opid")
+    optask = keys.selectExpr("*", "concat('t', jobinstanceid) as otid", "timestamp_ntz'2020-01-01' as submit_ts")
+    apps = spark.range(20).selectExpr("concat('tj', id) as otid", "1 as sequence", "concat('a', id) as appid")
+    found = task_logs(keys, optask, apps, sections)
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and not re.search(r"BroadcastExchange[^\n]*\n[^\n]*(\n[^\n]*)?MapInArrow", plan)
+
+
 def test_container_to_application(spark):
     df = spark.createDataFrame(
         [("container_1700000000000_0042_01_000001",), ("container_e17_1700000000000_12345_02_000001",), ("x",)], "c string")
