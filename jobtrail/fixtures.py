@@ -159,7 +159,7 @@ union all
 select req_id + 1000000, opid, version, biztype, provider, opjarpath, 'again', false
 from {operator_request_v} where length(version) = 3""",
     "operator_xml_v": """
-select req_id, '<operator>' ||
+select req_id, opid, '<operator>' ||
        case when jar_first then coalesce('<property name="opjarpath" value="' || opjarpath || '"/>', '') else '' end ||
        coalesce('<property name="opid" value="' || opid || '"/>', '') ||
        '<property name="version" value="' || version || '"/>' ||

@@ -25,9 +25,8 @@ def tasks(t: Tables):
 
 
 def operators(t: Tables, update: bool = False):
-    docs = t.operator_xml_v
-    if update:
-        docs = docs.join(t.operator_doc_v.select("req_id", "opid"), "req_id")
+    # An update names its operator beside the document; request numbers repeat, so they are no key to join it by.
+    docs = t.operator_xml_v if update else t.operator_xml_v.drop("opid")
     return V.validate_operators(D.parse_requests(docs, "operator"), t.package_path_v, update=update)
 
 
