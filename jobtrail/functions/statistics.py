@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Values whose distinct ones one task collects before the shuffle.
+VALUES_A_TASK = 1_000_000
 _SCALAR = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 
 
@@ -15,11 +17,11 @@ def compute_stats(df: DataFrame, cols: Sequence[str] | None = None, ndv: str | N
     """Count, nulls, min, max, average and distinct values of each column, one row per column.
 
     All columns share one aggregation pass with map-side combine. ``ndv`` is ``approx`` (a
-    fixed-size sketch per column), ``exact`` (shuffles the distinct values of every column) or
-    None. Minimum and maximum are rendered as text; the average is NULL for non-numbers.
+    fixed-size sketch per column), ``exact`` (shuffles the distinct values of every column, see
+    :func:`distinct_values`) or None. Minimum and maximum are rendered as text; the average is NULL for non-numbers.
     """
     fields = [f for f in df.schema.fields if (cols is None or f.name in cols) and isinstance(f.dataType, _SCALAR)]
-    distinct = {"approx": F.approx_count_distinct, "exact": F.count_distinct}.get(ndv)
+    distinct = F.approx_count_distinct if ndv == "approx" else None
     aggs = []
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
@@ -40,7 +42,33 @@ def compute_stats(df: DataFrame, cols: Sequence[str] | None = None, ndv: str | N
         )
         for i, f in enumerate(fields)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    stats = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    if ndv != "exact":
+        return stats
+    return stats.drop("ndv").join(distinct_values(df, fields), "column", "left").withColumn("ndv", F.coalesce("ndv", F.lit(0)))
+
+
+def distinct_values(df: DataFrame, fields: Sequence[T.StructField], values_a_task: int = VALUES_A_TASK) -> DataFrame:
+    """Exact number of distinct values of each column, NULL not counted, as (column, ndv).
+
+    Columns become rows (column, value). The rows of the table are dealt by their hash to as many tasks as their
+    number asks for, so what a task collects before the shuffle stays bounded however the files are cut.
+    """
+    def value(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0)  # zero has two signs
+        elif isinstance(f.dataType, T.TimestampType):
+            c = F.unix_micros(c)  # local times repeat when clocks go back
+        return c.cast("string")
+
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, ndv bigint")
+    names = [F.col(f"`{f.name}`") for f in fields]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * len(fields) // values_a_task))
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("column"), value(f).alias("value")) for f in fields])
+    values = df.select(*names).repartition(tasks, F.xxhash64(*names)).select(F.inline(pairs))
+    return values.distinct().groupBy("column").agg(F.count("value").alias("ndv"))
 
 
 def bitmap_build(df: DataFrame, position: str, keys: Sequence[str] = ()) -> DataFrame:

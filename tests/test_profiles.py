@@ -1,8 +1,10 @@
 """Merged column profiles."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from jobtrail.functions import profiles
+from jobtrail.functions import profiles, statistics
 
 
 def table(spark):
@@ -44,3 +46,17 @@ def test_profile_of_an_empty_table(spark):
     rows = by_column(profiles.merge_profiles(profiles.profile_parts(df), df.schema))
     assert all(r["count"] == r["nulls"] == 0 for r in rows.values()) and rows["n"]["avg"] is None
     assert len(by_column(profiles.merge_profiles(profiles.profile_parts(df, ["part"]).drop("part"), df.schema))) == len(df.columns)
+
+
+def test_exact_ndv_of_many_values_takes_many_tasks(spark, rows):
+    df = spark.range(5000).coalesce(1).selectExpr(
+        "id", "if(id % 2 = 0, 0.0D, -0.0D) as zero", "cast(null as string) as none", "concat('n', id % 7) as name",
+        "timestamp_seconds(id div 2) as ts", "date'2024-01-01' as day")
+    exact = statistics.compute_stats(df, ndv="exact")
+    assert rows(exact, "column", "ndv") == sorted(
+        [("id", 5000), ("zero", 1), ("none", 0), ("name", 7), ("ts", 2500), ("day", 1)], key=repr)
+    fields = df.select("id", "name").schema.fields
+    split = statistics.distinct_values(df, fields, values_a_task=500)
+    assert rows(split) == [("id", 5000), ("name", 7)]
+    plan = split._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(xxhash64\(id[^\n]*, 20\), REPARTITION_BY_NUM", plan), plan
