@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from jobtrail.llm.texts import columns, map_arrow, pieces, raw
 
 #: Words a worker remembers; beyond that the older half goes, which bounds its memory.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 KNOWN_LENGTH = 64
 
 
