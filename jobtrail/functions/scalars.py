@@ -33,6 +33,17 @@ def parse_url_tuple(url: Column, parts: Sequence[str]) -> list[Column]:
     return out
 
 
+def xpath_texts(doc: Column, *paths: str) -> Column:
+    """Values of XPath expressions as an array of texts; NULL for a NULL document.
+
+    Each ``xpath`` function of Spark parses its document anew, and that is nearly all of its time, so the
+    expressions are joined to one. U+0001 parts them, which no XML 1.0 document may hold. A number that
+    cannot be told is ``NaN``, a path without node is empty, a path with several gives its first node.
+    """
+    texts = "".join(f"string({p}), '\x01', " for p in paths)
+    return F.slice(F.split(F.xpath_string(doc, F.lit(f"concat({texts}'')")), "\x01", -1), 1, len(paths))
+
+
 def in_file(df: DataFrame, col: str, path: str, out: str = "in_file") -> DataFrame:
     """Flag rows whose value is a line of the file; the file is read as a table and joined."""
     words = df.sparkSession.read.text(path).select(F.col("value").alias("_word")).distinct()
