@@ -95,7 +95,7 @@ def l2_tasks(t):
     ends = t.optask_v.select("otid", F.lit("end").alias("stream"), "submission")
     steps = [*in_steps(lines, "ts"), lines.limit(0).unionByName(ends, allowMissingColumns=True)]
     for step in steps:
-        step.write.mode("append").parquet(source)
+        step.write.mode("append").option("compression", "zstd").parquet(source)
         events = t.spark.readStream.schema(lines.schema).parquet(source)
         ids = extract_app_ids(events.filter("stream <> 'end'")).drop("line").unionByName(
             events.filter("stream = 'end'").drop("line"), allowMissingColumns=True)
@@ -116,7 +116,7 @@ def l2(t):
     source, out, mark = (scratch_path(t.spark, n) for n in ("ledger-in", "ledger-out", "ledger-mark"))
     lines = t.logline_v
     for step in in_steps(lines, "ts"):
-        step.write.mode("append").parquet(source)
+        step.write.mode("append").option("compression", "zstd").parquet(source)
         ids = extract_app_ids(t.spark.readStream.schema(lines.schema).parquet(source))
         S.stream_ledger(ids, out, mark, ["ts", "tie1", "tie2", "tie3"]).awaitTermination()
     ledger = S.close_intervals(t.spark.read.parquet(f"{out}/ledger"))
@@ -133,7 +133,7 @@ def l3(t):
     source, deltas, mark = (scratch_path(t.spark, n) for n in ("status-in", "status-deltas", "status-mark"))
     updates = t.app_v.select("otid", "status", *APP_ORDER)
     for step in in_steps(updates, "start_ts"):
-        step.write.mode("append").parquet(source)
+        step.write.mode("append").option("compression", "zstd").parquet(source)
         stream = t.spark.readStream.schema(updates.schema).parquet(source)
         S.stream_status(stream, deltas, mark, "otid", ["status"], APP_ORDER, compact_every=2).awaitTermination()
     return S.current_status(t.optask_v, deltas, "otid", ["status"], APP_ORDER).select("otid", "status")

@@ -58,5 +58,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     executors, and unlike a checkpointed RDD keeps column pruning and filter pushdown.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,19 +66,26 @@ def stream_tasks(events: DataFrame, path: str, checkpoint: str, order: Sequence[
             F.count_if(found("stdout")).alias("n_out"), F.max(F.when(found("stdout"), F.struct(*order, "appid"))).alias("last_out"),
             F.max(F.when(F.col("stream") == "end", F.col("submission"))).alias("submission"),
             F.coalesce(F.bool_or(F.col("stream") == "end"), F.lit(False)).alias("_gone"))
-        known = store.read(batch_id)
+        whole, known = store.due(batch_id), store.open(batch_id)
+        touched = touched.withColumn("_batch", F.lit(batch_id).cast("bigint"))
         if known is not None:
-            sums = {n: F.col(n) + F.coalesce(f"_{n}", F.lit(0)) for n in ("n_err", "n_out")}
-            last = {n: F.greatest(n, f"_{n}") for n in ("last_err", "last_out")}
-            old = known.select("otid", *[F.col(n).alias(f"_{n}") for n in (*sums, *last)])
-            touched = touched.join(old, "otid", "left").withColumns({**sums, **last}).select(*touched.columns)
-        touched = stage(touched, "touched")
+            zero = F.lit(0).cast("bigint")
+            merged = {n: F.coalesce(n, zero) + F.coalesce(f"_{n}", zero) for n in ("n_err", "n_out")}
+            merged |= {n: F.greatest(n, f"_{n}") for n in ("last_err", "last_out")}
+            merged |= {"_gone": F.coalesce("_gone", F.lit(False)), "_batch": F.coalesce("_batch", "__batch")}
+            old = known.select("otid", *[F.col(n).alias(f"_{n}") for n in ("n_err", "n_out", "last_err", "last_out", "_batch")])
+            # Where a snapshot is due, rows that the batch does not touch come along: the state is not merged a second time.
+            touched = touched.join(old, "otid", "full" if whole else "left").withColumns(merged).select(*touched.columns)
+        if whole:
+            rows = stage(touched, "touched")
+            store.replace(rows.filter("not _gone").drop("_gone"), batch_id)
+        else:
+            rows = store.write(touched.drop("_batch"), batch_id)
         fallback = (F.col("n_err") == 0) & (F.col("submission") == "sync")
-        touched.filter("_gone").select(
+        rows.filter("_gone").select(
             "otid", F.when(F.col("n_err") > 0, F.col("n_err")).when(fallback, F.col("n_out")).otherwise(0).alias("n_apps"),
             F.when(F.col("n_err") > 0, F.col("last_err.appid")).when(fallback, F.col("last_out.appid")).alias("last_appid"),
-        ).write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
-        store.write(touched.drop("submission"), batch_id)
+        ).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/ended/batch={batch_id}")
 
     return (
         events.writeStream.foreachBatch(settle)
@@ -108,7 +115,7 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
         if heads is not None:
             rows = rows.join(heads, "otid", "left").withColumn(
                 "sequence", F.col("sequence") + F.coalesce("last", F.lit(0))).drop("last")
-        rows.write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/ledger/batch={batch_id}")
 
         new = fresh.groupBy("otid").agg(F.count("*").cast("int").alias("n"))
         full = int(batch_id % snapshot_every == 0)
@@ -117,7 +124,7 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
         else:
             after = heads.join(new, "otid", "full" if full else "right").select(
                 "otid", (F.coalesce("last", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("last"))
-        after.write.mode("overwrite").parquet(f"{path}/heads/batch={batch_id}/full={full}")
+        after.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/heads/batch={batch_id}/full={full}")
 
     return (
         ids.dropDuplicates(["otid", *order]).writeStream.foreachBatch(number)

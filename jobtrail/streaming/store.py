@@ -2,7 +2,7 @@
 
 Under ``path`` lie ``delta/<batch>``, ``snapshot/<batch>`` and ``pointer/<batch>``. A batch writes one delta
 of the keys it touched. Every ``compact_every`` batches the last snapshot and the deltas after it
-are merged into a new snapshot, and an empty pointer file with its number, made by one create call, says
+are merged into a new snapshot (or a stream that has the whole state at hand puts it there), and an empty pointer file with its number, made by one create call, says
 that it is whole; a snapshot without pointer does not exist for readers. What lies before the snapshot
 before is removed then, so a reader opens one snapshot and fewer than ``2 * compact_every`` deltas however
 long the stream runs, and one that began before a compaction still finds its files.
@@ -30,24 +30,40 @@ class KeyedStore:
         self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, list(order)
         self.compact_every, self.keep_batches = compact_every, keep_batches
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        """One row per touched key; rows with a true ``_gone`` delete their key."""
+    def write(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """One row per touched key; rows with a true ``_gone`` delete their key. Returns the rows as they are stored."""
         if "_gone" not in rows.columns:
             rows = rows.withColumn("_gone", F.lit(False))
-        rows.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{self.path}/delta/{batch_id}")
-        if (batch_id + 1) % self.compact_every == 0:
+        path = f"{self.path}/delta/{batch_id}"
+        rows = rows.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if self.due(batch_id):
             self.compact(batch_id)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def due(self, batch_id: int) -> bool:
+        """Whether a batch ends in a snapshot."""
+        return (batch_id + 1) % self.compact_every == 0
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """Latest row of every key after all batches below ``before``; None if there was none."""
+        open_rows = self.open(before)
+        return None if open_rows is None else open_rows.drop("_batch")
+
+    def open(self, before: int | None = None) -> DataFrame | None:
+        """What :meth:`read` gives, and in ``_batch`` the batch that touched each row last."""
         merged = self._merged(before)
-        return None if merged is None else merged.filter("not _gone").drop("_gone", "_batch")
+        return None if merged is None else merged.filter("not _gone").drop("_gone")
 
     def compact(self, batch_id: int) -> None:
-        merged = self._merged(batch_id + 1).filter("not _gone")
+        self.replace(self.open(batch_id + 1), batch_id)
+
+    def replace(self, state: DataFrame, batch_id: int) -> None:
+        """Make ``state``, rows of :meth:`open` after the batch, its snapshot; such a batch needs no delta."""
         if self.keep_batches is not None:
-            merged = merged.filter(F.col("_batch") > batch_id - self.keep_batches)
-        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot/{batch_id}")
+            state = state.filter(F.col("_batch") > batch_id - self.keep_batches)
+        state.withColumn("_gone", F.lit(False)).write.mode("overwrite").option("compression", "zstd").parquet(
+            f"{self.path}/snapshot/{batch_id}")
         self._point(batch_id)
         kept = [b for b in self._numbers("pointer") if b < batch_id]
         if kept:

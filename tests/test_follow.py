@@ -187,3 +187,18 @@ def test_state_follows_open_tasks(spark):
     rows = {r["otid"]: r["n_err"] for r in store.read().collect()}
     assert rows == {"open": 50, "t48": 1, "t49": 1}
     assert spark.read.parquet(*store.sources()).count() == 3
+
+
+def test_state_is_merged_once_a_batch(spark, monkeypatch):
+    """A batch that ends in a snapshot writes it from the state it has joined, without a delta or a second merge."""
+    calls, merged = [], KeyedStore._merged
+    monkeypatch.setattr(KeyedStore, "_merged", lambda self, before: calls.append(before) or merged(self, before))
+    folders = [scratch_path(spark, f"test-{n}") for n in ("in", "out", "mark")]
+    found = run_tasks(spark, folders, [
+        [app("a", "stderr", 1), app("b", "stderr", 2)], [app("a", "stderr", 3), end("d", "sync")],
+        [app("a", "stderr", 4)], [end("b", "sync"), app("c", "stderr", 5)], [end("a", "sync"), end("c", "async")]], compact_every=2)
+    assert found == {"a": (3, 4), "b": (1, 2), "c": (1, 5), "d": (0, None)}
+    assert calls == [0, 1, 2, 3, 4]
+    store = KeyedStore(spark, f"{folders[1]}/open", "otid", compact_every=2)
+    assert store._numbers("snapshot") == [1, 3] and store._numbers("delta") == [2, 4]
+    assert store.read().count() == 0
