@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobtrail.functions.parsing import extract_app_ids
 from jobtrail.operators.keys import apply_updates
-from jobtrail.operators.ordered import GROUP_LIMIT, sequence_rows
+from jobtrail.operators.ordered import GROUP_LIMIT, join_keys, sequence_rows
 from jobtrail.session import stage
 from jobtrail.sources.files import list_files
 from jobtrail.sources.logs import task_lines
@@ -145,14 +146,17 @@ def _heads_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return deltas.groupBy("otid").agg(F.max("last").alias("last"))
 
 
-def close_intervals(submissions: DataFrame, start: str = "ts") -> DataFrame:
+def close_intervals(submissions: DataFrame, start: str = "ts", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Intervals of the numbered submissions; ``end_ts`` is NULL while an application is open.
 
-    Numbers are already known, so the next submission is found by an equi-join that spreads
-    even one huge task evenly.
+    The largest number tells how many rows the largest task has. Up to ``group_limit`` the rows are shuffled
+    once, by task. Beyond it the next submission is found by an equi-join on task and number, which
+    shuffles them twice but spreads even one huge task evenly.
     """
+    if (submissions.agg(F.max("sequence")).first()[0] or 0) <= group_limit:
+        return submissions.withColumn("end_ts", F.lead(start).over(W.partitionBy("otid").orderBy("sequence")))
     ends = submissions.select("otid", (F.col("sequence") - 1).alias("sequence"), F.col(start).alias("end_ts"))
-    return submissions.join(ends, ["otid", "sequence"], "left")
+    return join_keys(submissions, ends, ["otid", "sequence"], "left")
 
 
 def stream_status(updates: DataFrame, path: str, checkpoint: str, key: str, cols: Sequence[str],

@@ -43,6 +43,17 @@ def test_ledger_stream_equals_batch_and_ignores_replays(spark, rows):
     assert closed[("a", 4)] is None and closed[("a", 1)].second == 2 and closed[("b", 1)].second == 5
 
 
+def test_intervals_take_one_shuffle_unless_a_task_is_huge(spark, rows):
+    times = batch(spark, ("a", 1, 11), ("a", 2, 12), ("b", 5, 21), (None, 3, 31), (None, 4, 32)).select("otid", "ts", "n")
+    numbered = times.withColumn("sequence", F.when(F.col("n").isin(2, 4), 2).otherwise(1))
+    small, huge = S.close_intervals(numbered), S.close_intervals(numbered, group_limit=1)
+    assert rows(small, "otid", "sequence", "end_ts") == rows(huge, "otid", "sequence", "end_ts")
+    assert {(r["otid"], r["sequence"]): r["end_ts"] and r["end_ts"].second for r in small.collect()} == {
+        ("a", 1): 2, ("a", 2): None, ("b", 1): None, (None, 1): 4, (None, 2): None}
+    plan = S.close_intervals(numbered)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_app_id_stream(spark, rows, tmp_path):
     def write(name, text):
         folder = tmp_path / "in" / "stderr" / "2015-07-01"
