@@ -194,6 +194,23 @@ from {customer}""",
 }
 
 
+#: Views that Spark derives by a cheaper way to the same rows. Package entries: the many order lines of a part become one row
+#: with a bit per kind of entry before they meet the requests, and an operator has one such row too; texts come last.
+CHEAPER = {
+    "package_entry_v": """
+select opid, opid || '/' || case k when 1 then 'run.sh' when 2 then opid || '.jar' when 3 then 'description.xml'
+         when 4 then 'ui.xml' when 5 then 'lib/Dshell2.5.0V2.jar' else 'lib/dep.jar' end as entry
+from (
+  select opid, explode(filter(array(1, 2, 3, 4, 5, 6), k -> getbit(kinds, k) = 1)) as k
+  from (
+    select r.opid, bit_or(p.kinds) as kinds
+    from (select '/ops/' || cast(l_partkey as string) || '.zip' as path,
+                 bit_or(shiftleft(1, case when l_linenumber between 1 and 5 then cast(l_linenumber as int) else 6 end)) as kinds
+          from {lineitem} where l_quantity < 25 group by l_partkey) p
+    join {operator_request_v} r on r.opjarpath = p.path group by r.opid) o) x""",
+}
+
+
 def references(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"{(\w+)}", sql)))
 
@@ -202,7 +219,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, or a view derived from the test tables."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = CHEAPER.get(name) or VIEWS[name]
     return spark.sql(sql, **{r: table(spark, sf_dir, r) for r in references(sql)})
 
 

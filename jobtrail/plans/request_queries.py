@@ -213,11 +213,10 @@ def d5(t):
 select opid, entry from required except select opid, entry from package_entry_v""",
        "operator_request_v package_entry_v", PACKAGES)
 def g3(t):
-    required = t.operator_request_v.select("opid").distinct().select(
-        "opid", F.explode(F.array(
-            F.concat("opid", F.lit("/run.sh")), F.concat("opid", F.lit("/"), "opid", F.lit(".jar")),
-            F.concat("opid", F.lit("/description.xml")), F.concat("opid", F.lit("/ui.xml")))).alias("entry"))
-    return required.exceptAll(t.package_entry_v)
+    # One row of flags per operator; names become texts only where an entry is missing.
+    checked = PK.package_check(t.package_entry_v, t.operator_request_v)
+    return checked.select("opid", F.explode("missing").alias("name")).select(
+        "opid", F.concat("opid", F.lit("/"), F.replace("name", F.lit("<opid>"), F.col("opid"))).alias("entry"))
 
 
 @query("b12_script_uses", """

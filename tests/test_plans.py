@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from jobtrail.fixtures import CHEAPER, VIEWS
 from jobtrail.operators import ledger as L
 from jobtrail.operators import storage as S
 from jobtrail.operators.ordered import sequence_rows
@@ -101,3 +102,19 @@ def test_hot_lookup_counts_distinct_rows_once(spark):
     registry = spark.createDataFrame([("hot",)], "k string")
     from jobtrail.operators.keys import mark_existing
     assert mark_existing(big, registry, "k").filter("exists").count() == 1000
+
+
+def test_package_entries_are_one_row_a_part_before_the_join(spark):
+    t = Tables(spark, SF)
+    plan = t.package_entry_v._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner.*Aggregate \[l_partkey.*parquet", plan, re.S)
+    odd = t.lineitem.limit(60).withColumn("l_linenumber", F.when(F.col("l_orderkey") % 2 == 0, 0).cast(t.lineitem.schema["l_linenumber"].dataType))
+    lines = t.lineitem.unionByName(odd.withColumn("l_quantity", F.lit(1).cast(t.lineitem.schema["l_quantity"].dataType)))
+    forms = [spark.sql(sql["package_entry_v"], lineitem=lines, operator_request_v=t.operator_request_v) for sql in (VIEWS, CHEAPER)]
+    assert forms[0].count() > 0 and forms[0].exceptAll(forms[1]).count() == forms[1].exceptAll(forms[0]).count() == 0
+    assert forms[0].dtypes == forms[1].dtypes
+
+
+def test_missing_entries_shuffle_no_entry_texts(spark):
+    plan = QUERIES["g3_missing_entries"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and not re.search(r"Aggregate \[[^\]]*entry", plan)
