@@ -23,13 +23,15 @@ def line_words(text: Column) -> Column:
 
 
 def _grams(df: DataFrame, sentences: Column, n: int) -> DataFrame:
-    """One row per n-gram, as an array ``words``; a gram never crosses a sentence.
+    """One row per n-gram, as a struct ``words`` of ``w0``, ``w1`` ..; a gram never crosses a sentence.
 
-    Sentences become rows first, so a long text is never held as one array of all its grams.
+    Sentences become rows first, so a long text is never held as one array of all its grams. A sentence
+    zipped with itself, moved by a word each time, gives its grams without an array for each.
     """
     rows = df.select(F.explode(sentences).alias("s")).filter(F.size("s") >= n)
-    starts = F.sequence(F.lit(1), F.size("s") - n + 1)
-    return rows.select(F.explode(F.transform(starts, lambda i: F.slice("s", i, n))).alias("words"))
+    grams = F.size("s") - (n - 1)
+    moved = F.arrays_zip(*[F.slice("s", i + 1, grams).alias(f"w{i}") for i in range(n)])
+    return rows.select(F.explode(moved).alias("words"))
 
 
 def _top(grams: DataFrame, k: int) -> DataFrame:
@@ -40,7 +42,8 @@ def _top(grams: DataFrame, k: int) -> DataFrame:
 
 def ngrams(df: DataFrame, sentences: Column, n: int, k: int) -> DataFrame:
     """Top ``k`` n-grams as (gram, n), exact counts, ties in gram order."""
-    return _top(_grams(df, sentences, n).select(F.array_join("words", " ").alias("gram")), k)
+    gram = F.concat_ws(" ", *[f"words.w{i}" for i in range(n)])
+    return _top(_grams(df, sentences, n).select(gram.alias("gram")), k)
 
 
 def context_ngrams(df: DataFrame, sentences: Column, context: Sequence[str | None], k: int) -> DataFrame:
@@ -51,6 +54,6 @@ def context_ngrams(df: DataFrame, sentences: Column, context: Sequence[str | Non
     grams = _grams(df, sentences, len(context))
     for i, word in enumerate(context):
         if word is not None:
-            grams = grams.filter(F.col("words")[i] == word)
-    open_places = [F.col("words")[i] for i, word in enumerate(context) if word is None]
+            grams = grams.filter(F.col(f"words.w{i}") == word)
+    open_places = [f"words.w{i}" for i, word in enumerate(context) if word is None]
     return _top(grams.select(F.concat_ws(" ", *open_places).alias("gram")), k)

@@ -37,6 +37,14 @@ def test_ngrams_of_sentences_do_not_cross(spark):
     assert "the cat" in got and "sat the" not in got
 
 
+def test_grams_are_built_without_an_array_each(spark):
+    docs = documents(spark)
+    for grams in (text.ngrams(docs, text.word_sentences(F.col("text")), 3, 5),
+                  text.context_ngrams(docs, text.line_words(F.col("text")), ["the", None], 5)):
+        plan = grams._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "arrays_zip(" in plan
+
+
 def test_context_ngrams(spark):
     got = text.context_ngrams(documents(spark), text.line_words(F.col("text")), ["the", None], 5).collect()
     assert [(r["gram"], r["n"]) for r in got] == [("cat", 3), ("dog", 1)]
