@@ -78,7 +78,7 @@ def stream_tasks(events: DataFrame, path: str, checkpoint: str, order: Sequence[
             # Where a snapshot is due, rows that the batch does not touch come along: the state is not merged a second time.
             touched = touched.join(old, "otid", "full" if whole else "left").withColumns(merged).select(*touched.columns)
         if whole:
-            rows = stage(touched, "touched")
+            rows = stage(touched, "touched", "zstd")
             store.replace(rows.filter("not _gone").drop("_gone"), batch_id)
         else:
             rows = store.write(touched.drop("_batch"), batch_id)
@@ -110,7 +110,7 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
 
     def number(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = stage(batch.select("otid", "appid", *order), "batch")
+        fresh = stage(batch.select("otid", "appid", *order), "batch", "zstd")
         rows = sequence_rows(fresh, ["otid"], order, group_limit=group_limit)
         heads = _heads_before(spark, f"{path}/heads", batch_id)
         if heads is not None:
