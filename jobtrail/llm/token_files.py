@@ -31,13 +31,14 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobtrail.llm.bpe import byte_symbols, definition
-from jobtrail.llm.texts import columns, map_arrow, pieces, raw
+from jobtrail.llm.texts import columns, map_arrow, pieces
 from jobtrail.session import scratch_path
 
 END = 1
@@ -56,8 +57,9 @@ class LibraryEncoder:
 
     A tokenizer that lower-cases, splits at white space and works on bytes is asked once for each white-space
     delimited word, since no word's ids depend on its neighbours; a word of letters with signs after them goes
-    straight to its merge model, each body once a call. Any other tokenizer is asked for whole texts. Beyond ``KNOWN_WORDS`` words
-    the table starts afresh, which bounds its memory.
+    straight to its merge model. Arrow finds the different words of a call, lower-cases those of ASCII letters and cuts off their
+    signs, so that what is looked up and remembered is a body or a run of signs. Any other tokenizer is asked for whole texts.
+    Beyond ``KNOWN_WORDS`` words the table starts afresh, which bounds its memory.
     """
 
     def __init__(self, spec: str):
@@ -88,15 +90,11 @@ class LibraryEncoder:
         if not body.isalpha():
             return None
         if (ids := bodies.get(body)) is None:
-            if body.isascii():
-                inner = body.lower()
-            else:
-                # One letter at a time where the place in the word could matter.
-                inner = "".join([c.lower() for c in body]) if "\u03a3" in body else body.lower()
-                if not inner.isalpha() or not unicodedata.is_normalized("NFC", inner) or not unicodedata.is_normalized("NFC", body):
-                    return None
-                inner = inner.encode().decode("latin-1").translate(self.symbols)
-            ids = bodies[body] = [t.id for t in self.tokenize(inner)]
+            # One letter at a time where the place in the word could matter.
+            inner = "".join([c.lower() for c in body]) if "\u03a3" in body else body.lower()
+            if not inner.isalpha() or not unicodedata.is_normalized("NFC", inner) or not unicodedata.is_normalized("NFC", body):
+                return None
+            ids = bodies[body] = [t.id for t in self.tokenize(inner.encode().decode("latin-1").translate(self.symbols))]
         if len(body) == len(word):
             return ids
         signs = word[len(body):]
@@ -107,53 +105,74 @@ class LibraryEncoder:
         return ids + after
 
     def _learn(self, words: list[bytes]) -> None:
-        found, rest, bodies = {}, [], {}
-        for word in words:
-            ids = self._plain(word.decode(), bodies)
-            if ids is None:
-                rest.append(word)
-            else:
-                found[word] = ids
+        """Take up different unknown words; they are numbered in a row."""
+        tokenize, bodies = self.tokenize, {}
+        found = [[t.id for t in tokenize(w.lower().decode())] if w.isalpha() else self._plain(w.decode(), bodies) for w in words]
+        rest = [i for i, ids in enumerate(found) if ids is None]
         for start in range(0, len(rest), 10_000):
             part = rest[start:start + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            found.update(zip(part, (c.ids for c in coded)))
+            coded = self.tokenizer.encode_batch_fast([words[i].decode() for i in part], add_special_tokens=False)
+            for i, c in zip(part, coded):
+                found[i] = c.ids
         first = len(self.known)
-        lengths = np.fromiter(map(len, found.values()), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found.values()), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         self.ids = _room(self.ids, self.used + len(flat))
         self.starts, self.lengths = _room(self.starts, first + len(found)), _room(self.lengths, first + len(found))
         self.ids[self.used:self.used + len(flat)] = flat
         self.lengths[first:first + len(found)] = lengths
         self.starts[first:first + len(found)] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.known.update(zip(found, range(first, first + len(found))))
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        self.known.update(zip(words, range(first, first + len(found))))
+
+    def _numbers(self, parts: list[bytes]) -> np.ndarray:
+        """Numbers of different words, the unknown ones learnt first."""
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        missed = np.flatnonzero(at < 0)
+        if len(missed) and len(self.known) + len(missed) > KNOWN_WORDS:
+            self._fresh()
+            missed = np.arange(len(parts))
+        if len(missed):
+            at[missed] = len(self.known) + np.arange(len(missed))
+            self._learn([parts[i] for i in missed.tolist()])
+        return at
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text, the end id included."""
         if not self.by_word:
-            coded = self.tokenizer.encode_batch_fast([(t or b"").decode() for t in texts], add_special_tokens=False)
+            coded = self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             return [np.array(c.ids + [END], np.uint32) for c in coded]
-        words = [t.split() if t else [] for t in texts]
-        counts = [len(w) for w in words]
-        every = list(chain.from_iterable(words))
-        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
-        new = {every[i] for i in np.flatnonzero(at < 0).tolist()}
-        if new:
-            if len(self.known) + len(new) > KNOWN_WORDS:
-                self._fresh()
-                at[:] = -1
-                new = set(every)
-            self._learn(list(new))
-            missed = np.flatnonzero(at < 0)
-            at[missed] = [self.known[every[i]] for i in missed.tolist()]
-        size = self.lengths[at]
-        ends = np.cumsum(size)
-        flat = self.ids[np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        borders = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        every = split.flatten().dictionary_encode()
+        of_part, names = _parts(every.dictionary)
+        at = self._numbers(names)[of_part]
+        # The ids of the different words in a row, and from them those of all words.
+        lengths = self.lengths[at].reshape(-1, 2).sum(1)
+        words = expand(at, (self.ids, self.starts, self.lengths)), np.cumsum(lengths) - lengths, lengths
+        which = every.indices.to_numpy()
+        flat = expand(which, words)
+        ends = np.concatenate(([0], np.cumsum(lengths[which])))
+        counts = pc.list_value_length(split).to_numpy()
+        borders = ends[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [np.append(flat[a:b], np.uint32(END)) for a, b in zip(borders, borders[1:])]
 
 
+def _parts(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Two parts of every word, as numbers of the different parts: a body of ASCII letters in lower case and the
+    signs after it, or any other word as a whole and nothing."""
+    if not len(words):
+        return np.empty(0, np.int64), []
+    body = pc.ascii_rtrim(words, characters=SIGNS)
+    plain = pc.ascii_is_alpha(body)
+    words = pc.if_else(plain, pc.ascii_lower(words), words)
+    borders = np.empty(2 * len(words) + 1, np.int64)
+    borders[::2] = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    borders[1::2] = np.where(plain.to_numpy(zero_copy_only=False), borders[:-1:2] + pc.binary_length(body).to_numpy(), borders[2::2])
+    parts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), 2 * len(words), [None, pa.py_buffer(borders), words.buffers()[2]]).dictionary_encode()
+    return parts.indices.to_numpy(), parts.dictionary.to_pylist()
+
+
 def _room(values: np.ndarray, size: int) -> np.ndarray:
     return values if size <= len(values) else np.concatenate([values, np.zeros(max(size, len(values)), values.dtype)])
 
@@ -181,18 +200,18 @@ def _encoder(spec: str) -> LibraryEncoder:
     return _encoders[key]
 
 
-def _frequent(keys: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent keys in order of rank, no two of them in one slot."""
+def _frequent(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that occur LEAST_COUNT times, and of these the most frequent in order of rank, no two of them in one slot."""
     ordered = np.sort(keys)
     starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(starts, len(ordered)))
     often = np.flatnonzero(counts >= LEAST_COUNT)
-    chosen = ordered[starts[often]]
-    slots = _slot(chosen)
+    frequent = ordered[starts[often]]
+    slots = _slot(frequent)
     # Equal counts go in the order of a hash: in the order of ids, chains of pairs would shadow each other.
     order = np.lexsort((slots, -counts[often]))[:most]
     _, first = np.unique(slots[order], return_index=True)
-    return chosen[order[np.sort(first)]]
+    return frequent, frequent[order[np.sort(first)]]
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -205,7 +224,8 @@ def compress(ids: np.ndarray, first: int, most: int = RULES_A_ROUND) -> tuple[np
     """(rules, symbols): rule k makes symbol ``first + k`` of two earlier symbols.
 
     Each round replaces the most frequent pairs, where pairs overlap the more frequent one, and of a run
-    of equal ids every second pair; rounds go on until no pair occurs LEAST_COUNT times.
+    of equal ids every second pair; rounds go on until no pair occurs LEAST_COUNT times. A pair of earlier symbols never becomes
+    more frequent, so a round looks only at pairs that were frequent before it and at those with a symbol made in the last one.
     """
     # Inside, symbols are numbered without gaps, so that keys of pairs stay narrow for longer.
     met = np.flatnonzero(np.bincount(ids)) if len(ids) else np.empty(0, np.int64)
@@ -215,64 +235,90 @@ def compress(ids: np.ndarray, first: int, most: int = RULES_A_ROUND) -> tuple[np
     rules: list[np.ndarray] = []
     made, base = 0, len(met)
     nothing = np.iinfo(np.int32).max
+    # Of each slot: 0 without frequent keys, 1 with some, 2 and more for the key taken.
     slots = np.zeros(1 << 20, np.int32)
-    while len(seq) >= LEAST_COUNT:
+    live = np.arange(max(0, len(seq) - 1))
+    while len(live) >= LEAST_COUNT:
         shift, kind = (16, np.uint32) if base + made <= 1 << 16 else (32, np.uint64)
-        seq = seq.astype(kind)
-        keys = seq[:-1] << kind(shift) | seq[1:]
-        chosen = _frequent(keys, most)
+        keys = seq[live].astype(kind) << kind(shift) | seq[live + 1]
+        frequent, chosen = _frequent(keys, most)
         if not len(chosen):
             break
-        slots[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+        used = _slot(frequent)
+        slots[used] = 1
+        slots[_slot(chosen)] = np.arange(2, len(chosen) + 2, dtype=np.int32)
         at = slots[_slot(keys)]
-        at[at >= len(chosen)] = 0
-        score = np.where(chosen[at] == keys, at, nothing)
-        # Runs of one score are pairs of one id with itself; a run is taken where both its neighbours rank lower.
-        hits = np.flatnonzero(score < nothing)
-        value = score[hits]
-        joined = np.zeros(len(hits) + 1, bool)
-        joined[1:-1] = hits[1:] == hits[:-1] + 1
+        slots[used] = 0
+        found = np.flatnonzero((at > 1) & (np.concatenate((chosen[:1], chosen[:1], chosen))[at] == keys))
+        hits, value = live[found], at[found] - 2
+        live = live[np.flatnonzero(at)]
+        # A pair is taken where both its neighbours rank lower.
+        joined = hits[1:] == hits[:-1] + 1
+        before, after = np.full((2, len(hits)), nothing, np.int32)
+        np.copyto(before[1:], value[:-1], where=joined)
+        np.copyto(after[:-1], value[1:], where=joined)
+        wins = (value < before) & (value < after)
+        # Runs of one score are pairs of one id with itself; of a run that is taken every second pair is.
         same = np.zeros(len(hits) + 1, bool)
-        same[1:-1] = joined[1:-1] & (value[1:] == value[:-1])
-        begin = np.flatnonzero(~same[:-1])
-        size = np.diff(np.append(begin, len(hits)))
-        end = begin + size
-        before, after = np.full(len(begin), nothing), np.full(len(begin), nothing)
-        before[1:] = np.where(joined[begin[1:]], value[begin[1:] - 1], nothing)
-        after[:-1] = np.where(joined[end[:-1]], value[begin[1:]], nothing)
-        wins = (value[begin] < before) & (value[begin] < after)
-        places = hits[begin[wins]]
-        if (long := wins & (size > 2)).any():
-            places = np.sort(np.concatenate([places, *(hits[b] + np.arange(2, n, 2) for b, n in zip(begin[long], size[long]))]))
+        same[1:-1] = joined & (value[1:] == value[:-1])
+        if same.any():
+            begin, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+            taken = (value[begin] < before[begin]) & (value[begin] < after[last])
+            size = (last - begin + 2)[taken] // 2
+            ends = np.cumsum(size)
+            wins[np.repeat(begin[taken] - 2 * (ends - size), size) + 2 * np.arange(size.sum())] = True
+        won = np.flatnonzero(wins)
+        places, value = hits[won], value[won]
         taken = np.zeros(len(chosen), bool)
-        taken[score[places]] = True
-        number = (np.cumsum(taken) - 1)[score[places]]
+        taken[value] = True
         pairs = chosen[taken]
         rules.append(np.stack([pairs >> kind(shift), pairs & kind((1 << shift) - 1)], 1).astype(np.uint32))
-        seq = seq.astype(np.uint32)
-        seq[places] = base + made + number
+        seq[places] = base + made + (np.cumsum(taken) - 1)[value]
+        made += len(pairs)
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
+        again = np.zeros(len(seq), bool)
+        again[live] = True
+        again[places] = True
+        again[places[places > 0] - 1] = True
         seq = seq[keep]
-        made += len(pairs)
+        live = np.flatnonzero(again[keep][:-1])
     back = np.concatenate([met, first + np.arange(made)]).astype(np.uint32)
     return back[np.concatenate(rules)] if rules else np.empty((0, 2), np.uint32), back[seq]
 
 
+def _blocks(rules: np.ndarray, first: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules that name symbols before the range only."""
+    highest = np.maximum.accumulate(rules.max(1)) if len(rules) else rules
+    start = 0
+    while start < len(rules):
+        stop = max(start + 1, int(np.searchsorted(highest, first + start)))
+        yield start, stop
+        start = stop
+
+
+def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids every symbol below ``first + len(rules)`` expands to."""
+    lengths = np.ones(first + len(rules), np.int64)
+    for a, b in _blocks(rules, first):
+        lengths[first + a:first + b] = lengths[rules[a:b]].sum(1)
+    return lengths
+
+
 def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, starts, lengths) of what every symbol below ``first + len(rules)`` expands to."""
-    single = np.arange(first, dtype=np.uint32)
-    parts: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        left = parts[a - first] if a >= first else single[a:a + 1]
-        right = parts[b - first] if b >= first else single[b:b + 1]
-        parts.append(np.concatenate((left, right)))
-    lengths = np.ones(first + len(rules), np.int64)
-    lengths[first:] = [len(p) for p in parts]
-    return np.concatenate([single, *parts]), np.cumsum(lengths) - lengths, lengths
+    lengths = rule_lengths(rules, first)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+    flat[:first] = np.arange(first)
+    for a, b in _blocks(rules, first):
+        flat[starts[first + a]:ends[first + b - 1]] = expand(rules[a:b].ravel(), (flat, starts, lengths))
+    return flat, starts, lengths
 
 
 def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """What the symbols expand to, one after the other."""
     flat, starts, lengths = table
     if not len(symbols):
         return np.empty(0, np.uint32)
@@ -289,9 +335,7 @@ def _shard(part: int, number: int, before: int, ids: list, tokens: list[np.ndarr
     seq = np.concatenate(tokens)
     rules, symbols = compress(seq, first)
     width = 2 if first + len(rules) <= 1 << 16 else 4
-    number_of = np.ones(first + len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        number_of[first + k] = number_of[a] + number_of[b]
+    number_of = rule_lengths(rules, first)
     marks = (np.cumsum(number_of[symbols]) - number_of[symbols])[::MARK]
     one = {"part": part, "number": number, "before": before, "n_tokens": len(seq), "first": first, "width": width,
            "rules": rules.astype(f"<u{width}").tobytes(), "lengths": number_of[first:].astype("<u4").tobytes(),
@@ -318,7 +362,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
         ids, tokens, size, id_type = [], [], 0, None
         for batch in pieces(batches, "text"):
             id_type = batch.column("id").type
-            for name, coded in zip(batch.column("id").to_pylist(), encoder.encode(raw(batch.column("text")))):
+            for name, coded in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids.append(name)
                 tokens.append(coded)
                 size += len(coded)

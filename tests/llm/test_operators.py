@@ -10,6 +10,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -239,6 +240,59 @@ def test_grammar_against_plain_repair(first):
     assert len(token_files.compress(np.full(100_000, 5, np.uint32), first)[1]) < 2 * token_files.LEAST_COUNT
 
 
+def test_rounds_look_only_at_pairs_that_may_be_frequent(monkeypatch):
+    seen, frequent = [], token_files._frequent
+    monkeypatch.setattr(token_files, "_frequent", lambda keys, most: seen.append(len(keys)) or frequent(keys, most))
+    rng = np.random.default_rng(8)
+    phrases = rng.integers(0, 9000, (2000, 24))
+    ids = np.concatenate([rng.integers(0, 9000, 50_000), phrases[rng.zipf(1.3, 1000) % 2000].ravel()]).astype(np.uint32)
+    rules, symbols = token_files.compress(ids, 49_408)
+    assert (token_files.expand(symbols, token_files.expansions(rules, 49_408)) == ids).all()
+    assert len(seen) > 5 and sum(seen) < 2.5 * len(ids)
+
+
+def test_expansions_of_nested_rules():
+    first = 5
+    rules = np.array([(0, 1), (5, 5), (6, 2), (3, 3), (8, 7), (9, 9), (4, 0)], np.uint16)
+    parts = [[k] for k in range(first)]
+    for a, b in rules.tolist():
+        parts.append(parts[a] + parts[b])
+    flat, starts, lengths = token_files.expansions(rules, first)
+    assert [flat[a:a + n].tolist() for a, n in zip(starts, lengths)] == parts
+    assert token_files.rule_lengths(rules, first).tolist() == [len(p) for p in parts]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.LibraryEncoder(token_files.definition(TOKENIZER))
+
+
+def test_a_body_is_asked_for_once(encoder, library):
+    encoder._fresh()
+    asked, tokenize = [], encoder.tokenize
+    encoder.tokenize = lambda text: asked.append(text) or tokenize(text)
+    try:
+        texts = [["Zebrafinch zebrafinch, zebrafinch!"], ["zebrafinch. ZEBRAFINCH; (zebrafinch)"], ["Zebrafinch?! zebrafinch,"]]
+        found = [encoder.encode(pa.array(t)) for t in texts]
+    finally:
+        encoder.tokenize = tokenize
+    assert asked.count("zebrafinch") == 1
+    for text, (ids,) in zip(texts, found):
+        assert ids.tolist() == library.encode(text[0], add_special_tokens=False).ids + [1]
+
+
+def test_odd_words_against_the_library(encoder, library, monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_WORDS", 500)
+    bits = ["word", "Word", "é", "É", "e\u0301", "İ", "Σ", "ΑΣ", "ß", "'s", "'S", "!", "?!", ",", "…", "1", "23", "\u00a0", "\x1c", "\x00", "\x0b",
+            "\x0c", "\r", "\n", "\t", " ", "  ", "<|endoftext|>", "<|ENDOFTEXT|>", "|>", "<|", "</w>", "日本", "ﬁ", "\u0338", "K", "🙂", "\x85", "ŉ"]
+    draw = random.Random(4)
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(2000)] + ["", None, "   "]
+    found = encoder.encode(pa.array(texts, pa.string())) + encoder.encode(pa.array(texts, pa.large_string()).slice(1990))
+    for text, ids in zip(texts + texts[1990:], found, strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids + [1], text
+    assert encoder.encode(pa.array([], pa.string())) == []
+
+
 def test_shards_against_the_library(spark, docs, library, tmp_path):
     path = str(tmp_path / "shards")
     token_files.write_shards(docs.repartition(7), path, TOKENIZER, shard_tokens=5000)
