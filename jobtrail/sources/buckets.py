@@ -60,7 +60,7 @@ class BucketLedger:
         if batch <= self.version():
             return
         changed = [d.select(self.key) for d in (updates, deletes) if d is not None]
-        touched = {b for d in changed for b in self._buckets_of(d.select(self.bucket().alias(BUCKET)))}
+        touched = {b for d in changed for b in self._buckets_of(d)}
         old = self.folders()
         rows = self._read([f for f in old if f[0] in touched])
         if updates is not None:
@@ -95,8 +95,9 @@ class BucketLedger:
         version = self.version() if version is None else version
         if version < 0:
             return []
-        lines = self.spark.read.schema("bucket int, batch long").json(f"{self.path}/commits/{version}")
-        return sorted((r.bucket, r.batch) for r in lines.collect())
+        commit = self.spark.read.text(f"{self.path}/commits/{version}", wholetext=True).first()
+        lines = map(json.loads, commit.value.splitlines()) if commit else ()
+        return sorted((line["bucket"], line["batch"]) for line in lines)
 
     def _read(self, folders: list[tuple[int, int]]) -> DataFrame:
         if not folders:
@@ -107,11 +108,16 @@ class BucketLedger:
     def _write(self, rows: DataFrame, batch: int) -> list[int]:
         path = f"{self.path}/data/batch={batch}"
         rows.withColumn(BUCKET, self.bucket()).hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
-        return self._buckets_of(self.spark.read.schema(f"{BUCKET} int").parquet(path))
 
-    def _buckets_of(self, rows: DataFrame) -> list[int]:
-        """Different buckets of the rows, never more than the ledger has."""
-        return [r[0] for r in rows.select(BUCKET).distinct().collect()]
+        def written(fs, path):
+            names = [s.getPath().getName() for s in fs.listStatus(path)]
+            return [int(n.partition("=")[2]) for n in names if n.startswith(f"{BUCKET}=")]
+
+        return self._files(f"data/batch={batch}", written)
+
+    def _buckets_of(self, keys: DataFrame) -> list[int]:
+        """Different buckets of the keys as one row, never more than the ledger has."""
+        return keys.select(self.bucket().alias(BUCKET)).distinct().agg(F.collect_list(BUCKET)).first()[0]
 
     def _commit(self, batch: int, folders: list[tuple[int, int]]) -> None:
         text = "".join(json.dumps({"bucket": b, "batch": n}) + "\n" for b, n in folders)
