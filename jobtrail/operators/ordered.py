@@ -36,6 +36,14 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return row["n"] or 0
 
 
+def group_bound(keys: Sequence[str], parts: int = 4096) -> Column:
+    """What to count rows by for an upper bound of the largest key: one of ``parts`` shares of all keys.
+
+    Such counts shuffle ``parts`` rows a task, however many keys there are.
+    """
+    return F.pmod(F.xxhash64(*keys), F.lit(parts))
+
+
 def sequence_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,9 +53,12 @@ def sequence_rows(
     group_limit: int = GROUP_LIMIT,
     largest: int | None = None,
     number_type: str = "int",
+    once: bool = False,
 ) -> DataFrame:
     """Number the rows of each key from 1 in ``order`` (which must be unique per key).
 
+    With ``once`` it need not be: of rows alike in key and order one stays, the others get no number and go.
+
     ``following`` maps new columns to existing ones and fills them from the next row of the key,
     or from ``k`` rows ahead when given as (column, k). ``largest`` is an upper bound of the
     largest key where the caller already knows one; otherwise it is measured, so pass a table
@@ -56,27 +67,33 @@ def sequence_rows(
     keys, order = list(keys), list(order)
     following = {out: (s, 1) if isinstance(s, str) else s for out, s in (following or {}).items()}
     if (largest_group(df, keys) if largest is None else largest) <= group_limit:
-        return _by_window(df, keys, order, number, following, number_type)
+        return _by_window(df, keys, order, number, following, number_type, once)
 
     counts = df.groupBy(*keys).count().filter(F.col("count") > group_limit)
     hot = stage(counts, "hot-keys")
     hot_rows = hot.agg(F.sum("count")).first()[0]
     if hot_rows is None:
-        return _by_window(df, keys, order, number, following, number_type)
+        return _by_window(df, keys, order, number, following, number_type, once)
     keys_only = hot.drop("count")
     cold = join_keys(df, keys_only, keys, "left_anti")
     warm = join_keys(df, keys_only, keys, "left_semi")
     pieces = max(2, -(-2 * hot_rows // group_limit))
-    return _by_window(cold, keys, order, number, following, number_type).unionByName(
+    if once:
+        warm = warm.dropDuplicates([*keys, *order])  # dealt by key and order, so a huge key spreads here too
+    return _by_window(cold, keys, order, number, following, number_type, once).unionByName(
         _by_range(warm, keys, order, number, following, number_type, pieces)
     )
 
 
-def _by_window(df, keys, order, number, following, number_type) -> DataFrame:
+def _by_window(df, keys, order, number, following, number_type, once=False) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     columns = {number: F.row_number().over(w).cast(number_type)}
+    if once:
+        # Rows that come again share their rank; all three numbers come from one sort.
+        numbers = {number: F.dense_rank().over(w).cast(number_type), "_first": F.row_number().over(w) == F.rank().over(w)}
+        df, columns = df.withColumns(numbers).filter("_first").drop("_first"), {}
     columns.update({out: F.lead(source, k).over(w) for out, (source, k) in following.items()})
-    return df.withColumns(columns)
+    return df.withColumns(columns) if columns else df
 
 
 def _by_range(df, keys, order, number, following, number_type, pieces) -> DataFrame:

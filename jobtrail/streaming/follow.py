@@ -7,6 +7,7 @@ Each stream has a batch twin with the same result: ``extract_app_ids``, ``number
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,9 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobtrail.functions.parsing import extract_app_ids
 from jobtrail.operators.keys import apply_updates
-from jobtrail.operators.ordered import GROUP_LIMIT, join_keys, sequence_rows
+from jobtrail.operators.ordered import GROUP_LIMIT, group_bound, join_keys, sequence_rows
 from jobtrail.session import stage
-from jobtrail.sources.files import list_files
 from jobtrail.sources.logs import task_lines
 from jobtrail.streaming.store import KeyedStore
 from jobtrail.streaming.tail import tail
@@ -99,51 +99,76 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
     """Number the applications of each task as their submissions arrive.
 
     Each micro-batch appends ``ledger/batch=<id>`` under ``path`` (task, sequence, appid and the
-    order columns) and the last number of the tasks it touched to ``heads``. Numbering inside a
-    batch is the distributed one of the batch twin, so one busy task does not hold a batch up;
-    the heads shift it. A line delivered twice is dropped, and a retried batch rewrites its own
-    directories from the heads before it, so neither renumbers. Every ``snapshot_every`` batches
-    the heads are written whole, which bounds what a batch has to read. To know a line again, the
-    stream keeps the key of every line, for ever. Ends of tasks and the stdout fallback: :func:`stream_tasks`.
+    order columns). Numbering inside a batch is the distributed one of the batch twin, so one busy task
+    does not hold a batch up; the last number of each task before shifts it. Every ``snapshot_every`` batches
+    these numbers are written whole to ``heads``, and the ledger has those of the batches after, which bounds
+    what a batch has to read. A retried batch rewrites its own directories from what lies before it.
+
+    A line delivered twice is dropped, however late it comes again. The ledger itself has the key of every line,
+    so the stream keeps no other state: ``spans`` has the range of the first order column in each batch, and a
+    batch is compared with the rows inside its own range of those batches alone whose range meets it.
+    Ends of tasks and the stdout fallback: :func:`stream_tasks`.
     """
     order = list(order)
 
     def number(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, ledger = batch.sparkSession, f"{path}/ledger"
         fresh = stage(batch.select("otid", "appid", *order), "batch", "zstd")
-        rows = sequence_rows(fresh, ["otid"], order, group_limit=group_limit)
-        heads = _heads_before(spark, f"{path}/heads", batch_id)
+        time = F.col(order[0])
+        shares = fresh.groupBy(group_bound(["otid"])).agg(
+            F.count("*").alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"), F.bool_or(time.isNull()).alias("open"))
+        spans = KeyedStore(spark, f"{path}/spans", "of", compact_every=snapshot_every)
+        span = spans.write(shares.agg(
+            F.lit(batch_id).alias("of"), F.max("n").alias("largest"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.bool_or("open").alias("open")), batch_id)
+        largest = span.select("largest").first()[0] or 0
+        known = _known_before(spans, ledger, span, batch_id, order)
+        if known is not None:
+            fresh = join_keys(fresh, known, ["otid", *order], "left_anti")
+            fresh = stage(fresh, "unknown", "zstd") if largest > group_limit else fresh
+        rows = sequence_rows(fresh, ["otid"], order, group_limit=group_limit, largest=largest, once=True)
+        store = KeyedStore(spark, f"{path}/heads", "otid", compact_every=snapshot_every)
+        heads = _heads(store, ledger, batch_id, batch_id)
         if heads is not None:
             rows = rows.join(heads, "otid", "left").withColumn(
                 "sequence", F.col("sequence") + F.coalesce("last", F.lit(0))).drop("last")
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/ledger/batch={batch_id}")
-
-        new = fresh.groupBy("otid").agg(F.count("*").cast("int").alias("n"))
-        full = int(batch_id % snapshot_every == 0)
-        if heads is None:
-            after = new.select("otid", F.col("n").alias("last"))
-        else:
-            after = heads.join(new, "otid", "full" if full else "right").select(
-                "otid", (F.coalesce("last", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("last"))
-        after.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/heads/batch={batch_id}/full={full}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{ledger}/batch={batch_id}")
+        if store.due(batch_id):
+            store.replace(_heads(store, ledger, batch_id, batch_id + 1), batch_id)
 
     return (
-        ids.dropDuplicates(["otid", *order]).writeStream.foreachBatch(number)
+        ids.writeStream.foreachBatch(number)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _heads_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Last number of each task after all batches before ``batch_id``, None for the first."""
-    if batch_id == 0:
+def _known_before(spans: KeyedStore, ledger: str, span: DataFrame, batch_id: int, order: list[str]) -> DataFrame | None:
+    """Keys that earlier batches have in the range ``span`` of a batch; None if no range of theirs meets it."""
+    mine = F.broadcast(span.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("open").alias("_open")))
+    meets = (F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo"))
+    both_open = F.col("open") & F.col("_open")
+    before = spans.read(batch_id)
+    apart = set() if before is None else {r["of"] for r in before.join(mine).filter(
+        ~(F.coalesce(meets, F.lit(False)) | F.coalesce(both_open, F.lit(False)))).select("of").collect()}
+    near = [f"{ledger}/batch={b}" for b in range(batch_id) if b not in apart]
+    if not near:
         return None
-    batch_of = F.regexp_extract("path", r"batch=([0-9]+)/full=1/", 1).try_cast("int")
-    start = (
-        list_files(spark, path, "*.parquet").select(batch_of.alias("b"))
-        .filter(F.col("b") < batch_id).agg(F.max("b")).first()[0]
-    )
-    deltas = spark.read.parquet(path).filter((F.col("batch") >= (start or 0)) & (F.col("batch") < batch_id))
-    return deltas.groupBy("otid").agg(F.max("last").alias("last"))
+    time = F.col(order[0])
+    rows = spans.spark.read.parquet(*near).select("otid", *order)
+    return rows.join(mine, time.between(F.col("_lo"), F.col("_hi")) | (time.isNull() & F.col("_open"))).select("otid", *order)
+
+
+def _heads(store: KeyedStore, ledger: str, batch_id: int, until: int) -> DataFrame | None:
+    """Last number of each task after all batches below ``until``, None if there are none.
+
+    The store has no deltas: after its last snapshot before ``batch_id`` the ledger itself is read.
+    """
+    whole = store.sources(batch_id)
+    since = int(whole[0].rpartition("/")[2]) if whole else -1
+    parts = [store.spark.read.parquet(p).select("otid", "last") for p in whole]
+    if after := [f"{ledger}/batch={b}" for b in range(since + 1, until)]:
+        parts.append(store.spark.read.parquet(*after).select("otid", F.col("sequence").alias("last")))
+    return reduce(DataFrame.unionAll, parts).groupBy("otid").agg(F.max("last").alias("last")) if parts else None
 
 
 def close_intervals(submissions: DataFrame, start: str = "ts", group_limit: int = GROUP_LIMIT) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from jobtrail.operators.ordered import first_by_position, largest_group, last_by_position, sequence_rows
+from jobtrail.operators.ordered import first_by_position, group_bound, largest_group, last_by_position, sequence_rows
 
 SCHEMA = "k string, ts int, tie int, v string"
 
@@ -44,6 +44,23 @@ def test_split_path_equals_brute_force(spark, rows, limit, ahead):
     assert rows(out, "k", "ts", "tie", "v", "sequence", "nxt") == brute(data, ahead)
 
 
+@pytest.mark.parametrize("limit", [10_000, 100, 40])
+def test_rows_that_come_again_are_numbered_once(spark, rows, limit):
+    data = skewed()
+    df = spark.createDataFrame([*data, *data[::3], *data[::3], *data[:50]], SCHEMA).repartition(7)
+    out = sequence_rows(df, ["k"], ["ts", "tie"], following={"nxt": ("v", 1)}, group_limit=limit, once=True)
+    assert rows(out, "k", "ts", "tie", "v", "sequence", "nxt") == brute(data)
+    plan = sequence_rows(df, ["k"], ["ts", "tie"], once=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Window [") == plan.count("Sort [") == 1
+
+
+def test_shares_bound_the_largest_group(spark):
+    df = spark.createDataFrame(skewed(), SCHEMA)
+    shares = df.groupBy(group_bound(["k"], 16)).count()
+    most = shares.agg(F.max("count")).first()[0]
+    assert shares.count() == 16 and 1000 <= most < 1500 and shares.agg(F.sum("count")).first()[0] == 3000
+
+
 def test_largest_group_and_empty(spark):
     df = spark.createDataFrame(skewed(), SCHEMA)
     assert largest_group(df, ["k"]) == 1000

@@ -1,3 +1,7 @@
+import re
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from jobtrail.functions.parsing import extract_app_ids
@@ -5,6 +9,7 @@ from jobtrail.operators.keys import apply_updates
 from jobtrail.operators.ledger import number_apps
 from jobtrail.session import scratch_path
 from jobtrail.streaming import follow as S
+from jobtrail.streaming.store import KeyedStore
 
 LINE = "otid string, ts timestamp_ntz, n int, line string"
 
@@ -43,6 +48,50 @@ def test_ledger_stream_equals_batch_and_ignores_replays(spark, rows):
     assert closed[("a", 4)] is None and closed[("a", 1)].second == 2 and closed[("b", 1)].second == 5
 
 
+def test_ledger_stream_keeps_no_state_beside_the_ledger(spark, rows, monkeypatch):
+    """Lines are known again by the ledger, and only those batches are read whose times meet the batch."""
+    folders = [scratch_path(spark, f"test-{n}") for n in ("in", "out", "mark")]
+    known, before = [], S._known_before
+    monkeypatch.setattr(S, "_known_before", lambda *a: known.append(before(*a)) or known[-1])
+    none = spark.createDataFrame([("a", None, 7, "Submitted application application_1700000000000_0007"),
+                                  (None, None, 8, "Submitted application application_1700000000000_0008")], LINE)
+    steps = [
+        batch(spark, ("a", 1, 11), ("a", 2, 12), ("a", 2, 12), ("b", 3, 21)).unionByName(none),
+        batch(spark, ("a", 4, 13), ("c", 4, 31), ("c", 4, 31)),  # later than all before
+        batch(spark, ("a", 4, 13), ("b", 5, 22)),                 # meets the second batch only
+        batch(spark, ("z", 0, 99)).limit(0),
+        none,                                                     # meets the first by its open times
+        batch(spark, ("a", 2, 12), ("a", 6, 14), ("b", 0, 23)),   # spans all; a line comes before those numbered
+    ]
+    for step in steps:
+        out = run_ledger(spark, folders, step, snapshot_every=2)
+    near = [None if k is None else sorted({int(f.split("batch=")[1].split("/")[0]) for f in k.inputFiles() if "/ledger/" in f}) for k in known]
+    assert near == [None, None, [1], None, [0], [0, 1, 2]]
+    assert rows(out, "otid", "sequence", "appid") == sorted([
+        *[(t, k, f"application_1700000000000_{a:04d}") for t, k, a in (
+            ("a", 1, 7), ("a", 2, 11), ("a", 3, 12), ("a", 4, 13), ("a", 5, 14), ("b", 1, 21), ("b", 2, 22), ("b", 3, 23), ("c", 1, 31))],
+        (None, 1, "application_1700000000000_0008")], key=repr)
+    kept = Path(re.sub("^file:/+", "/", folders[2]))
+    assert (kept / "offsets").is_dir() and not (kept / "state").exists()
+
+
+@pytest.mark.parametrize("steps", [3, 4])
+def test_a_ledger_batch_can_be_run_again(spark, rows, steps):
+    """A batch whose commit is lost runs again, whether or not it ends in a snapshot of the heads."""
+    folders = [scratch_path(spark, f"test-{n}") for n in ("in", "out", "mark")]
+    for k in range(steps):
+        out = run_ledger(spark, folders, batch(spark, ("a", k, k), ("b", 1, 50), ("b", k + 20, k + 20)), snapshot_every=2)
+    first = rows(out, "otid", "sequence", "appid")
+    kept = Path(re.sub("^file:/+", "/", folders[2]))
+    for f in (f"{steps - 1}", f".{steps - 1}.crc"):
+        (kept / "commits" / f).unlink(missing_ok=True)
+    again = run_ledger(spark, folders, batch(spark, ("z", 0, 99)), snapshot_every=2)
+    assert len(first) == 2 * steps + 1
+    assert rows(again, "otid", "sequence", "appid") == [*first, ("z", 1, "application_1700000000000_0099")]
+    heads = KeyedStore(spark, f"{folders[1]}/heads", "otid", compact_every=2)
+    assert heads._numbers("pointer")[-1] == 2 * ((steps + 1) // 2) - 1 and heads._numbers("delta") == []
+
+
 def test_intervals_take_one_shuffle_unless_a_task_is_huge(spark, rows):
     times = batch(spark, ("a", 1, 11), ("a", 2, 12), ("b", 5, 21), (None, 3, 31), (None, 4, 32)).select("otid", "ts", "n")
     numbered = times.withColumn("sequence", F.when(F.col("n").isin(2, 4), 2).otherwise(1))
