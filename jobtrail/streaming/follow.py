@@ -106,7 +106,7 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
 
     A line delivered twice is dropped, however late it comes again. The ledger itself has the key of every line,
     so the stream keeps no other state: ``spans`` has the range of the first order column in each batch, and a
-    batch is compared with the rows inside its own range of those batches alone whose range meets it.
+    batch is compared with the rows inside its own range, from the first to the last batch whose range meets it.
     Ends of tasks and the stdout fallback: :func:`stream_tasks`.
     """
     order = list(order)
@@ -152,14 +152,14 @@ def stream_ledger(ids: DataFrame, path: str, checkpoint: str, order: Sequence[st
 
 def _known_before(spans: DataFrame | None, ledger: str, span: DataFrame, batch_id: int, order: list[str]) -> DataFrame | None:
     """Keys that earlier batches have in the range ``span`` of a batch; None if none of their ``spans`` meets it."""
-    mine = F.broadcast(span.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("open").alias("_open")))
+    if spans is None:
+        return None
+    mine = span.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col("open").alias("_open"))
     meets = (F.col("lo") <= F.col("_hi")) & (F.col("hi") >= F.col("_lo"))
-    both_open = F.col("open") & F.col("_open")
-    apart = set() if spans is None else {r["of"] for r in spans.join(mine).filter(
-        ~(F.coalesce(meets, F.lit(False)) | F.coalesce(both_open, F.lit(False)))).select("of").collect()}
-    near = [f"{ledger}/batch={b}" for b in range(batch_id) if b not in apart]
-    if not near:
+    since, until = spans.join(mine, meets | (F.col("open") & F.col("_open"))).agg(F.min("of"), F.max("of")).first()
+    if since is None:
         return None
+    near = [f"{ledger}/batch={b}" for b in range(since, until + 1)]
     time = F.col(order[0])
     rows = span.sparkSession.read.parquet(*near).select("otid", *order)
     return rows.join(mine, time.between(F.col("_lo"), F.col("_hi")) | (time.isNull() & F.col("_open"))).select("otid", *order)

@@ -49,7 +49,7 @@ def test_ledger_stream_equals_batch_and_ignores_replays(spark, rows):
 
 
 def test_ledger_stream_keeps_no_state_beside_the_ledger(spark, rows, monkeypatch):
-    """Lines are known again by the ledger, and only those batches are read whose times meet the batch."""
+    """Lines are known again by the ledger, read from the first to the last batch whose times meet the batch."""
     folders = [scratch_path(spark, f"test-{n}") for n in ("in", "out", "mark")]
     known, before = [], S._known_before
     monkeypatch.setattr(S, "_known_before", lambda *a: known.append(before(*a)) or known[-1])
